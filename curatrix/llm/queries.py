@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, rules, vectors
 
-QUERIES = {"op8_best_fit_packing": packing.op8_best_fit_packing}
+QUERIES = {
+    "op4_quality_rules": rules.op4_quality_rules,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
+}
 SQL: dict[str, str] = {}
