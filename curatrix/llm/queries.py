@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, rules, vectors
+from . import language_model, minhash, packing, pages, pieces, quality, rules, sharding, toxicity, vectors
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": rules.op4_quality_rules,
+    "op5_html_extraction": pages.op5_html_extraction,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_lm_scoring": language_model.op7_lm_scoring,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
 SQL: dict[str, str] = {}
