@@ -20,6 +20,8 @@ EPOCHS = 8
 BATCH = 150
 #: How strongly a text's score leans to its highest words: 0 is their mean, large is their maximum.
 SHARP = 4.0
+#: Share of a text's words that each training step leaves out, so that every telling word has to tell by itself.
+LEFT_OUT = 0.5
 THRESHOLD = 0.7
 #: Words that one worker remembers.
 REMEMBERED = 4_000_000
@@ -115,8 +117,12 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Model
     usable = np.array([k for k, b in enumerate(bags) if len(b)])
 
     def forward(docs):
-        words = np.concatenate([bags[k] for k in docs])
-        n = np.array([len(bags[k]) for k in docs])
+        chosen = []
+        for k in docs:
+            some = bags[k][rng.random(len(bags[k])) >= LEFT_OUT]
+            chosen.append(some if len(some) else bags[k])
+        words = np.concatenate(chosen)
+        n = np.array([len(b) for b in chosen])
         distinct, back = np.unique(words, return_inverse=True)
         s = size[distinct]
         flat = np.repeat(begin[distinct] - (np.cumsum(s) - s), s) + np.arange(s.sum())
@@ -128,17 +134,18 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Model
 
     for epoch in range(EPOCHS):
         rate = 0.3 * (1 - epoch / EPOCHS) + 0.02
+        sharp = SHARP * min(1.0, (epoch + 0.5) / (EPOCHS / 2))  # at first all words learn, later those that stand out
         order = rng.permutation(usable)
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
             words, n, distinct, back, s, g, v, diff, z = forward(docs)
             starts = np.cumsum(n) - n
-            w = np.exp(SHARP * (z - np.repeat(np.maximum.reduceat(z, starts), n)))
+            w = np.exp(sharp * (z - np.repeat(np.maximum.reduceat(z, starts), n)))
             w /= np.repeat(np.add.reduceat(w, starts), n)
             doc_z = np.add.reduceat(w * z, starts)
             p = 1 / (1 + np.exp(-doc_z))
             d_doc = (p - labels[docs]) * weight[docs] / len(docs)
-            d_word = np.repeat(d_doc, n) * w * np.clip(1 + SHARP * (z - np.repeat(doc_z, n)), -1, 3)
+            d_word = np.repeat(d_doc, n) * w * np.clip(1 + sharp * (z - np.repeat(doc_z, n)), -1, 3)
             d_distinct = np.bincount(back, d_word, minlength=len(distinct))
             d_diff = v.T @ d_distinct
             d_bias = d_distinct.sum()
