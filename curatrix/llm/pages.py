@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import table, word_hashes
 
 #: Hashed features of tag paths and of words, and the length of one direction's state.
 PATH = 64
@@ -123,34 +123,35 @@ def _slot(token: str, size: int) -> tuple[int, float]:
 
 
 class Features:
-    """Hashed vectors of blocks; paths and words are remembered."""
+    """Vectors of blocks: hashed path tokens, hashed words of the whole text, and a few figures. Paths are remembered."""
 
     def __init__(self):
         self.paths: dict[tuple[str, ...], np.ndarray] = {}
-        self.words: dict[str, tuple[int, float]] = {}
-
-    def __call__(self, page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-        out = np.zeros((len(page), PATH + WORDS + EXTRA), dtype=np.float32)
-        if len(self.paths) > 50_000 or len(self.words) > 500_000:
-            self.paths.clear()
-            self.words.clear()
-        for k, (path, text, linked) in enumerate(page):
-            if (v := self.paths.get(path)) is None:
-                v = np.zeros(PATH, dtype=np.float32)
-                for token in path:
-                    i, sign = _slot(token, PATH)
-                    v[i] += sign
-                self.paths[path] = v = np.clip(v, -2, 2)
-            out[k, :PATH] = v
-            words = text.lower().split()
-            w = out[k, PATH : PATH + WORDS]
-            for word in words[:64]:
-                if (slot := self.words.get(word)) is None:
-                    self.words[word] = slot = _slot(word, WORDS)
-                w[slot[0]] += slot[1]
-            w /= np.sqrt(min(64, len(words)) + 1.0)
-            out[k, PATH + WORDS :] = (np.log1p(len(words)) / 4, np.log1p(len(text)) / 6, linked, text[-1:] in ".!?", text[:1].isupper(), 1.0)
-        return out
+
+    def _path(self, path: tuple[str, ...]) -> np.ndarray:
+        if (v := self.paths.get(path)) is None:
+            if len(self.paths) > 50_000:
+                self.paths.clear()
+            v = np.zeros(PATH, dtype=np.float32)
+            for token in path:
+                i, sign = _slot(token, PATH)
+                v[i] += sign
+            self.paths[path] = v = np.clip(v, -2, 2)
+        return v
+
+    def __call__(self, pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.ndarray]:
+        every = [b for page in pages for b in page]
+        out = np.zeros((len(every), PATH + WORDS + EXTRA), dtype=np.float32)
+        if every:
+            out[:, :PATH] = [self._path(path) for path, _, _ in every]
+            hashes, counts = word_hashes([text.encode() for _, text, _ in every])
+            block = np.repeat(np.arange(len(every)), counts)
+            sign = np.where((hashes >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+            words = np.bincount(block * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), sign, minlength=len(every) * WORDS).reshape(-1, WORDS)
+            out[:, PATH : PATH + WORDS] = np.clip(words / np.sqrt(counts + 1.0)[:, None], -1.5, 1.5)
+            out[:, PATH + WORDS :] = [(0, min(2.0, len(text) ** 0.25 / 4), linked, text[-1:] in ".!?", text[:1].isupper(), 1.0) for _, text, linked in every]
+            out[:, PATH + WORDS] = np.log1p(counts) / 4
+        return np.split(out, np.cumsum([len(p) for p in pages])[:-1]) if pages else []
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -249,7 +250,7 @@ class Labeller:
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         for at in range(0, len(order), TOGETHER):
             part = order[at : at + TOGETHER]
-            x, mask = padded([self.features(pages[k]) for k in part])
+            x, mask = padded(self.features([pages[k] for k in part]))
             p = self.forward(x, mask)[0]
             for c, k in enumerate(part):
                 out[k] = p[: len(pages[k]), c]
@@ -328,7 +329,7 @@ def train(pages: list[str | None]) -> Labeller:
     texts = [t for b, y in known for (_, t, _), v in zip(b, y) if v and t]
     labelled = known + made_up(texts or ["Lorem ipsum dolor sit amet."], max(len(known), 120))
     labeller = Labeller()
-    x = [labeller.features(b[:TRAIN_BLOCKS]) for b, _ in labelled]
+    x = labeller.features([b[:TRAIN_BLOCKS] for b, _ in labelled])
     return labeller.fit(x, [y[:TRAIN_BLOCKS] for _, y in labelled])
 
 
