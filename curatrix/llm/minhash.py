@@ -22,6 +22,10 @@ BATCH = 64
 #: Bits of the map of wanted ids that workers get; of a fixed size, it only saves work.
 WANTED_BITS = 1 << 24
 AT_ONCE = 2 << 20
+#: Groups of at most so many representatives are compared as joined rows, larger ones in blocks of BLOCK rows or BLOCK_BYTES of sets.
+SMALL = 64
+BLOCK = 512
+BLOCK_BYTES = 32 << 20
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 20)).astype(np.uint32)
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -141,26 +145,24 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, f"doc_id long, n long, d1 long, d2 long, {sketch}, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets are similar enough.
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, set) for the ids (column id): the sorted shingle hashes as bytes, made anew from the texts.
 
-    Sets are made anew from the texts of the documents that occur in pairs. A map
-    of fixed size tells workers which ids may occur, so the other texts are
-    neither hashed nor shuffled; what it lets through by chance finds no pair.
+    A map of fixed size tells workers which ids are wanted, so other texts are
+    neither hashed nor shuffled; what it lets through by chance joins with nothing.
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    at = F.pmod(F.xxhash64("a"), F.lit(WANTED_BITS))
-    words = ids.select(F.floor(at / 64).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("k")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits")).collect()  # at most WANTED_BITS / 64 rows
+    at = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
+    bits = ids.select("id").distinct().select(F.floor(at / 64).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("k"))
+    words = bits.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits")).collect()  # at most WANTED_BITS / 64 rows
     wanted = np.zeros(WANTED_BITS // 64, dtype=np.int64)
     for r in words:
         wanted[r["w"]] = r["bits"]
-    wanted_bc = spark.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches):
-        bitmap = wanted_bc.value
+        bitmap = shared.value
         for batch in batches:
             place = batch.column(2).to_numpy()
             some = pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)
@@ -168,11 +170,17 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> D
                 found = [s.astype("<u8").tobytes() for s in shingle_sets(as_bytes(part.column(1)), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "set"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").cast("string").alias("text")).filter("a IS NOT NULL").withColumn("at", at)
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL").withColumn("at", at)
     made = source.mapInArrow(sets, "doc_id long, set binary")
-    # repeated rows of one id: the set is the same, one is enough
-    made = stage(made.groupBy("doc_id").agg(F.max("set").alias("set")) if _repeats(docs) else made, "sets")
-    left, right = made.toDF("a", "x"), made.toDF("b", "y")
+    # of repeated rows of one id, one is enough
+    return stage(made.groupBy("doc_id").agg(F.max("set").alias("set")) if _repeats(docs) else made, "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full shingle sets are similar enough."""
+    import pyarrow as pa
+
+    made = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, size)
 
     def check(batches):
         for batch in batches:
@@ -185,7 +193,62 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> D
                 keep.append(100 * common >= similarity * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+    joined = pairs.join(made.toDF("a", "x"), "a").join(made.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    out = stage(joined.mapInArrow(check, "a long, b long"), "verified")
+    drop(made, pairs)
+    return out
+
+
+def block_edges(rows: DataFrame, similarity: int, miss: float) -> DataFrame:
+    """Edges (a, b) across components within each group (g, i, j): rows of its left block against those of its right one.
+
+    rows: g, i, j, left, rep, c, n, the sketch and the set. No pair is written:
+    for each left row, one linked right row of each other component.
+    """
+    import pyarrow as pa
+
+    sketch = [f"s{k}" for k in range(HASHES // BATCH)]
+    most = bounds(similarity / 100, miss)
+
+    def compare(key, table_):
+        left = table_.column("left").to_numpy()
+        rep, c, n = (table_.column(k).to_numpy() for k in ("rep", "c", "n"))
+        bits = np.stack([table_.column(k).to_numpy() for k in sketch], axis=1).view(np.uint64)
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        ok = c[l][:, None] != c[r][None, :]
+        ok &= 100 * np.minimum(n[l][:, None], n[r][None, :]) >= similarity * np.maximum(n[l][:, None], n[r][None, :])
+        differ = np.zeros(ok.shape, dtype=np.int64)
+        for k, bound in enumerate(most):  # one batch of bits after the other, for as long as a pair is left
+            if not ok.any():
+                break
+            differ += np.bitwise_count(bits[l, k][:, None] ^ bits[r, k][None, :])
+            ok &= differ <= bound
+        l, r, ok = l[ok.any(axis=1)], r[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)]
+        a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if len(l):
+            sets = table_.column("set")
+            chosen = [np.frombuffer(sets[int(k)].as_buffer(), "<u8") for k in np.concatenate((l, r))]
+            owner = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen])
+            unique, at = np.unique(np.concatenate(chosen), return_inverse=True)
+            often = np.bincount(at) > 1
+            place = np.cumsum(often) - 1
+            own, at = owner[often[at]], place[at[often[at]]]
+            order = np.argsort(at, kind="stable")
+            own, at = own[order], at[order]
+            common = np.zeros(ok.shape, dtype=np.float64)
+            width = 4096
+            for start in range(0, int(often.sum()), width):
+                p, q = np.searchsorted(at, [start, start + width])
+                x = np.zeros((len(chosen), width), dtype=np.float32)
+                x[own[p:q], at[p:q] - start] = 1
+                common += x[: len(l)] @ x[len(l) :].T
+            ok &= 100 * common >= similarity * (n[l][:, None] + n[r][None, :] - common)
+            i, j = np.nonzero(ok)
+            _, first = np.unique(np.stack((i, c[r[j]]), axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, dtype=np.int64))
+            a, b = rep[l[i[first]]], rep[r[j[first]]]
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -204,10 +267,10 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMIL
 
     Documents with equal sets are one class, represented by the smallest id.
     Representatives meet in bands of their signature. First each is compared with
-    the smallest of its bucket; what is linked is one component then, and only
-    pairs of different components of a bucket are compared further, so a bucket
-    full of near copies costs as much as it has members. Every pair passes the
-    sequential test on its sketches and then the exact check on full sets.
+    the smallest of its bucket; what is linked is one component then. Only pairs
+    of different components are compared further: small groups as joined rows,
+    large ones in blocks, which write no pairs. Every pair passes the sequential
+    test on its sketches and then the exact check on full sets.
     """
     sketch = [f"s{k}" for k in range(HASHES // BATCH)]
     sigs = stage(signed(docs, size), "signatures")
@@ -226,29 +289,43 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMIL
     stars = met.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     stars = stars.join(sided("a_", "a"), "a").join(sided("b_", "b"), "b").filter(similar("a_", "b_", similarity, miss)).select("a", "b")
     edges = verified(stage(stars, "stars"), docs, size, similarity)
-    for best_only in (True, False):
-        labels = components(edges)
-        placed = met.join(labels, met["rep"] == labels["id"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        placed = stage(placed, "placed")
-        mixed = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "main")
-        mixed = stage(mixed, "mixed")
-        wide = stage(placed.join(mixed, "bucket").join(slim, "rep"), "wide")
-        drop(placed, mixed)
-        mine = wide.filter("c <> main").select("bucket", F.col("rep").alias("a"), F.col("c").alias("a_c"), F.col("n").alias("a_n"), *[F.col(s).alias("a_" + s) for s in sketch])
-        theirs = wide.select("bucket", F.col("rep").alias("b"), F.col("c").alias("b_c"), (F.col("c") == F.col("main")).alias("b_main"), F.col("n").alias("b_n"), *[F.col(s).alias("b_" + s) for s in sketch])
-        across = (F.col("a_c") != F.col("b_c")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & similar("a_", "b_", similarity, miss)
-        cross = mine.join(theirs, "bucket").filter(across)
-        if best_only:  # of each other component the nearest sketch; whatever that leaves apart, the second round compares in full
-            differ = sum((F.bit_count(F.col("a_" + s).bitwiseXOR(F.col("b_" + s))) for s in sketch), F.lit(0))
-            cross = cross.groupBy("a", "b_c").agg(F.min_by("b", F.struct(differ, "b")).alias("b"))
-        cross = stage(cross.select("a", "b").distinct(), "cross")
-        drop(wide)
-        if not cross.limit(1).count():
-            break
-        edges = stage(edges.union(verified(cross, docs, size, similarity)), "edges")
+    # What may still be linked meets in a bucket; buckets whose leads are one component by now are one group.
     labels = components(edges)
-    known = stage(reps.join(labels, reps["rep"] == labels["id"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "known")
+    lead_c = labels.select(F.col("id").alias("lead"), F.col("component").alias("lead_c"))
+    placed = met.join(lead_c, "lead", "left").select("rep", F.coalesce("lead_c", "lead").alias("g")).distinct()
+    placed = stage(placed.join(labels, placed["rep"] == labels["id"], "left").select("g", "rep", F.coalesce("component", "rep").alias("c")), "placed")
     drop(met)
+    groups = placed.join(reps.select("rep", "n"), "rep").groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("bytes"))
+    groups = groups.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda count: F.greatest(F.ceil(count / BLOCK), F.ceil(8 * F.col("bytes") * count / F.col("k") / BLOCK_BYTES)).cast("long")
+    groups = stage(groups.select("g", "main", (F.col("k") > SMALL).alias("large"), blocks(F.col("k") - F.col("most")).alias("ni"), blocks(F.col("k")).alias("nj")), "groups")
+    wide = stage(placed.join(groups, "g").join(slim, "rep"), "wide")
+    drop(placed, groups)
+    # Small groups: all pairs of different components, one row each that passes the sketches.
+    few = wide.filter("NOT large")
+    mine = few.filter("c <> main").select("g", F.col("rep").alias("a"), F.col("c").alias("a_c"), F.col("n").alias("a_n"), *[F.col(s).alias("a_" + s) for s in sketch])
+    theirs = few.select("g", F.col("rep").alias("b"), F.col("c").alias("b_c"), (F.col("c") == F.col("main")).alias("b_main"), F.col("n").alias("b_n"), *[F.col(s).alias("b_" + s) for s in sketch])
+    across = (F.col("a_c") != F.col("b_c")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & similar("a_", "b_", similarity, miss)
+    near = stage(mine.join(theirs, "g").filter(across).select("a", "b").distinct(), "near")
+    parts = [edges, verified(near, docs, size, similarity)]
+    # Large groups: what isn't of the main component, in blocks, against blocks of all.
+    many = stage(wide.filter("large"), "many")
+    if many.limit(1).count():
+        made = sets_of(many.select(F.col("rep").alias("id")), docs, size)
+        full_rows = many.join(made, many["rep"] == made["doc_id"]).select("g", "rep", "c", "main", "n", *sketch, "set", "ni", "nj")
+        spread = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+        own = lambda k: F.pmod(F.xxhash64("rep"), F.col(k))
+        left = full_rows.filter("c <> main").withColumn("i", own("ni")).withColumn("j", F.explode(spread("nj"))).withColumn("left", F.lit(True))
+        right = full_rows.withColumn("j", own("nj")).withColumn("i", F.explode(spread("ni"))).withColumn("left", F.lit(False))
+        columns = ["g", "i", "j", "left", "rep", "c", "n", *sketch, "set"]
+        parts.append(stage(block_edges(left.select(*columns).unionByName(right.select(*columns)), similarity, miss), "blocks"))
+        drop(made)
+    drop(wide, many)
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.union(p)
+    labels = components(edges)
+    known = stage(reps.join(labels, reps["rep"] == labels["id"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")), "known")
     joined = some.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sigs.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
