@@ -15,7 +15,7 @@ BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4, 5)
 #: Most labelled documents of each class that training reads, those of the smallest hashes.
-TRAIN_ROWS = 1_500
+TRAIN_ROWS = 1_000
 EPOCHS = 8
 BATCH = 150
 #: How strongly a text's score leans to its highest words: 0 is their mean, large is their maximum.
@@ -29,8 +29,15 @@ AT_ONCE = 4 << 20
 _workers: dict[str, "WordScores"] = {}
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of every word, and how many each word has; a word itself is its last one."""
+def grams(words: list[bytes], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of every word, and how many each word has; a word itself is its last one. In parts, to bound memory."""
+    found = [_grams(words[k : k + part]) for k in range(0, len(words), part)]
+    if not found:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"".join(b"<" + w + b">" for w in words)
     raw = np.frombuffer(joined, dtype=np.uint8)
     size = np.array([len(w) + 2 for w in words], dtype=np.int64)
@@ -50,9 +57,9 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     whole = span_hashes(raw, end - size, end) % np.uint64(BUCKETS)
     at.append(np.arange(len(words)))
     ids.append(whole)
-    at, ids = np.concatenate(at), np.concatenate(ids).astype(np.int64)
+    at, ids = np.concatenate(at), np.concatenate(ids).astype(np.int32)
     order = np.argsort(at, kind="stable")
-    return ids[order], np.bincount(at, minlength=len(words))
+    return ids[order], np.bincount(at, minlength=len(words)).astype(np.int32)
 
 
 def _lowered(text: bytes | None) -> bytes:
@@ -106,7 +113,8 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Model
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, 0.0, float(np.log(p / (1 - p))) if 0 < p < 1 else -5.0)
     joined, first, last = parts
     ids, size = grams([joined[a:b] for a, b in zip(first.tolist(), last.tolist())])
-    begin = np.cumsum(size) - size
+    begin = np.cumsum(size, dtype=np.int64) - size
+    del parts, joined, first, last
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weights = rng.normal(0, 0.1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
@@ -164,7 +172,9 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Model
     score = vectors @ (weights[1] - weights[0])
     model = Model(score.astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0)
     # The output's slope and shift: a logistic regression on the texts' logits, classes weighed alike.
-    z = text_logits(texts, WordScores(model))
+    del vectors, hist_v, ids, bags
+    scores = WordScores(model)
+    z = np.concatenate([text_logits(texts[k : k + 200], scores) for k in range(0, len(texts), 200)])
     slope, shift = 1.0, 0.0
     mu, sd = z.mean(), z.std() + 1e-9
     x = (z - mu) / sd
@@ -192,7 +202,7 @@ class WordScores:
             joined, first, last = parts
             new = np.flatnonzero(~known)
             ids, size = grams([joined[a:b] for a, b in zip(first[new].tolist(), last[new].tolist())])
-            z = np.add.reduceat(self.model.score[ids].astype(np.float64), np.cumsum(size) - size) / size + self.model.bias
+            z = np.add.reduceat(self.model.score[ids].astype(np.float64), np.cumsum(size, dtype=np.int64) - size) / size + self.model.bias
             keys, values = np.concatenate((self.keys, hashes[new])), np.concatenate((self.z, z))
             by = np.argsort(keys, kind="stable")
             self.keys, self.z = keys[by], values[by]
