@@ -185,6 +185,9 @@ class PieceCoder:
 
     def _learn(self, hashes: np.ndarray, segments: list[bytes]) -> None:
         ids, flags = self.checked([s[1:].decode() for s in segments])
+        for k, s in enumerate(segments):
+            if s == b" ":  # a last space alone: coded without its prefix it would be an empty text
+                ids[k] = [self.model.pieces.index(SPACE)]
         n = np.array([len(x) for x in ids], dtype=np.int64)
         flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(n.sum()))
         keys = np.concatenate((self.keys, hashes))

@@ -71,12 +71,12 @@ def test_toxicity_on_held_out_rows(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- ad --><div class="ad">Buy now</div>
-<article><h1>A &amp; B</h1><p>First   line<br>goes <b>on</b> &lt;here&gt;.<p>Second&nbsp;one.</p><ul><li>x<li>y</ul></article>
+<article><h1>A &amp; B</h1><p>First   line<br>goes <b>on</b> &lt;here&gt;.<p>Second&nbsp;one.</p><ul><li>A first point.<li>A second point</ul></article>
 <div class="comments"><div class="comment"><p>Nice post!</p></div></div><form><label>Name</label></form><footer>&copy; us"""
 
 
 def test_blocks():
-    assert [t for _, t, _ in pages.blocks(PAGE)] == ["Home", "Buy now", "A & B", "First line goes on <here>.", "Second one.", "x", "y", "Nice post!", "Name", "© us"]
+    assert [t for _, t, _ in pages.blocks(PAGE)] == ["Home", "Buy now", "A & B", "First line goes on <here>.", "Second one.", "A first point.", "A second point", "Nice post!", "Name", "© us"]
     assert pages.blocks(None) == [] and pages.blocks("") == [] and [t for _, t, _ in pages.blocks("plain <b>text")] == ["plain text"]
 
 
@@ -86,7 +86,7 @@ def test_extraction(spark, sf):
     got = pages.extract(src.select("page_id", "url", "html").unionByName(extra), training=src).collect()
     by = {r["page_id"]: r for r in got}
     assert len(got) == src.count() + 4
-    assert by[900]["text"] == "A & B\n\nFirst line goes on <here>.\n\nSecond one.\n\nx\n\ny"
+    assert by[900]["text"] == "A & B\n\nFirst line goes on <here>.\n\nSecond one.\n\nA first point.\n\nA second point"
     assert by[901]["text"] == "" and by[902]["n_chars"] == 0
     for r in src.collect():
         inside = [t for p, t, _ in pages.blocks(r["html"]) if pages.path_label(p)]
