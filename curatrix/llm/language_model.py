@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, drop, mix, stage, table, word_hashes
 
-#: Context restaurants: one for each of so many frequent words, and one for tokens before any of them.
+#: Every preceding word is a context. Those of so many frequent words, and the start of a text, are kept as
+#: lists in the rows of the words, so that no join is keyed by them; all others are rows (word, context).
 CONTEXTS = 32
-#: Documents whose words choose the contexts, those of the smallest hashes.
+#: Documents whose words choose the contexts that are kept as lists, those of the smallest hashes.
 CONTEXT_ROWS = 2_000
 #: Sweeps that only settle the seats, and sweeps whose predictive probabilities are averaged.
 BURN_IN, SAMPLES = 1, 3
 #: Words whose probabilities every worker holds; the others are joined.
 FREQUENT = 30_000
+#: Most (word, context) pairs whose probabilities every worker holds; the others are joined.
+PAIRS = 300_000
 THETA = 1.0
 #: Customers of one dish that are seated one by one; beyond, a sixteenth of those seated are added at a time.
 SINGLY = 64
@@ -39,13 +42,17 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(words: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """For each token the number, from 1, of the last frequent word before it in its text; 0 if there is none."""
-    place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
-    hit = frequent[place] == words if len(frequent) else np.zeros(len(words), dtype=bool)
-    last = np.maximum.accumulate(np.where(hit, np.arange(len(words)), -1))
-    before = np.concatenate(([-1], last[:-1]))
-    starts = np.repeat(np.cumsum(counts) - counts, counts)
-    return np.where(before >= starts, place[before] + 1, 0).astype(np.int64)
+    """For each token its context: the number, from 1, of the preceding word if it is a frequent one, else that word's hash; 0 at the start of a text."""
+    before = np.concatenate((words[:1], words[:-1]))
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, before), len(frequent) - 1)
+        before = np.where(frequent[place] == before, place + 1, before)
+    before[(np.cumsum(counts) - counts).astype(np.int64)] = 0
+    return before
+
+
+def in_lists(u: Column, frequent: np.ndarray) -> Column:
+    return u.between(0, len(frequent))
 
 
 def _merged(w: np.ndarray, u: np.ndarray, c: np.ndarray):
@@ -75,28 +82,32 @@ def _gathered(parts, limit: int):
 
 
 def counted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(w, u, c): how often word w follows context u in docs, summed within tasks; sums over tasks are still to do."""
+    """(w, u, c): how often word w follows context u in the rows of docs to learn from (column train), summed within tasks; sums over tasks are still to do.
+
+    Pairs of other rows are there too, with a count of 0.
+    """
     import pyarrow as pa
 
     def rows(batches):
         def parts():
             for batch in chunks(batches, AT_ONCE):
                 w, n = tokens(as_bytes(batch.column(0)))
-                yield _merged(w, contexts(w, n, frequent), np.ones(len(w), dtype=np.int64))
+                learnt = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield _merged(w, contexts(w, n, frequent), np.repeat(learnt, n))
 
         for w, u, c in _gathered(parts(), GATHERED):
             for at in range(0, len(w), 200_000):
                 p = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(w[p]), pa.array(u[p].astype(np.int16)), pa.array(c[p])], names=["w", "u", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(w[p]), pa.array(u[p]), pa.array(c[p])], names=["w", "u", "c"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "w long, u short, c long")
+    return docs.select(F.col("text").cast("string").alias("text"), "train").mapInArrow(rows, "w long, u long, c long")
 
 
 def choose_contexts(docs: DataFrame, size: int = CONTEXTS, rows: int = CONTEXT_ROWS) -> np.ndarray:
     """Hashes, in order, of the most frequent words of a bounded sample of documents."""
     ids = docs.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
     sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    top = counted(sample, np.zeros(0, dtype=np.int64)).filter(F.col("w") != END).groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(size)
+    top = counted(sample.filter("train"), np.zeros(0, dtype=np.int64)).filter(F.col("w") != END).groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(size)
     return np.array(sorted(r["w"] for r in top.collect()), dtype=np.int64)
 
 
@@ -151,10 +162,11 @@ class Totals:
 def sweep(dishes: DataFrame, totals: Totals, number: int) -> DataFrame:
     """Seats every dish of every restaurant anew, given all other seats.
 
-    A row is a word: its contexts us (at most CONTEXTS + 1), customers cs and
-    tables ts there, its customers m and tables t0 in the root. Rows stand
-    alone, as the restaurants' totals are a few numbers that are read after each
-    sweep.
+    A row is a word: its contexts us that are kept as lists (at most CONTEXTS +
+    1), customers cs and tables ts there, its customers m and tables t0 in the
+    root, and its tables in all other contexts, mc, which reseat has seated.
+    Rows stand alone, as the totals of these restaurants are a few numbers that
+    are read after each sweep.
     """
     import pyarrow as pa
 
@@ -170,8 +182,7 @@ def sweep(dishes: DataFrame, totals: Totals, number: int) -> DataFrame:
                 seed = mix(np.repeat(w, n) ^ mix(u.astype(np.uint64) + np.uint64(1000 * (number + 1))))
                 own = mix(w ^ mix(np.full(len(w), 999 + 1000 * (number + 1), dtype=np.uint64)))
             t = seated(c, fresh, totals.d, seed)
-            starts = np.cumsum(n) - n
-            m = np.add.reduceat(t, starts) if len(t) else m
+            m = np.bincount(np.repeat(np.arange(len(n)), n), t, minlength=len(n)).astype(np.int64) + batch.column("mc").to_numpy()
             root_fresh = np.full(len(m), (THETA + totals.d0 * totals.t0) / (totals.types + 1))
             t0 = seated(m, root_fresh, totals.d0, own)
             tables = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(t))
@@ -194,53 +205,115 @@ def _discount(one: int, two: int) -> float:
 
 
 class Model:
-    """dishes: a row a word with its seats in each sample; the samples' totals; the contexts' words; tokens and types."""
+    """dishes: a row a word with its seats in each sample; the samples' totals; the words of the contexts kept as lists; tokens and types.
+
+    pairs: w, u, c of all pairs. seats: w, u, c and the tables of all samples
+    together, of the pairs that other contexts hold. rooms: a row for each of
+    those contexts, with its customers and its tables in each sample. top: the
+    most frequent words.
+    """
 
-    def __init__(self, dishes: DataFrame, samples: list[Totals], frequent: np.ndarray, n: int, types: int):
+    def __init__(self, dishes: DataFrame, samples: list[Totals], frequent: np.ndarray, n: int, types: int, pairs: DataFrame, seats: DataFrame, rooms: DataFrame, top: DataFrame):
         self.dishes, self.samples, self.frequent, self.n, self.types = dishes, samples, frequent, n, types
+        self.pairs, self.seats, self.rooms, self.top = pairs, seats, rooms, top
+
+
+def with_words(pairs: DataFrame, words: DataFrame, top: DataFrame) -> DataFrame:
+    """Left join of rows (w, u, ...) with the rows of words by w.
+
+    Rows of the most frequent words, a fixed number, are sent to all tasks; their
+    pairs are dealt by context instead, so that no task gets all of a common word.
+    """
+    names = [c for c in words.columns if c != "w"]
+    near = words.join(F.broadcast(top.select("w")), "w", "left_semi").select(F.col("w").alias("_w"), *[F.col(c).alias(f"_{c}") for c in names])
+    far = words.select(F.col("w").alias("_v"), *names)
+    df = pairs.join(F.broadcast(near), F.col("w") == F.col("_w"), "left")
+    df = df.withColumn("_k", F.when(F.col("_w").isNull(), F.col("w")).otherwise(F.col("u")))
+    df = df.join(far, F.col("_k") == F.col("_v"), "left")
+    # a context may be a word of its own: its row is not the pair's
+    return df.select(*[pairs[c] for c in pairs.columns], *[F.when(F.col("_w").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in names])
+
+
+def reseat(seats: DataFrame, rooms: DataFrame, p0: DataFrame, top: DataFrame, totals: Totals, number: int, keep: bool) -> DataFrame:
+    """Seats every row (w, u, c, t, s) of more than one customer anew, given the tables of its context and its word's probability in the root; adds the tables to s if keep."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            w, u, c, t, s, size, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("w", "u", "c", "t", "s", "tables", "p0"))
+            fresh = (THETA + totals.d * np.maximum(size - t + 1, 1)) * p
+            with np.errstate(over="ignore"):
+                seed = mix(w.view(np.uint64) ^ mix(u.view(np.uint64) + np.uint64(1000 * (number + 1))))
+            t = seated(c, fresh, totals.d, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, c, t, s + t if keep else s)], names=["w", "u", "c", "t", "s"])
+
+    there = seats.join(rooms.select(F.col("u").alias("_u"), "tables"), F.col("u") == F.col("_u")).select("w", "u", "c", "t", "s", "tables")
+    return with_words(there, p0, top).mapInArrow(rows, "w long, u long, c long, t long, s long")
 
 
-def learn(docs: DataFrame, context_words: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
-    """Fits the model on all rows of docs (columns doc_id, text).
+def learn(docs: DataFrame, context_words: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES, frequent_words: int = FREQUENT) -> Model:
+    """Fits the model on all rows of docs (columns doc_id, text), or on those with train, if there is such a column.
 
-    Every (word, context) count comes from all documents. The restaurants of the
-    contexts share one parent, the root, whose base is uniform over the words and
-    one unknown word. Discounts come from the counts of ones and twos.
+    Every preceding word has a restaurant of its own. Every (word, context) count
+    comes from all documents. The restaurants of the contexts share one parent,
+    the root, whose base is uniform over the words and one unknown word.
+    Discounts come from the counts of ones and twos. A pair of one customer has
+    one table in every seating, so only the others are seated again.
     """
+    if "train" not in docs.columns:
+        docs = docs.withColumn("train", F.lit(True))
     frequent = choose_contexts(docs, context_words)
-    counts = counted(docs, frequent).repartition("w").groupBy("w", "u").agg(F.sum("c").alias("c"))
-    rows = counts.groupBy("w").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct("u", "c"))).alias("x"))  # at most CONTEXTS + 1 a word
+    pairs = stage(counted(docs, frequent).groupBy("w", "u").agg(F.sum("c").alias("c")), "pairs")
+    listed = in_lists(F.col("u"), frequent)
+    learnt, other = pairs.filter("c > 0"), pairs.filter(~listed & (F.col("c") > 0))
     zero = F.lit(0).cast("long")
+    rows = learnt.groupBy("w").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.when(listed, F.struct(F.col("u").cast("short").alias("u"), "c")))).alias("x"), F.count_if(~listed).alias("others"), F.count_if(~listed & (F.col("c") == 1)).alias("single"))  # at most CONTEXTS + 1 in a word's list
     ones = F.transform("us", lambda u: F.lit(1).cast("long"))
-    dishes = rows.select("w", "c", F.col("x.u").alias("us"), F.col("x.c").alias("cs")).select("w", "c", "us", "cs", ones.alias("ts"), F.size("us").cast("long").alias("m"), F.lit(1).cast("long").alias("t0"))
+    dishes = rows.select("w", "c", F.col("x.u").alias("us"), F.col("x.c").alias("cs"), "others", "single").select("w", "c", "us", "cs", ones.alias("ts"), (F.size("us") + F.col("others")).alias("m"), F.lit(1).cast("long").alias("t0"), "single")
     names = [f"{kind}{k}" for k in range(samples) for kind in ("ts_", "p0_")]
     dishes = stage(dishes, "dishes")
+    # ranks the words alone, so that the lists don't go to the driver
+    top = stage(dishes.select("w", "c").orderBy(F.desc("c"), "w").limit(frequent_words), "top")
+    rooms = stage(other.groupBy("u").agg(F.sum("c").alias("customers"), F.count_if(F.col("c") == 1).alias("single"), F.count_if(F.col("c") == 2).alias("two"), F.count(F.lit(1)).alias("tables")), "rooms")
+    seats = other.filter("c > 1").select("w", "u", "c", F.lit(1).cast("long").alias("t"), zero.alias("s"))
     each = dishes.select(F.explode(F.arrays_zip("us", "cs")).alias("x")).groupBy("x.us").agg(F.sum("x.cs").alias("c"), F.count_if(F.col("x.cs") == 1).alias("one"), F.count_if(F.col("x.cs") == 2).alias("two")).collect()
     c_u = np.zeros(len(frequent) + 1)
     for r in each:
         c_u[r["us"]] = r["c"]
     whole = dishes.agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n"), F.count_if(F.col("m") == 1).alias("one"), F.count_if(F.col("m") == 2).alias("two")).collect()[0]
+    rest = rooms.agg(F.coalesce(F.sum("single"), zero).alias("one"), F.coalesce(F.sum("two"), zero).alias("two")).collect()[0]
     types, n = whole["types"], whole["n"] or 0
-    d, d0 = _discount(sum(r["one"] for r in each), sum(r["two"] for r in each)), _discount(whole["one"], whole["two"])
+    d, d0 = _discount(rest["one"] + sum(r["one"] for r in each), rest["two"] + sum(r["two"] for r in each)), _discount(whole["one"], whole["two"])
     totals = read_totals(dishes, c_u, types, d, d0)
     kept: list[Totals] = []
+
+    def root_column() -> Column:
+        base = 1.0 / (types + 1)
+        return (F.greatest(F.col("m") - d0 * F.col("t0"), F.lit(0.0)) + (THETA + d0 * totals.t0) * base) / (THETA + totals.m)
+
     for number in range(burn_in + samples):
-        new = stage(sweep(dishes, totals, number), "dishes")
+        keeps = number >= burn_in
+        k = len(kept)
+        again = stage(reseat(seats, rooms, dishes.select("w", root_column().alias("p0")), top, totals, number, keeps), "seats")
+        of_word = again.groupBy(F.col("w").alias("_w")).agg(F.sum("t").alias("_t"))
+        met = dishes.join(of_word, F.col("w") == F.col("_w"), "left").withColumn("mc", F.col("single") + F.coalesce("_t", zero)).drop("_w", "_t")
+        new = stage(sweep(met, totals, number).drop("mc"), "dishes")
+        of_room = again.groupBy(F.col("u").alias("_u")).agg(F.sum("t").alias("_t"))
+        fuller = rooms.join(of_room, F.col("u") == F.col("_u"), "left").withColumn("tables", F.col("single") + F.coalesce("_t", zero)).drop("_u", "_t")
+        fuller = stage(fuller.withColumn(f"t_{k}", F.col("tables")) if keeps else fuller, "rooms")
         totals = read_totals(new, c_u, types, d, d0)
-        if number >= burn_in:
-            base = 1.0 / (types + 1)
-            p0 = (F.greatest(F.col("m") - d0 * F.col("t0"), F.lit(0.0)) + (THETA + d0 * totals.t0) * base) / (THETA + totals.m)
-            k = len(kept)
-            new = stage(new.withColumn(f"ts_{k}", F.col("ts")).withColumn(f"p0_{k}", p0), "dishes") if k + 1 < samples else new.withColumn(f"ts_{k}", F.col("ts")).withColumn(f"p0_{k}", p0)
+        drop(seats, rooms, dishes)
+        seats, rooms, dishes = again, fuller, new
+        if keeps:
+            dishes = stage(new.withColumn(f"ts_{k}", F.col("ts")).withColumn(f"p0_{k}", root_column()), "dishes")
+            drop(new)
             kept.append(totals)
-        if number < burn_in + samples - 1:
-            drop(dishes)
-        dishes = new
-    return Model(dishes.select("w", "c", "us", "cs", *names), kept, frequent, n, types)
+    single = pairs.filter(~listed & (F.col("c") < 2)).select("w", "u", "c", (F.col("c") * samples).alias("s"))
+    return Model(dishes.select("w", "c", "us", "cs", *names), kept, frequent, n, types, pairs, single.union(seats.select("w", "u", "c", "s")), rooms, top)
 
 
 def probability(model: Model, u: Column) -> Column:
-    """The averaged predictive probability of a row's word after context u; for an unknown word (null w) the unknown's."""
+    """The averaged predictive probability of a row's word after a context u that is kept as a list; for an unknown word (null c) the unknown's."""
     out: Column = F.lit(0.0)
     at = F.when(F.col("c").isNotNull(), F.array_position(F.col("us"), u).cast("int"))
     count = F.when(at > 0, F.get("cs", at - 1)).otherwise(F.lit(0))
@@ -277,29 +350,72 @@ def _base(model: Model, c: Column) -> Column:
     return F.log10((c + 0.5) / (model.n + 0.5 * (model.types + 1)))
 
 
-def score(docs: DataFrame, model: Model, frequent_words: int = FREQUENT) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of docs.
-
-    Workers hold the probabilities of the most frequent words (a fixed number);
-    of the other words, each text's distinct (word, context) pairs are joined
-    with the model by word. The texts themselves aren't shuffled.
+def known_pairs(model: Model) -> DataFrame:
+    """w, u, n, cw, p of every pair of the model: its count, its word's, and log10 of the averaged predictive probability."""
+    names = [f"p0_{k}" for k in range(len(model.samples))]
+    words = model.dishes.select("w", F.col("c").alias("cw"), *names)
+    rooms = model.rooms.select(F.col("u").alias("_u"), "customers", *[f"t_{k}" for k in range(len(names))])
+    there = model.seats.join(rooms, F.col("u") == F.col("_u"), "left").drop("_u")
+    met = with_words(there, words, model.top)
+    size = THETA + F.coalesce("customers", F.lit(0))
+    p: Column = F.lit(0.0)
+    for k, s in enumerate(model.samples):
+        unknown = float(s.root(np.zeros(1), np.zeros(1))[0])
+        p = p + (THETA + s.d * F.coalesce(f"t_{k}", F.lit(0))) / size * F.coalesce(f"p0_{k}", F.lit(unknown))
+        d = s.d
+    p = (p + (len(names) * F.col("c") - d * F.col("s")) / size) / len(names)
+    other = met.select("w", "u", F.col("c").alias("n"), F.coalesce("cw", F.lit(0)).alias("cw"), F.log10(p).alias("p"))
+    listed = model.pairs.filter(in_lists(F.col("u"), model.frequent)).select(F.col("w").alias("_w"), "u", F.col("c").alias("n"))
+    # at most CONTEXTS + 1 rows a word; workers hold the most frequent words' probabilities
+    rarer = listed.join(F.broadcast(model.top.select(F.col("w").alias("_v"))), F.col("_w") == F.col("_v"), "left_anti")
+    lists = rarer.join(model.dishes, F.col("_w") == F.col("w"), "left")
+    return other.union(lists.select(F.col("_w").alias("w"), "u", "n", F.coalesce("c", F.lit(0)).alias("cw"), F.log10(probability(model, F.col("u"))).alias("p")))
+
+
+def most_frequent(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs of the highest counts, as far as whole counts fit into so many rows."""
+    by = sorted(((r["k"], r["x"]) for r in pairs.groupBy(F.least("n", F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("x")).collect()), reverse=True)  # at most 10,001 rows
+    least, total = 10_001, 0
+    for k, x in by:
+        total += x
+        if total > most or k < 2:
+            break
+        least = k
+    return pairs.filter(F.col("n") >= least)
+
+
+def pair_hash(w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(w.view(np.uint64) ^ mix(u.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def score(docs: DataFrame, model: Model, most_pairs: int = PAIRS) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of docs, rows that learn was given.
+
+    Workers hold the probabilities of the most frequent words after the contexts
+    kept as lists, and of the most frequent pairs (fixed numbers of both); the
+    others of each text's distinct (word, context) pairs are joined with the
+    model's. The texts themselves aren't shuffled.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     size = len(model.frequent) + 1
-    # first the words alone, so that the ranking doesn't carry their lists to the driver
-    top = model.dishes.select("w", "c").orderBy(F.desc("c"), "w").limit(frequent_words).select(F.col("w").alias("_w"))
-    chosen = model.dishes.join(F.broadcast(top), F.col("w") == F.col("_w")).drop("_w")
+    chosen = model.dishes.join(F.broadcast(model.top.select(F.col("w").alias("_w"))), F.col("w") == F.col("_w"), "left_semi")
     dense = sorted((r["w"], r["c"], bytes(r["p"])) for r in with_dense(chosen, model).collect())  # frequent_words rows of size floats
     c = np.array([r[1] for r in dense], dtype=np.float64)
     base_of = np.log10((c + 0.5) / (model.n + 0.5 * (model.types + 1)))
-    shared = spark.sparkContext.broadcast((np.array([r[0] for r in dense], dtype=np.int64), base_of, np.frombuffer(b"".join(r[2] for r in dense), dtype="<f4").reshape(len(dense), size)))
+    pairs = stage(known_pairs(model), "known")
+    top = most_frequent(pairs, most_pairs).select("w", "u", "p").toArrow()  # at most most_pairs rows
+    keys = pair_hash(*(top.column(k).to_numpy() for k in ("w", "u")))
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((np.array([r[0] for r in dense], dtype=np.int64), base_of, np.frombuffer(b"".join(r[2] for r in dense), dtype="<f4").reshape(len(dense), size), keys[order], top.column("p").to_numpy()[order].astype("<f4")))
+    del dense, top, keys, order
     frequent = model.frequent
     names = ["doc_id", "tag", "w", "u", "n", "row", "known", "base", "score"]
 
     def rows(batches):
-        common, base, table_ = shared.value
+        common, base, table_, pair, pair_p = shared.value
         for batch in chunks(batches, AT_ONCE):
             ids = batch.column(0)
             w, n = tokens(as_bytes(batch.column(1)))
@@ -311,13 +427,24 @@ def score(docs: DataFrame, model: Model, frequent_words: int = FREQUENT) -> Data
                 tag = np.add.reduceat(mix(w.view(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
             at = np.minimum(np.searchsorted(common, w), max(0, len(common) - 1))
             hit = common[at] == w if len(common) else np.zeros(len(w), dtype=bool)
-            h, hd = at[hit], doc[hit]
-            sums = [np.bincount(hd, x, minlength=len(n)) for x in (np.ones(len(h)), base[h] if len(base) else np.zeros(0), table_[h, u[hit]] if len(base) else np.zeros(0))]
+            near = (u >= 0) & (u < size)
+            p = np.zeros(len(w))
+            if len(common):
+                p[hit & near] = table_[at[hit & near], u[hit & near]]
+            done = hit & near
+            if len(pair):
+                key = pair_hash(w, u)
+                where = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+                held = hit & ~near & (pair[where] == key)
+                p[held] = pair_p[where[held]]
+                done |= held
+            hd = doc[done]
+            sums = [np.bincount(hd, x, minlength=len(n)) for x in (np.ones(len(hd)), base[at[done]] if len(base) else np.zeros(0), p[done])]
             # a row for the text itself, under a word that no model holds, and one for each of its rarer pairs
             with np.errstate(over="ignore"):
                 own = mix(tag.view(np.uint64) ^ np.uint64(0xA5A5A5A5)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(tag), pa.array(own), pa.array(np.full(len(n), -1, dtype=np.int16)), pa.array(n.astype(np.int64)), pa.array(np.ones(len(n), dtype=np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
-            rest = ~hit
+            yield pa.RecordBatch.from_arrays([ids, pa.array(tag), pa.array(own), pa.array(own), pa.array(n.astype(np.int64)), pa.array(np.ones(len(n), dtype=np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
+            rest = ~done
             if rest.any():
                 rw, ru, rd = w[rest], u[rest], doc[rest]
                 order = np.lexsort((ru, rw, rd))
@@ -328,21 +455,22 @@ def score(docs: DataFrame, model: Model, frequent_words: int = FREQUENT) -> Data
                 times = np.diff(first, append=len(rw)).astype(np.int64)
                 rw, ru, rd = rw[first], ru[first], rd[first]
                 for a in range(0, len(rw), 200_000):
-                    p = slice(a, a + 200_000)
-                    k = len(rw[p])
+                    q = slice(a, a + 200_000)
+                    k = len(rw[q])
                     zero = pa.array(np.zeros(k))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rd[p])), pa.array(tag[rd[p]]), pa.array(rw[p]), pa.array(ru[p].astype(np.int16)), pa.array(times[p]), pa.array(np.zeros(k, dtype=np.int64)), pa.array(np.zeros(k, dtype=np.int64)), zero, zero], names=names)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rd[q])), pa.array(tag[rd[q]]), pa.array(rw[q]), pa.array(ru[q]), pa.array(times[q]), pa.array(np.zeros(k, dtype=np.int64)), pa.array(np.zeros(k, dtype=np.int64)), zero, zero], names=names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = src.mapInArrow(rows, "doc_id long, tag long, w long, u short, n long, row long, known long, base double, score double")
-    joined = made.withColumnRenamed("w", "token").join(model.dishes, F.col("token") == F.col("w"), "left")
+    made = src.mapInArrow(rows, "doc_id long, tag long, w long, u long, n long, row long, known long, base double, score double")
+    held = pairs.select(F.col("w").alias("_w"), F.col("u").alias("_u"), "cw", "p")
+    joined = made.join(held, (F.col("w") == F.col("_w")) & (F.col("u") == F.col("_u")), "left")
     rare = F.col("row") == 0
     joined = joined.select(
         "doc_id", "tag", "row",
         F.when(rare, F.lit(0)).otherwise(F.col("n")).alias("n_tokens"),
-        F.when(rare & F.col("c").isNotNull(), F.col("n")).otherwise(F.col("known")).alias("n_known"),
-        F.when(rare, F.col("n") * _base(model, F.coalesce("c", F.lit(0)))).otherwise(F.col("base")).alias("base_score"),
-        F.when(rare, F.col("n") * F.log10(probability(model, F.greatest(F.col("u"), F.lit(0).cast("short"))))).otherwise(F.col("score")).alias("score"),
+        F.when(rare & (F.col("cw") > 0), F.col("n")).otherwise(F.col("known")).alias("n_known"),
+        F.when(rare, F.col("n") * _base(model, F.col("cw"))).otherwise(F.col("base")).alias("base_score"),
+        F.when(rare, F.col("n") * F.col("p")).otherwise(F.col("score")).alias("score"),
     )
     by = joined.groupBy("doc_id", "tag").agg(F.sum("row").alias("rows"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     # repeated rows of one text have been summed together: take the mean, and give each its row again
@@ -359,7 +487,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     dropped.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = learn(base.filter(~held_out()))
+    model = learn(base.withColumn("train", ~held_out()))
     return score(base, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

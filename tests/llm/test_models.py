@@ -224,3 +224,31 @@ def test_seating_keeps_its_bounds():
     t = language_model.seated(c, np.full(6, 5.0), 0.7, np.arange(6, dtype=np.uint64))
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
     assert (t == language_model.seated(c, np.full(6, 5.0), 0.7, np.arange(6, dtype=np.uint64))).all()
+
+
+def test_language_model_tells_every_context(spark):
+    """Each word always follows the same one: only a context for every preceding word can say so."""
+    rng = random.Random(1)
+    after = {f"a{k}": f"b{k}" for k in range(300)}
+    rows = [(i, " ".join(x for _ in range(40) for k in [rng.randrange(300)] for x in (f"a{k}", after[f"a{k}"]))) for i in range(300)]
+    got = language_model.language_model_scores(documents(spark, rows)).collect()
+    held = [r for r in got if r["held_out"]]
+    # half of the tokens are one of 300 words, half are told by the word before them
+    mean = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert mean > -1.5, mean
+
+
+def test_every_restaurant_sums_to_one(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = language_model.learn(docs)
+    other = language_model.known_pairs(model).filter(~language_model.in_lists(F.col("u"), model.frequent))
+    by = other.groupBy("u").agg(F.sum(F.pow(F.lit(10.0), "p")).alias("p"), F.collect_list("w").alias("ws")).orderBy(F.desc(F.size("ws"))).limit(3).collect()
+    p0 = {r["w"]: [r[f"p0_{k}"] for k in range(len(model.samples))] for r in model.dishes.collect()}
+    rooms = {r["u"]: r for r in model.rooms.collect()}
+    assert len(rooms) > 100 * language_model.CONTEXTS / 32
+    for r in by:
+        room, seen, missing = rooms[r["u"]], set(r["ws"]), 0.0
+        for k, s in enumerate(model.samples):
+            back = (language_model.THETA + s.d * room[f"t_{k}"]) / (language_model.THETA + room["customers"])
+            missing += back * (1 - sum(p0[w][k] for w in seen)) / len(model.samples)
+        assert r["p"] + missing == pytest.approx(1.0, abs=1e-6)
