@@ -9,13 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, span_hashes, table
+from .common import Growing, Memory, as_bytes, chunks, span_hashes, table, tidy
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments that one worker remembers; when full the memory starts anew.
-REMEMBERED = 3_000_000
-AT_ONCE = 4 << 20
+REMEMBERED = 1_500_000
+AT_ONCE = 1 << 20
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -165,23 +165,17 @@ class PieceCoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
-        self.good = np.zeros(0, dtype=np.int8)
-        self.flat = np.zeros(1, dtype=np.uint32)
+        self.segments, self.at, self.n, self.good, self.flat = Memory(), Growing(np.uint32), Growing(np.uint32), Growing(np.int8), Growing(np.uint32)
 
     def checked(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        """Ids of texts; bit 0 of the flags: equal to sentencepiece's, bit 1: decoding gives the text again.
+        """The tokenizers library's ids of texts; bit 0 of the flags: sentencepiece has the same, bit 1: decoding gives the text again."""
+        import os
 
-        Where they differ, sentencepiece's ids are returned.
-        """
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # the batch is coded on several threads
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.judge.encode(texts, num_threads=1)
-        parity = np.array([a == b for a, b in zip(ours, theirs)])
-        back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-        whole = np.array([a == b for a, b in zip(back, texts)])
-        return theirs, parity.astype(np.int8) | (whole.astype(np.int8) << 1)
+        parity = np.array([a == b for a, b in zip(ours, self.judge.encode(texts, num_threads=1))])
+        whole = np.array([a == b for a, b in zip(self.tokenizer.decode_batch(ours, skip_special_tokens=False), texts)])
+        return ours, parity.astype(np.int8) | (whole.astype(np.int8) << 1)
 
     def _learn(self, hashes: np.ndarray, segments: list[bytes]) -> None:
         ids, flags = self.checked([s[1:].decode() for s in segments])
@@ -189,20 +183,18 @@ class PieceCoder:
             if s == b" ":  # a last space alone: coded without its prefix it would be an empty text
                 ids[k] = [self.model.pieces.index(SPACE)]
         n = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(n.sum()))
-        keys = np.concatenate((self.keys, hashes))
-        by = np.argsort(keys, kind="stable")
-        at = np.concatenate((self.at, len(self.flat) - 1 + np.cumsum(n) - n))
-        self.keys, self.at = keys[by], at[by]
-        self.n, self.good = np.concatenate((self.n, n))[by], np.concatenate((self.good, flags))[by]
-        self.flat = np.concatenate((self.flat[:-1], flat, np.zeros(1, dtype=np.uint32)))
+        self.segments.add(hashes)
+        self.at.append(self.flat.size + np.cumsum(n) - n)
+        self.n.append(n)
+        self.good.append(flags)
+        self.flat.append(np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(n.sum())))
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids end to end, how many each text has, and each text's flags as in checked()."""
         if not self.model.plain:
             ids, flags = self.checked([(t or b"").decode() for t in texts])
             return np.fromiter((i for x in ids for i in x), dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64), flags
-        if len(self.keys) > REMEMBERED:
+        if self.segments.size > REMEMBERED:
             self._forget()
         # Each text begins with the prefix space. One that holds the space marker itself is one segment.
         rows = [b" " + t if t else b"" for t in texts]
@@ -222,21 +214,20 @@ class PieceCoder:
         first = np.flatnonzero(begins)
         last = np.append(first[1:], len(raw))
         unique, index, inverse = np.unique(span_hashes(raw, first, last), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, unique)
-        known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), dtype=bool)
-        if not known.all():
-            new = np.flatnonzero(~known)
+        number = self.segments.find(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             self._learn(unique[new], [joined[a:b] for a, b in zip(first[index[new]].tolist(), last[index[new]].tolist())])
-            place = np.searchsorted(self.keys, unique)
-        place = place[inverse]
-        n = self.n[place]
+            number[new] = self.segments.find(unique[new])
+        place = number[inverse]
+        n = self.n.data[place].astype(np.int64)
         total = np.cumsum(n)
-        out = self.flat[np.repeat(self.at[place] - (total - n), n) + np.arange(total[-1])]
+        out = self.flat.data[np.repeat(self.at.data[place] - (total - n), n) + np.arange(total[-1])]
         upto = np.searchsorted(first, ends, side="left")
         counts = np.diff(np.concatenate(([0], total))[upto], prepend=0)
         flags = np.full(len(texts), 3, dtype=np.int8)
         some = np.diff(upto, prepend=0) > 0
-        flags[some] = np.bitwise_and.reduceat(self.good[place], np.concatenate(([0], upto[:-1]))[some])
+        flags[some] = np.bitwise_and.reduceat(self.good.data[place], np.concatenate(([0], upto[:-1]))[some])
         return out, counts, flags
 
     def decode(self, rows: list[list[int]]) -> list[str]:
@@ -258,8 +249,8 @@ def model_path(name: str = MODEL) -> str:
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_crc32, parity, round_trip, and ids if asked for.
 
-    ids are those of the SentencePiece model for the whole text, without begin
-    or end marks; parity says that the tokenizers library gave the same ids,
+    ids are the rebuilt tokenizer's for the whole text, without begin or end
+    marks; parity says that the sentencepiece library gives the same ids,
     round_trip that decoding gives the text again. Null and empty texts have no
     ids and both true. Other columns are dropped; repeated rows are coded alike.
     """
@@ -280,7 +271,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -294,8 +285,9 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
             texts = code.decode([x or [] for x in ids])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t if x is not None else None for t, x in zip(texts, ids)], pa.string())], names=["doc_id", "text"])
 
-    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(rows, "doc_id long, text string")
+    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(tidy(rows), "doc_id long, text string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode() over all documents, ids as their checksum."""
     return encode(table(spark, sf_dir, "documents"), with_ids=False)
