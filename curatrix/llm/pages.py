@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_hashes
+from .common import table, tidy, word_hashes
 
 #: Hashed features of tag paths and of words, and the length of one direction's state.
 PATH = 64
@@ -364,7 +364,7 @@ def extract(pages: DataFrame, training: DataFrame | None = None, train_pages: in
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return src.mapInArrow(tidy(texts), "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

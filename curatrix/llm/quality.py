@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stage, table
+from .common import as_bytes, chunks, drop, mix, stage, table, tidy, without, word_hashes
 
 #: Most labelled documents of each class that the classifier reads, those of the smallest hashes.
 TRAIN_ROWS = 4_000
@@ -16,17 +16,21 @@ TRAIN_ROWS = 4_000
 THRESHOLD = 0.5
 #: Documents' worth of evidence that a site's prior may weigh at most: groups with more documents still differ from their parent.
 STRONGEST = 1_000.0
-FEATURES = ("symbols", "upper", "exclaim", "bars", "digits", "distinct", "runs", "word_length", "dup_lines", "log_words", "low_ends")
+#: Buckets of the hashed words and word pairs, and neutral ones that are added to each text's own.
+BUCKETS = 1 << 16
+NEUTRAL = 20
+AT_ONCE = 1 << 20
+FEATURES = ("ngrams", "symbols", "upper", "exclaim", "bars", "digits", "distinct", "runs", "word_length", "dup_lines", "log_words", "low_ends")
 _SYMBOLS = b"#*$%&<>@^~=_\\{}[]"
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
 
 
-def features(text: bytes | None) -> tuple[float, ...]:
+def counters(text: bytes | None) -> tuple[float, ...]:
     """Shares that tell prose from junk; all are 0 without words."""
     words = text.split() if text else []
     if not words:
-        return (0.0,) * len(FEATURES)
+        return (0.0,) * (len(FEATURES) - 1)
     size, n = len(text), len(words)
 
     def share(chars: bytes) -> float:
@@ -41,19 +45,79 @@ def features(text: bytes | None) -> tuple[float, ...]:
     )
 
 
-def featured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of docs and f, the list of its text's features."""
+def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every word and of every pair of successive words of every text, and the text of each."""
+    hashes, counts = word_hashes(texts)
+    text = np.repeat(np.arange(len(texts)), counts)
+    follows = np.flatnonzero(text[1:] == text[:-1])
+    with np.errstate(over="ignore"):
+        pairs = mix(hashes[follows] * np.uint64(0x9E3779B97F4A7C15) + hashes[follows + 1])
+    return (np.concatenate((hashes, pairs)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate((text, text[follows]))
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """For each bucket the log ratio of its smoothed shares in good and in bad documents; counts is (2, BUCKETS), bad first."""
+    share = np.log(counts + 1.0) - np.log(counts.sum(axis=1, keepdims=True) + counts.shape[1])
+    return share[1] - share[0]
+
+
+def featured(docs: DataFrame, columns: list[str], counts: np.ndarray, own: str | None = None) -> DataFrame:
+    """The given columns of docs and f, the list of its text's features.
+
+    The first feature is the mean log ratio of the text's words and pairs. own
+    names a column with the class whose counts hold the text itself: they are
+    taken out then, so that a training text isn't judged by itself.
+    """
     import pyarrow as pa
 
     src = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def rows(batches):
-        for b in batches:
-            f = [features(t) for t in as_bytes(b.column(len(columns)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(f, pa.list_(pa.float64()))], names=[*columns, "f"])
+        counts_ = shared.value
+        ratios, totals = log_ratios(counts_), counts_.sum(axis=1) + counts_.shape[1]
+        for whole in batches:
+            for b in chunks([whole], AT_ONCE, "_text"):
+                texts = as_bytes(b.column(len(columns)))
+                at, text = grams(texts)
+                if own is None:
+                    sums = np.bincount(text, ratios[at], minlength=len(texts))
+                else:
+                    sums = np.zeros(len(texts))
+                    for k, kind in enumerate(b.column(columns.index(own)).to_pylist()):
+                        unique, n = np.unique(at[text == k], return_counts=True)
+                        mine = counts_[:, unique].astype(np.float64)
+                        mine[kind] -= n
+                        size = totals.astype(np.float64)
+                        size[kind] -= n.sum()
+                        share = np.log(mine + 1.0) - np.log(size)[:, None]
+                        sums[k] = ((share[1] - share[0]) * n).sum()
+                first = sums / (np.bincount(text, minlength=len(texts)) + NEUTRAL)
+                f = [(r, *counters(t)) for r, t in zip(first.tolist(), texts)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(f, pa.list_(pa.float64()))], names=[*columns, "f"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*columns).schema)
-    return src.mapInArrow(rows, f"{schema}, f array<double>")
+    return src.mapInArrow(tidy(rows), f"{schema}, f array<double>")
+
+
+def class_counts(labelled: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the labelled texts (text, _quality) of each class."""
+    import pyarrow as pa
+
+    def rows(batches):
+        held = np.zeros((2, BUCKETS), dtype=np.int64)
+        for b in chunks(batches, AT_ONCE):
+            at, text = grams(as_bytes(b.column(0)))
+            kind = b.column(1).to_numpy().astype(np.int64)
+            held += np.bincount(kind[text] * BUCKETS + at, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+        kind, at = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(kind * BUCKETS + at), pa.array(held[kind, at])], names=["b", "n"])
+
+    found = labelled.select(F.col("text").cast("string").alias("text"), F.col("_quality").cast("int")).mapInArrow(tidy(rows), "b long, n long")
+    out = np.zeros(2 * BUCKETS, dtype=np.int64)
+    got = found.groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most one row a bucket and class
+    out[got.column("b").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(2, BUCKETS)
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[list[float], float]:
@@ -76,14 +140,18 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[list[float], fl
     return w[:-1].tolist(), float(w[-1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and classes of the labelled documents, and their class counts. Repeated rows of one text are read once."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = [known.filter(f"quality = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = featured(joined, ["doc_id", "_quality"]).collect()  # at most 2 x rows documents, eleven numbers each
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
+    joined = stage(joined.distinct(), "labelled")
+    counts = class_counts(joined)
+    got = featured(joined, ["doc_id", "_quality"], counts, own="_quality").collect()  # at most 2 x rows documents, a dozen numbers each
+    drop(joined)
     got.sort(key=lambda r: (r["doc_id"], r["f"]))
-    return np.array([r["f"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["_quality"] for r in got], dtype=np.int64)
+    return np.array([r["f"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["_quality"] for r in got], dtype=np.int64), counts
 
 
 def _strength(mean: float, between: float) -> float:
@@ -103,10 +171,11 @@ def _between(groups: DataFrame, mean: Column | float) -> float:
 
 def evidence(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns and p, the classifier's probability from the text alone."""
-    weights, intercept = fit(*training_rows(docs, labels))
+    x, y, counts = training_rows(docs, labels)
+    weights, intercept = fit(x, y)
     z = sum((F.col("f")[k] * w for k, w in enumerate(weights)), F.lit(intercept))
     z = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))
-    return featured(docs, columns).withColumn("p", 1 / (1 + F.exp(-z))).drop("f")
+    return featured(docs, columns, counts).withColumn("p", 1 / (1 + F.exp(-z))).drop("f")
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
@@ -115,9 +184,9 @@ def posteriors(scored: DataFrame) -> DataFrame:
     The sums of p by path and host are grouped aggregates. A host's mean is
     shrunk towards the mean of all, a path's towards its host's, each by the
     strength that the spread of the groups implies; a site of few documents stays
-    near its parent. A document's odds are those of its text times what its path
-    adds over the global prior, so that evidence isn't counted twice the path's
-    share leaves the document itself out.
+    near its parent. Both means leave the document itself out, so that its own
+    evidence is counted once. A document's odds are those of its text times what
+    its path adds over the global prior.
     """
     one = F.count(F.lit(1))
     paths = stage(scored.groupBy("_host", "_path").agg(one.alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
@@ -129,11 +198,12 @@ def posteriors(scored: DataFrame) -> DataFrame:
         return df.withColumn("v", F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)))
 
     host_k = _strength(prior, _between(variance(hosts), prior))
-    host_post = hosts.select(F.col("_host").alias("h"), F.col("n").alias("host_n"), ((F.col("s") + host_k * prior) / (F.col("n") + host_k)).alias("host_p"))
+    host_post = hosts.select(F.col("_host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + host_k * prior) / (F.col("n") + host_k)).alias("mean"))
     with_host = stage(variance(paths).join(host_post, F.col("_host").eqNullSafe(F.col("h"))).drop("h"), "path_hosts")
-    path_k = _strength(prior, _between(with_host, F.col("host_p")))
-    group = stage(with_host.select(F.col("_host").alias("gh"), F.col("_path").alias("gp"), "n", "s", "host_p"), "groups")
+    path_k = _strength(prior, _between(with_host, F.col("mean")))
+    group = stage(with_host.select(F.col("_host").alias("gh"), F.col("_path").alias("gp"), "n", "s", "host_n", "host_s"), "groups")
     joined = scored.join(group, F.col("_host").eqNullSafe(F.col("gh")) & F.col("_path").eqNullSafe(F.col("gp"))).drop("gh", "gp")
+    joined = joined.withColumn("host_p", (F.col("host_s") - F.col("p") + host_k * prior) / (F.col("host_n") - 1 + host_k))
     path_p = (F.col("s") - F.col("p") + path_k * F.col("host_p")) / (F.col("n") - 1 + path_k)
 
     def logit(c: Column) -> Column:
@@ -141,7 +211,11 @@ def posteriors(scored: DataFrame) -> DataFrame:
         return F.log(c / (1 - c))
 
     odds = logit(F.col("p")) + logit(F.col("path_p")) - math.log(prior / (1 - prior))
-    return joined.withColumn("path_p", path_p).withColumn("prior_p", F.lit(prior)).withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("n", "s")
+    return joined.withColumn("path_p", path_p).withColumn("prior_p", F.lit(prior)).withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("n", "s", "host_n", "host_s")
+
+
+def _named(docs: DataFrame, host: str, path: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
@@ -149,20 +223,30 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     A site is the host column, a path the host and path columns together; nulls
     are groups of their own. Null, empty and wordless texts have all features 0.
-    Repeated rows count as documents and get the same posterior. An empty table
-    gives an empty result. Other columns are dropped.
+    Repeated rows count as documents and get the same posterior. A posterior equal
+    to the threshold is kept. An empty table gives an empty result. Other columns
+    are dropped.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"))
-    scored = stage(evidence(named, labels, ["doc_id", "_host", "_path"]), "evidence")
+    scored = stage(evidence(_named(docs, host, path), labels, ["doc_id", "_host", "_path"]), "evidence")
     out = posteriors(scored)
     return out.select("doc_id", F.col("p").alias("text_p"), "host_p", "path_p", "prior_p", "posterior", (F.col("posterior") >= threshold).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns; a null doc_id is judged by no key and stays."""
-    gone = classify(docs, labels, threshold=threshold).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the classifier keeps, with all their columns.
+
+    A row is known by two hashes of its id, text, host and path, so that each is
+    kept or not by its own verdict: equal rows alike, and rows of one id with
+    different texts, or without an id, each for itself. An empty table gives an
+    empty result.
+    """
+    own = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(f"\0{k}")) for k, c in enumerate(("doc_id", "text", host, path))]
+    key = [F.xxhash64(*own), F.xxhash64(F.lit(1), *own)]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), key[0].alias("_k0"), key[1].alias("_k1"))
+    scored = stage(evidence(named, labels, ["_k0", "_k1", "_host", "_path"]), "evidence")
+    return without(docs, key, posteriors(scored).filter(F.col("posterior") < threshold).select("_k0", "_k1"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify() over all documents, hosts by source and paths by language."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

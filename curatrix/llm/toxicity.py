@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, as_bytes, chunks, mix, span_hashes, table, word_spans, words_per_text
+from .common import _BYTE, Growing, Memory, as_bytes, chunks, mix, span_hashes, table, tidy, word_spans, words_per_text
 
 #: Subword vectors, their length, and the lengths in bytes of the n-grams of a word with its boundaries.
 BUCKETS = 1 << 16
@@ -24,8 +24,8 @@ SHARP = 4.0
 LEFT_OUT = 0.5
 THRESHOLD = 0.7
 #: Words that one worker remembers.
-REMEMBERED = 4_000_000
-AT_ONCE = 4 << 20
+REMEMBERED = 2_000_000
+AT_ONCE = 1 << 20
 _workers: dict[str, "WordScores"] = {}
 
 
@@ -191,23 +191,20 @@ class WordScores:
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys, self.z = np.zeros(0, dtype=np.uint64), np.zeros(0)
+        self.words, self.z = Memory(), Growing(np.float64)
 
     def __call__(self, parts, hashes: np.ndarray) -> np.ndarray:
-        if len(self.keys) > REMEMBERED:
-            self.keys, self.z = np.zeros(0, dtype=np.uint64), np.zeros(0)
-        place = np.searchsorted(self.keys, hashes)
-        known = self.keys[np.minimum(place, len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(hashes), dtype=bool)
-        if not known.all():
+        if self.words.size > REMEMBERED:
+            self.words, self.z = Memory(), Growing(np.float64)
+        number = self.words.find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             joined, first, last = parts
-            new = np.flatnonzero(~known)
             ids, size = grams([joined[a:b] for a, b in zip(first[new].tolist(), last[new].tolist())])
-            z = np.add.reduceat(self.model.score[ids].astype(np.float64), np.cumsum(size, dtype=np.int64) - size) / size + self.model.bias
-            keys, values = np.concatenate((self.keys, hashes[new])), np.concatenate((self.z, z))
-            by = np.argsort(keys, kind="stable")
-            self.keys, self.z = keys[by], values[by]
-            place = np.searchsorted(self.keys, hashes)
-        return self.z[place]
+            self.z.append(np.add.reduceat(self.model.score[ids].astype(np.float64), np.cumsum(size, dtype=np.int64) - size) / size + self.model.bias)
+            number[new] = self.words.size + np.arange(len(new))
+            self.words.add(hashes[new])
+        return self.z.data[number]
 
 
 def text_logits(texts: list[bytes | None], scores: WordScores) -> np.ndarray:
@@ -248,7 +245,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(words.model.slope * z + words.model.shift, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scored), "doc_id long, score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

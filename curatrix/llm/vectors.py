@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, mix, stage, table
+from .common import drop, mix, stage, table, tidy
 from .components import components
 
 COSINE = 0.98
@@ -117,7 +117,7 @@ def with_units(vectors: DataFrame) -> DataFrame:
                 unit[i] = x[k].tobytes() if b.column(1)[i].is_valid else None
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(unit, pa.binary())], names=["vec_id", "label", "unit"])
 
-    return src.mapInArrow(units, "vec_id long, label string, unit binary")
+    return src.mapInArrow(tidy(units), "vec_id long, label string, unit binary")
 
 
 def _compare(ids, table_of, key, mine, apart, size, x, keys, threshold):
@@ -171,7 +171,7 @@ def links(classes: DataFrame, threshold: float = COSINE, block: int = BLOCK, tab
             flat = keys.reshape(n, each)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(order)), b.column(1).take(pa.array(order)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), n)), pa.array(flat.ravel())], names=["id", "label", "t", "key"])
 
-    rows = stage(classes.select("id", "label", "unit").mapInArrow(hashed, "id long, label string, t int, key long").distinct(), "buckets")
+    rows = stage(classes.select("id", "label", "unit").mapInArrow(tidy(hashed), "id long, label string, t int, key long").distinct(), "buckets")
     full = stage(rows.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "full")
     member = rows.join(full, ["label", "t", "key"]).withColumn("blocks", F.ceil(F.col("members") / block).cast("long")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -234,7 +234,7 @@ def links(classes: DataFrame, threshold: float = COSINE, block: int = BLOCK, tab
         if held is not None:
             yield batch_links(held)
 
-    return met.mapInArrow(compared, "id long, n long, lead long")
+    return met.mapInArrow(tidy(compared), "id long, n long, lead long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = COSINE, **hashing: int) -> DataFrame:
