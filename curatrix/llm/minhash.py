@@ -6,28 +6,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, drop, mix, stage, table, word_hashes
+from .common import as_bytes, chunks, drop, mix, stage, table, tidy, without, word_hashes
 from .components import components
 
 #: Words in a shingle and the similarity, in hundredths, of the pipeline and of general use.
 SHINGLE = 5
 SIMILARITY = 80
-#: Hash functions; bands of ROWS of them are bucket keys, the lowest bit of each makes the sketch.
+#: One bit of each of so many hash functions makes the sketch; bands of all of them are bucket keys, at most MOST functions.
 HASHES = 256
-ROWS = 7
+MOST = 288
 #: A pair is pruned when the posterior probability that it is similar enough falls below this.
 MISS = 1e-6
 #: Bits of a sketch that are compared at once.
 BATCH = 64
 #: Bits of the map of wanted ids that workers get; of a fixed size, it only saves work.
 WANTED_BITS = 1 << 24
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 #: Groups of at most so many representatives are compared as joined rows, larger ones in blocks of BLOCK rows or BLOCK_BYTES of sets.
 SMALL = 64
 BLOCK = 512
 BLOCK_BYTES = 32 << 20
-_A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-_B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 20)).astype(np.uint32)
+_A = (mix(np.arange(1, MOST + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+_B = mix(np.arange(1, MOST + 1, dtype=np.uint64) + np.uint64(1 << 20)).astype(np.uint32)
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -54,21 +54,30 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The smallest value of each hash function over each set that isn't empty: (sets, HASHES)."""
+def layout(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """Bands and rows of a band: the longest bands that a pair at the similarity all misses with probability miss at most."""
+    for rows in range(MOST, 0, -1):
+        share = similarity**rows
+        bands = 1 if share >= 1 else int(np.ceil(np.log(miss) / np.log1p(-share)))
+        if bands * rows <= MOST:
+            return bands, rows
+    return MOST, 1
+
+
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """The smallest value of each hash function over each set that isn't empty: (sets, hashes)."""
     flat = np.concatenate(sets)
     x = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), HASHES), dtype=np.uint32)
-    for k in range(HASHES):
+    out = np.empty((len(sets), hashes), dtype=np.uint32)
+    for k in range(hashes):
         y = (x ^ _B[k]) * _A[k]
         y ^= y >> np.uint32(15)
         out[:, k] = np.minimum.reduceat(y * np.uint32(0x85EBCA6B), starts)
     return out
 
 
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    bands = HASHES // rows
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(signature), 1))
     parts = signature[:, : bands * rows].reshape(len(signature), bands, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -79,7 +88,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def sketches(signature: np.ndarray) -> np.ndarray:
     """One bit of each minimum, packed into 64-bit words."""
-    bits = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    bits = ((signature[:, :HASHES] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
@@ -115,25 +124,26 @@ def similar(a: str, b: str, similarity: int, miss: float = MISS) -> Column:
     return ok
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
+def signed(docs: DataFrame, size: int, similarity: int = SIMILARITY, miss: float = MISS) -> DataFrame:
     """doc_id, n (set size), d1, d2 (a digest of the set), s0.. (the sketch), bands. Without words n is 0 and the rest null."""
     import pyarrow as pa
 
     words = HASHES // BATCH
+    count, length = layout(similarity / 100, miss)
 
     def rows(batches):
         for batch in chunks(batches, AT_ONCE):
             sets = shingle_sets(as_bytes(batch.column(1)), size)
             some = np.array([k for k, s in enumerate(sets) if len(s)], dtype=np.int64)
             if len(some):
-                signature = signatures([sets[k] for k in some])
+                signature = signatures([sets[k] for k in some], max(HASHES, count * length))
                 with np.errstate(over="ignore"):
                     d1 = np.array([mix(sets[k]).sum(dtype=np.uint64) for k in some], dtype=np.uint64).view(np.int64)
                     d2 = np.array([mix(sets[k] * _C3).sum(dtype=np.uint64) for k in some], dtype=np.uint64).view(np.int64)
-                sketch, bands = sketches(signature), band_keys(signature)
+                sketch, bands = sketches(signature), band_keys(signature, count, length)
             else:
                 d1 = d2 = np.zeros(0, dtype=np.int64)
-                sketch, bands = np.zeros((0, words), dtype=np.int64), np.zeros((0, HASHES // ROWS), dtype=np.int64)
+                sketch, bands = np.zeros((0, words), dtype=np.int64), np.zeros((0, count), dtype=np.int64)
             back = np.full(len(sets), -1, dtype=np.int64)
             back[some] = np.arange(len(some))
             take = pa.array(back, mask=back < 0)
@@ -142,7 +152,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, lists.take(take)], names=["doc_id", "n", "d1", "d2", *(f"s{k}" for k in range(words)), "bands"])
 
     sketch = ", ".join(f"s{k} long" for k in range(words))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, f"doc_id long, n long, d1 long, d2 long, {sketch}, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), f"doc_id long, n long, d1 long, d2 long, {sketch}, bands array<long>")
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -171,7 +181,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "set"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL").withColumn("at", at)
-    made = source.mapInArrow(sets, "doc_id long, set binary")
+    made = source.mapInArrow(tidy(sets), "doc_id long, set binary")
     # of repeated rows of one id, one is enough
     return stage(made.groupBy("doc_id").agg(F.max("set").alias("set")) if _repeats(docs) else made, "sets")
 
@@ -194,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(made.toDF("a", "x"), "a").join(made.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    out = stage(joined.mapInArrow(check, "a long, b long"), "verified")
+    out = stage(joined.mapInArrow(tidy(check), "a long, b long"), "verified")
     drop(made, pairs)
     return out
 
@@ -273,7 +283,7 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMIL
     test on its sketches and then the exact check on full sets.
     """
     sketch = [f"s{k}" for k in range(HASHES // BATCH)]
-    sigs = stage(signed(docs, size), "signatures")
+    sigs = stage(signed(docs, size, similarity, miss), "signatures")
     some = sigs.filter("n > 0 AND doc_id IS NOT NULL")
     best = F.min(F.struct("doc_id", *sketch, "bands")).alias("r")
     reps = stage(some.groupBy("d1", "d2", "n").agg(best).select("d1", "d2", "n", F.col("r.doc_id").alias("rep"), *[f"r.{s}" for s in sketch], "r.bands"), "representatives")
@@ -332,10 +342,14 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMIL
 
 
 def keep(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of docs whose document stays: one of each group of near duplicates, with all columns."""
-    gone = near_documents(docs, size, similarity).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs whose document stays: one of each group of near duplicates, with all columns.
+
+    Rows without an id stay, as do all rows of an id that stays.
+    """
+    gone = near_documents(docs, size, similarity).filter("NOT kept").select("doc_id")
+    return without(docs, [F.col("doc_id").cast("long")], gone)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_documents() over all documents: three words a shingle, similarity 0.85."""
     return near_documents(table(spark, sf_dir, "documents"), size=3, similarity=85)

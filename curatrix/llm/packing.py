@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, chunks, span_hashes, stage, table, word_spans, words_per_text
+from .common import Growing, Memory, as_bytes, chunks, span_hashes, stage, table, tidy, word_spans, words_per_text
 
 SEQUENCE = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words that one worker remembers, at about 25 bytes each; when full the memory starts anew.
-REMEMBERED = 4_000_000
+#: Words that one worker remembers, at about 40 bytes each; when full the memory starts anew.
+REMEMBERED = 1_500_000
 #: Bytes of text that are encoded at once; a longer text comes alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 _workers: dict[str, "WordEncoder"] = {}
 
 
@@ -27,14 +27,11 @@ class WordEncoder:
     The vocabulary's rules never join across ASCII white space, so the ids of a
     text are those of its words in order. A final point or comma after an ASCII
     letter is a token of its own, so such a word shares its stem's entry. The
-    memory is a sorted array of word hashes beside one array of ids; a chunk of
-    texts is looked up and laid out by array operations.
+    memory numbers word hashes beside one array of ids; a chunk of texts is
+    looked up and laid out by array operations.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -48,10 +45,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(1, dtype=np.uint32)
+        self.words, self.at, self.n, self.flat = Memory(), Growing(np.uint32), Growing(np.uint32), Growing(np.uint32)
 
     def _lean(self, words: list[str]) -> list[np.ndarray] | None:
         ids = np.array(self.lean.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -83,12 +77,11 @@ class WordEncoder:
             sizes.append(np.array([len(x) for x in got], dtype=np.int64))
             ids += got
         n = np.concatenate(sizes)
-        keys = np.concatenate((self.keys, hashes[order]))
-        at = np.concatenate((self.at, len(self.flat) - 1 + np.cumsum(n) - n))
-        n = np.concatenate((self.n, n))
-        self.flat = np.concatenate((self.flat[:-1], *ids, np.zeros(1, dtype=np.uint32)))
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n = keys[by], at[by], n[by]
+        self.words.add(hashes[order])
+        self.at.append(self.flat.size + np.cumsum(n) - n)
+        self.n.append(n)
+        for part in ids:
+            self.flat.append(part)
 
     @staticmethod
     def _folded(text: bytes | None) -> bytes:
@@ -100,7 +93,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and how many each text has."""
-        if len(self.keys) > REMEMBERED:
+        if self.words.size > REMEMBERED:
             self._forget()
         folded = [self._folded(t) for t in texts]
         joined = b" ".join(folded)
@@ -112,18 +105,15 @@ class WordEncoder:
         tail = ((mark == 44) | (mark == 46)) & (last - first > 1) & (letter >= 97) & (letter <= 122)
         last = last - tail
         unique, index, inverse = np.unique(span_hashes(raw, first, last), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), dtype=bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
-        if not known.all():
-            new = np.flatnonzero(~known)
+        number = self.words.find(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             self._learn(unique[new], [joined[a:b] for a, b in zip(first[index[new]].tolist(), last[index[new]].tolist())])
-            place = np.searchsorted(self.keys, unique)
-        place = place[inverse]
-        n = self.n[place] + tail
+            number[new] = self.words.find(unique[new])
+        place = number[inverse]
+        n = self.n.data[place].astype(np.int64) + tail
         ends = np.cumsum(n)
-        out = self.flat[np.minimum(np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1]), len(self.flat) - 1)]
+        out = self.flat.data[np.minimum(np.repeat(self.at.data[place] - (ends - n), n) + np.arange(ends[-1]), self.flat.size - 1)]
         for code, id_ in self.marks.items():
             out[ends[tail & (mark == code)] - 1] = id_
         upto = np.concatenate(([0], ends))[np.cumsum(words_per_text(folded, first))]
@@ -167,7 +157,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, sequence: int = SE
                     rows.append((doc, k, start, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], space: int) -> dict[int, int]:
