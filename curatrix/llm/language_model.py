@@ -1,33 +1,41 @@
-"""Operator 7: a hierarchical Pitman-Yor language model, seated by Gibbs sweeps, and scores of whole texts."""
+"""Operator 7: a hierarchical Pitman-Yor language model, seated by Gibbs sweeps, and scores of whole texts.
+
+Every preceding word of the training fold (and the start of a text) has a
+restaurant of its own; all share the root, whose base is uniform over the words
+and one unknown word. Work is dealt to three kinds of owners, which send each
+other blobs of arrays: parts own contexts with their pairs, word parts own words
+with their root seats, chunks own some megabytes of texts. An owner is a group of
+a grouped map, and every step is a table in the shared folder, so that a lost
+executor costs its tasks only. A chunk asks for its distinct pairs and words
+once, and scores its texts from the answers.
+"""
 
 from __future__ import annotations
 
-import math
+import struct
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, drop, mix, stage, table, word_hashes
+from .common import as_bytes, drop, mix, stage, table, tidy, word_hashes
 
-#: Every preceding word is a context. Those of so many frequent words, and the start of a text, are kept as
-#: lists in the rows of the words, so that no join is keyed by them; all others are rows (word, context).
-CONTEXTS = 32
-#: Documents whose words choose the contexts that are kept as lists, those of the smallest hashes.
-CONTEXT_ROWS = 2_000
 #: Sweeps that only settle the seats, and sweeps whose predictive probabilities are averaged.
 BURN_IN, SAMPLES = 1, 3
-#: Words whose probabilities every worker holds; the others are joined.
-FREQUENT = 30_000
-#: Most (word, context) pairs whose probabilities every worker holds; the others are joined.
-PAIRS = 300_000
 THETA = 1.0
-#: Customers of one dish that are seated one by one; beyond, a sixteenth of those seated are added at a time.
-SINGLY = 64
-AT_ONCE = 2 << 20
-#: Distinct (word, context) pairs that a counting task gathers before it hands them on.
-GATHERED = 400_000
-END = int(mix(np.array([0xE0D], dtype=np.uint64)).view(np.int64)[0])
+#: Bytes of text in a chunk (a longer text is a chunk by itself), and for each part.
+CHUNK, PART = 6 << 20, 8 << 20
+#: Contexts that are split by their followers, the most frequent words of so many documents; results don't depend on it.
+SPLIT, SPLIT_ROWS = 1_000, 2_000
+#: The number of tables of up to so many customers is drawn from its exact distribution, of more from its limit.
+EXACT = 1024
+END, START = (int(mix(np.array([k], dtype=np.uint64))[0]) for k in (0xE0D, 0x57A7))
+#: Kinds of rows.
+REQUEST, WORDS, TEXTS, COUNTS, ACTIVE, MET, WORD_STATE, ROOT, SUMS, PAIR_ANSWER, WORD_ANSWER, TOTAL = range(12)
+ROW = "dst long, src long, kind int, v double, blob binary"
+#: Numbers of the totals that come to the driver; split contexts have two each from FIRST_SPLIT on.
+ONES, TWOS, TOKENS, TYPES, CUSTOMERS, TABLES, ROOT_ONES, ROOT_TWOS, FIRST_SPLIT = range(9)
+_stirling: dict[float, np.ndarray] = {}
 
 
 def held_out(fold: int = 5, which: int = 1) -> Column:
@@ -37,459 +45,554 @@ def held_out(fold: int = 5, which: int = 1) -> Column:
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words with one end after each text, and how many tokens each text has."""
     hashes, counts = word_hashes(texts)
-    ends = np.cumsum(counts)
-    return np.insert(hashes.view(np.int64), ends, END), counts + 1
-
-
-def contexts(words: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """For each token its context: the number, from 1, of the preceding word if it is a frequent one, else that word's hash; 0 at the start of a text."""
-    before = np.concatenate((words[:1], words[:-1]))
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, before), len(frequent) - 1)
-        before = np.where(frequent[place] == before, place + 1, before)
-    before[(np.cumsum(counts) - counts).astype(np.int64)] = 0
-    return before
-
-
-def in_lists(u: Column, frequent: np.ndarray) -> Column:
-    return u.between(0, len(frequent))
-
-
-def _merged(w: np.ndarray, u: np.ndarray, c: np.ndarray):
-    order = np.lexsort((u, w))
-    w, u, c = w[order], u[order], c[order]
-    new = np.ones(len(w), dtype=bool)
-    new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
-    starts = np.flatnonzero(new)
-    return w[starts], u[starts], np.add.reduceat(c, starts) if len(starts) else c
-
-
-def _gathered(parts, limit: int):
-    """Sums counts of (w, u) in memory up to a bound, then hands them on."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size > limit:
-            merged = _merged(*map(np.concatenate, zip(*held)))
-            if len(merged[0]) > limit // 2:
-                yield merged
-                held, size = [], 0
-            else:
-                held, size = [merged], len(merged[0])
-    if held:
-        yield _merged(*map(np.concatenate, zip(*held)))
-
-
-def counted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(w, u, c): how often word w follows context u in the rows of docs to learn from (column train), summed within tasks; sums over tasks are still to do.
-
-    Pairs of other rows are there too, with a count of 0.
-    """
+    return np.insert(hashes, np.cumsum(counts), np.uint64(END)), counts + 1
+
+
+# Blobs
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, by byte planes, so that small numbers take little room."""
     import pyarrow as pa
 
-    def rows(batches):
-        def parts():
-            for batch in chunks(batches, AT_ONCE):
-                w, n = tokens(as_bytes(batch.column(0)))
-                learnt = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _merged(w, contexts(w, n, frequent), np.repeat(learnt, n))
+    parts = [struct.pack("<I", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts += [struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
+    raw = b"".join(parts)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
-        for w, u, c in _gathered(parts(), GATHERED):
-            for at in range(0, len(w), 200_000):
-                p = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(w[p]), pa.array(u[p]), pa.array(c[p])], names=["w", "u", "c"])
 
-    return docs.select(F.col("text").cast("string").alias("text"), "train").mapInArrow(rows, "w long, u long, c long")
+def unpack(blob: bytes) -> list[np.ndarray]:
+    import pyarrow as pa
 
+    raw = pa.decompress(blob[8:], decompressed_size=struct.unpack_from("<Q", blob)[0], codec="zstd", asbytes=True)
+    (count,), at, out = struct.unpack_from("<I", raw), 4, []
+    for _ in range(count):
+        kind, n = struct.unpack_from("<2sQ", raw, at)
+        at += struct.calcsize("<2sQ")
+        dtype = np.dtype("<" + kind.decode())
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * dtype.itemsize, offset=at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        at += n * dtype.itemsize
+    return out
 
-def choose_contexts(docs: DataFrame, size: int = CONTEXTS, rows: int = CONTEXT_ROWS) -> np.ndarray:
-    """Hashes, in order, of the most frequent words of a bounded sample of documents."""
-    ids = docs.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    top = counted(sample.filter("train"), np.zeros(0, dtype=np.int64)).filter(F.col("w") != END).groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(size)
-    return np.array(sorted(r["w"] for r in top.collect()), dtype=np.int64)
 
+def steps(sorted_: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array; narrow() then makes them small."""
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
 
-def seated(c: np.ndarray, fresh: np.ndarray, d: float, seed: np.ndarray) -> np.ndarray:
-    """Tables of c customers of one dish, seated in turn; fresh is (theta + d T) P(dish | parent) of each dish.
 
-    The next customer opens a table with weight fresh, or joins one with weight
-    (seated - d tables). Random numbers depend on the seeds only, so that a task
-    that runs again seats alike.
-    """
-    t = np.minimum(c, 1)
-    order = np.argsort(-c, kind="stable")
-    sorted_c = -c[order]
-    i, step = 1, 0
-    while True:
-        some = order[: np.searchsorted(sorted_c, -i, side="left")]
-        if not len(some):
-            return t
-        b = 1 if i < SINGLY else max(1, i // 16)
-        more = np.minimum(b, c[some] - i)
-        join = i - d * t[some]
-        p = fresh[some] / (fresh[some] + join)
-        r = (mix(seed[some] + np.uint64((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)) * (1.0 / (1 << 53))
-        t[some] += np.floor(more * p + r).astype(np.int64)
-        i += b
-        step += 1
-
-
-def _lists(batch, names):
-    """Flat values of list columns and the lengths of the lists."""
-    first = batch.column(names[0])
-    lengths = np.diff(first.offsets.to_numpy())
-    return [batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in names], lengths
-
-
-class Totals:
-    """What a sweep knows of the restaurants: customers and tables of each context, and of the root."""
-
-    def __init__(self, c_u, t_u, m, t0, types, d, d0):
-        self.c_u, self.t_u, self.m, self.t0, self.types, self.d, self.d0 = c_u, t_u, m, t0, types, d, d0
-
-    def root(self, m_w: np.ndarray, t0_w: np.ndarray) -> np.ndarray:
-        base = 1.0 / (self.types + 1)
-        return (np.maximum(m_w - self.d0 * t0_w, 0) + (THETA + self.d0 * self.t0) * base) / (THETA + self.m)
-
-    @property
-    def back(self) -> np.ndarray:
-        """The weight of the parent in each context."""
-        return (THETA + self.d * self.t_u) / (THETA + self.c_u)
-
-
-def sweep(dishes: DataFrame, totals: Totals, number: int) -> DataFrame:
-    """Seats every dish of every restaurant anew, given all other seats.
-
-    A row is a word: its contexts us that are kept as lists (at most CONTEXTS +
-    1), customers cs and tables ts there, its customers m and tables t0 in the
-    root, and its tables in all other contexts, mc, which reseat has seated.
-    Rows stand alone, as the totals of these restaurants are a few numbers that
-    are read after each sweep.
-    """
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as they need."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def wide(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64)
+
+
+def from_steps(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.uint64 if a.dtype == np.uint64 else np.int64)
+
+
+def _rows(rows):
     import pyarrow as pa
 
-    def rows(batches):
-        for batch in batches:
-            (u, c, t), n = _lists(batch, ["us", "cs", "ts"])
-            u, c, t = u.astype(np.int64), c.astype(np.int64), t.astype(np.int64)
-            w = batch.column("w").to_numpy().view(np.uint64)
-            m, t0 = batch.column("m").to_numpy(), batch.column("t0").to_numpy()
-            p0 = np.repeat(totals.root(m, t0), n)
-            fresh = (THETA + totals.d * np.maximum(totals.t_u[u] - t + 1, 1)) * p0
-            with np.errstate(over="ignore"):
-                seed = mix(np.repeat(w, n) ^ mix(u.astype(np.uint64) + np.uint64(1000 * (number + 1))))
-                own = mix(w ^ mix(np.full(len(w), 999 + 1000 * (number + 1), dtype=np.uint64)))
-            t = seated(c, fresh, totals.d, seed)
-            m = np.bincount(np.repeat(np.arange(len(n)), n), t, minlength=len(n)).astype(np.int64) + batch.column("mc").to_numpy()
-            root_fresh = np.full(len(m), (THETA + totals.d0 * totals.t0) / (totals.types + 1))
-            t0 = seated(m, root_fresh, totals.d0, own)
-            tables = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(t))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("w", "c", "us", "cs")), tables, pa.array(m), pa.array(t0), *(batch.column(k) for k in batch.schema.names[7:])], names=batch.schema.names)
-
-    return dishes.mapInArrow(rows, dishes.schema)
-
-
-def read_totals(dishes: DataFrame, c_u: np.ndarray, types: int, d: float, d0: float) -> Totals:
-    whole = dishes.agg(F.sum("m").alias("m"), F.sum("t0").alias("t0")).collect()[0]
-    by = dishes.select(F.explode(F.arrays_zip("us", "ts")).alias("x")).groupBy("x.us").agg(F.sum("x.ts").alias("t")).collect()
-    t_u = np.zeros(len(c_u))
-    for r in by:
-        t_u[r["us"]] = r["t"]
-    return Totals(c_u, t_u, whole["m"] or 0, whole["t0"] or 0, types, d, d0)
-
-
-def _discount(one: int, two: int) -> float:
-    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+    dst, src, kind, v, blob = zip(*rows) if rows else ([],) * 5
+    return pa.table({"dst": pa.array(dst, pa.int64()), "src": pa.array(src, pa.int64()), "kind": pa.array(kind, pa.int32()), "v": pa.array(v, pa.float64()), "blob": pa.array(blob, pa.binary())})
 
 
-class Model:
-    """dishes: a row a word with its seats in each sample; the samples' totals; the words of the contexts kept as lists; tokens and types.
+def _got(group) -> dict[int, dict[int, bytes]]:
+    """The blobs of a group by kind and sender, senders in order."""
+    out: dict[int, dict[int, bytes]] = {}
+    src, kind, blob = group.column("src").to_pylist(), group.column("kind").to_pylist(), group.column("blob")
+    for k in sorted(range(len(src)), key=lambda k: src[k]):
+        out.setdefault(kind[k], {})[src[k]] = blob[k].as_py()
+    return out
 
-    pairs: w, u, c of all pairs. seats: w, u, c and the tables of all samples
-    together, of the pairs that other contexts hold. rooms: a row for each of
-    those contexts, with its customers and its tables in each sample. top: the
-    most frequent words.
-    """
 
-    def __init__(self, dishes: DataFrame, samples: list[Totals], frequent: np.ndarray, n: int, types: int, pairs: DataFrame, seats: DataFrame, rooms: DataFrame, top: DataFrame):
-        self.dishes, self.samples, self.frequent, self.n, self.types = dishes, samples, frequent, n, types
-        self.pairs, self.seats, self.rooms, self.top = pairs, seats, rooms, top
+def _own(p: int) -> int:
+    return 3 * p
 
 
-def with_words(pairs: DataFrame, words: DataFrame, top: DataFrame) -> DataFrame:
-    """Left join of rows (w, u, ...) with the rows of words by w.
+def _word_owner(q: int) -> int:
+    return 3 * q + 1
 
-    Rows of the most frequent words, a fixed number, are sent to all tasks; their
-    pairs are dealt by context instead, so that no task gets all of a common word.
-    """
-    names = [c for c in words.columns if c != "w"]
-    near = words.join(F.broadcast(top.select("w")), "w", "left_semi").select(F.col("w").alias("_w"), *[F.col(c).alias(f"_{c}") for c in names])
-    far = words.select(F.col("w").alias("_v"), *names)
-    df = pairs.join(F.broadcast(near), F.col("w") == F.col("_w"), "left")
-    df = df.withColumn("_k", F.when(F.col("_w").isNull(), F.col("w")).otherwise(F.col("u")))
-    df = df.join(far, F.col("_k") == F.col("_v"), "left")
-    # a context may be a word of its own: its row is not the pair's
-    return df.select(*[pairs[c] for c in pairs.columns], *[F.when(F.col("_w").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in names])
-
-
-def reseat(seats: DataFrame, rooms: DataFrame, p0: DataFrame, top: DataFrame, totals: Totals, number: int, keep: bool) -> DataFrame:
-    """Seats every row (w, u, c, t, s) of more than one customer anew, given the tables of its context and its word's probability in the root; adds the tables to s if keep."""
-    import pyarrow as pa
 
-    def rows(batches):
-        for batch in batches:
-            w, u, c, t, s, size, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("w", "u", "c", "t", "s", "tables", "p0"))
-            fresh = (THETA + totals.d * np.maximum(size - t + 1, 1)) * p
-            with np.errstate(over="ignore"):
-                seed = mix(w.view(np.uint64) ^ mix(u.view(np.uint64) + np.uint64(1000 * (number + 1))))
-            t = seated(c, fresh, totals.d, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, c, t, s + t if keep else s)], names=["w", "u", "c", "t", "s"])
+def _total(key: int, v: float):
+    return (key, 0, TOTAL, float(v), None)
 
-    there = seats.join(rooms.select(F.col("u").alias("_u"), "tables"), F.col("u") == F.col("_u")).select("w", "u", "c", "t", "s", "tables")
-    return with_words(there, p0, top).mapInArrow(rows, "w long, u long, c long, t long, s long")
 
+# Seats
 
-def learn(docs: DataFrame, context_words: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES, frequent_words: int = FREQUENT) -> Model:
-    """Fits the model on all rows of docs (columns doc_id, text), or on those with train, if there is such a column.
 
-    Every preceding word has a restaurant of its own. Every (word, context) count
-    comes from all documents. The restaurants of the contexts share one parent,
-    the root, whose base is uniform over the words and one unknown word.
-    Discounts come from the counts of ones and twos. A pair of one customer has
-    one table in every seating, so only the others are seated again.
-    """
-    if "train" not in docs.columns:
-        docs = docs.withColumn("train", F.lit(True))
-    frequent = choose_contexts(docs, context_words)
-    pairs = stage(counted(docs, frequent).groupBy("w", "u").agg(F.sum("c").alias("c")), "pairs")
-    listed = in_lists(F.col("u"), frequent)
-    learnt, other = pairs.filter("c > 0"), pairs.filter(~listed & (F.col("c") > 0))
-    zero = F.lit(0).cast("long")
-    rows = learnt.groupBy("w").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.when(listed, F.struct(F.col("u").cast("short").alias("u"), "c")))).alias("x"), F.count_if(~listed).alias("others"), F.count_if(~listed & (F.col("c") == 1)).alias("single"))  # at most CONTEXTS + 1 in a word's list
-    ones = F.transform("us", lambda u: F.lit(1).cast("long"))
-    dishes = rows.select("w", "c", F.col("x.u").alias("us"), F.col("x.c").alias("cs"), "others", "single").select("w", "c", "us", "cs", ones.alias("ts"), (F.size("us") + F.col("others")).alias("m"), F.lit(1).cast("long").alias("t0"), "single")
-    names = [f"{kind}{k}" for k in range(samples) for kind in ("ts_", "p0_")]
-    dishes = stage(dishes, "dishes")
-    # ranks the words alone, so that the lists don't go to the driver
-    top = stage(dishes.select("w", "c").orderBy(F.desc("c"), "w").limit(frequent_words), "top")
-    rooms = stage(other.groupBy("u").agg(F.sum("c").alias("customers"), F.count_if(F.col("c") == 1).alias("single"), F.count_if(F.col("c") == 2).alias("two"), F.count(F.lit(1)).alias("tables")), "rooms")
-    seats = other.filter("c > 1").select("w", "u", "c", F.lit(1).cast("long").alias("t"), zero.alias("s"))
-    each = dishes.select(F.explode(F.arrays_zip("us", "cs")).alias("x")).groupBy("x.us").agg(F.sum("x.cs").alias("c"), F.count_if(F.col("x.cs") == 1).alias("one"), F.count_if(F.col("x.cs") == 2).alias("two")).collect()
-    c_u = np.zeros(len(frequent) + 1)
-    for r in each:
-        c_u[r["us"]] = r["c"]
-    whole = dishes.agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n"), F.count_if(F.col("m") == 1).alias("one"), F.count_if(F.col("m") == 2).alias("two")).collect()[0]
-    rest = rooms.agg(F.coalesce(F.sum("single"), zero).alias("one"), F.coalesce(F.sum("two"), zero).alias("two")).collect()[0]
-    types, n = whole["types"], whole["n"] or 0
-    d, d0 = _discount(rest["one"] + sum(r["one"] for r in each), rest["two"] + sum(r["two"] for r in each)), _discount(whole["one"], whole["two"])
-    totals = read_totals(dishes, c_u, types, d, d0)
-    kept: list[Totals] = []
-
-    def root_column() -> Column:
-        base = 1.0 / (types + 1)
-        return (F.greatest(F.col("m") - d0 * F.col("t0"), F.lit(0.0)) + (THETA + d0 * totals.t0) * base) / (THETA + totals.m)
+def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: row c, column t is the weight of all seatings of c customers at t tables."""
+    if d not in _stirling:
+        _stirling.clear()
+        out = np.full((most + 1, most + 1), -np.inf)
+        out[1, 1] = 0.0
+        t = np.arange(most + 1)
+        for c in range(1, most):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], np.log(np.maximum(c - d * t[1 : c + 2], 1e-300)) + out[c, 1 : c + 2])
+        _stirling[d] = out
+    return _stirling[d]
 
-    for number in range(burn_in + samples):
-        keeps = number >= burn_in
-        k = len(kept)
-        again = stage(reseat(seats, rooms, dishes.select("w", root_column().alias("p0")), top, totals, number, keeps), "seats")
-        of_word = again.groupBy(F.col("w").alias("_w")).agg(F.sum("t").alias("_t"))
-        met = dishes.join(of_word, F.col("w") == F.col("_w"), "left").withColumn("mc", F.col("single") + F.coalesce("_t", zero)).drop("_w", "_t")
-        new = stage(sweep(met, totals, number).drop("mc"), "dishes")
-        of_room = again.groupBy(F.col("u").alias("_u")).agg(F.sum("t").alias("_t"))
-        fuller = rooms.join(of_room, F.col("u") == F.col("_u"), "left").withColumn("tables", F.col("single") + F.coalesce("_t", zero)).drop("_u", "_t")
-        fuller = stage(fuller.withColumn(f"t_{k}", F.col("tables")) if keeps else fuller, "rooms")
-        totals = read_totals(new, c_u, types, d, d0)
-        drop(seats, rooms, dishes)
-        seats, rooms, dishes = again, fuller, new
-        if keeps:
-            dishes = stage(new.withColumn(f"ts_{k}", F.col("ts")).withColumn(f"p0_{k}", root_column()), "dishes")
-            drop(new)
-            kept.append(totals)
-    single = pairs.filter(~listed & (F.col("c") < 2)).select("w", "u", "c", (F.col("c") * samples).alias("s"))
-    return Model(dishes.select("w", "c", "us", "cs", *names), kept, frequent, n, types, pairs, single.union(seats.select("w", "u", "c", "s")), rooms, top)
-
-
-def probability(model: Model, u: Column) -> Column:
-    """The averaged predictive probability of a row's word after a context u that is kept as a list; for an unknown word (null c) the unknown's."""
-    out: Column = F.lit(0.0)
-    at = F.when(F.col("c").isNotNull(), F.array_position(F.col("us"), u).cast("int"))
-    count = F.when(at > 0, F.get("cs", at - 1)).otherwise(F.lit(0))
-    for k, s in enumerate(model.samples):
-        back = F.get(F.array(*[F.lit(float(x)) for x in s.back]), u.cast("int"))
-        size = F.get(F.array(*[F.lit(float(x)) for x in THETA + s.c_u]), u.cast("int"))
-        unknown = float(s.root(np.zeros(1), np.zeros(1))[0])
-        tables = F.when(at > 0, F.get(f"ts_{k}", at - 1)).otherwise(F.lit(0))
-        out = out + F.greatest(count - s.d * tables, F.lit(0.0)) / size + back * F.coalesce(F.col(f"p0_{k}"), F.lit(unknown))
-    return out / len(model.samples)
-
-
-def with_dense(dishes: DataFrame, model: Model) -> DataFrame:
-    """w, c and p: log10 of the averaged predictive probability after every context, as 32-bit floats."""
-    import pyarrow as pa
 
-    samples, size = model.samples, len(model.frequent) + 1
+def seated(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with c customers, drawn with weight x^t times the weight of all seatings at t tables.
 
-    def rows(batches):
-        for batch in batches:
-            p = np.zeros((batch.num_rows, size))
-            for k, s in enumerate(samples):
-                (u, c, t), n = _lists(batch, ["us", "cs", f"ts_{k}"])
-                row = np.repeat(np.arange(batch.num_rows), n)
-                p[row, u.astype(np.int64)] += np.maximum(c - s.d * t, 0) / (THETA + s.c_u[u.astype(np.int64)])
-                p += s.back[None, :] * batch.column(f"p0_{k}").to_numpy()[:, None]
-            logs = np.log10(p / len(samples)).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array([r.tobytes() for r in logs], pa.binary())], names=["w", "c", "p"])
-
-    return dishes.mapInArrow(rows, "w long, c long, p binary")
-
-
-def _base(model: Model, c: Column) -> Column:
-    return F.log10((c + 0.5) / (model.n + 0.5 * (model.types + 1)))
-
-
-def known_pairs(model: Model) -> DataFrame:
-    """w, u, n, cw, p of every pair of the model: its count, its word's, and log10 of the averaged predictive probability."""
-    names = [f"p0_{k}" for k in range(len(model.samples))]
-    words = model.dishes.select("w", F.col("c").alias("cw"), *names)
-    rooms = model.rooms.select(F.col("u").alias("_u"), "customers", *[f"t_{k}" for k in range(len(names))])
-    there = model.seats.join(rooms, F.col("u") == F.col("_u"), "left").drop("_u")
-    met = with_words(there, words, model.top)
-    size = THETA + F.coalesce("customers", F.lit(0))
-    p: Column = F.lit(0.0)
-    for k, s in enumerate(model.samples):
-        unknown = float(s.root(np.zeros(1), np.zeros(1))[0])
-        p = p + (THETA + s.d * F.coalesce(f"t_{k}", F.lit(0))) / size * F.coalesce(f"p0_{k}", F.lit(unknown))
-        d = s.d
-    p = (p + (len(names) * F.col("c") - d * F.col("s")) / size) / len(names)
-    other = met.select("w", "u", F.col("c").alias("n"), F.coalesce("cw", F.lit(0)).alias("cw"), F.log10(p).alias("p"))
-    listed = model.pairs.filter(in_lists(F.col("u"), model.frequent)).select(F.col("w").alias("_w"), "u", F.col("c").alias("n"))
-    # at most CONTEXTS + 1 rows a word; workers hold the most frequent words' probabilities
-    rarer = listed.join(F.broadcast(model.top.select(F.col("w").alias("_v"))), F.col("_w") == F.col("_v"), "left_anti")
-    lists = rarer.join(model.dishes, F.col("_w") == F.col("w"), "left")
-    return other.union(lists.select(F.col("_w").alias("w"), "u", "n", F.coalesce("c", F.lit(0)).alias("cw"), F.log10(probability(model, F.col("u"))).alias("p")))
-
-
-def most_frequent(pairs: DataFrame, most: int) -> DataFrame:
-    """The pairs of the highest counts, as far as whole counts fit into so many rows."""
-    by = sorted(((r["k"], r["x"]) for r in pairs.groupBy(F.least("n", F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("x")).collect()), reverse=True)  # at most 10,001 rows
-    least, total = 10_001, 0
-    for k, x in by:
-        total += x
-        if total > most or k < 2:
+    Given a Gamma variable g of shape theta / d + T for a restaurant of T tables,
+    x is d g P(dish | parent), and the dishes of a restaurant are independent: to
+    draw g and then all t is a Gibbs step that unseats and reseats all customers
+    of each dish at once. The distribution is exact up to EXACT customers. Beyond,
+    t - 1 is drawn from a Poisson distribution, its limit for many customers, with
+    the mean of the saddle point.
+    """
+    t = np.minimum(c, 1).astype(np.int64)
+    r = rng.random(len(c))
+    log_x = np.log(x)
+    table_ = log_stirling(d)
+    order = np.argsort(c, kind="stable")
+    values, first = np.unique(c[order], return_index=True)
+    last = np.append(first[1:], len(c))
+    for v, a, b in zip(values.tolist(), first.tolist(), last.tolist()):
+        if v < 2:
+            continue
+        if v > EXACT:
             break
-        least = k
-    return pairs.filter(F.col("n") >= least)
+        width = max(1, (1 << 19) // v)
+        for k in range(a, b, width):
+            own = order[k : min(b, k + width)]
+            w = log_x[own, None] * np.arange(1, v + 1) + table_[v, 1 : v + 1]
+            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+            t[own] = 1 + np.minimum((w < (r[own] * w[:, -1])[:, None]).sum(axis=1), v - 1)
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        low, high = np.zeros(len(many)), np.ones(len(many))
+        for _ in range(50):  # z (1 - z)^(d - 1) = c / x
+            z = (low + high) / 2
+            small = z * np.maximum(1 - z, 1e-300) ** (d - 1) < c[many] / x[many]
+            low, high = np.where(small, z, low), np.where(small, high, z)
+        mean = x[many] * (1 - (1 - z) ** d) / d
+        t[many] = np.clip(1 + rng.poisson(mean), 1, c[many])
+    return t
+
+
+def _discount(one: float, two: float) -> float:
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
 
-def pair_hash(w: np.ndarray, u: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(w.view(np.uint64) ^ mix(u.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+# Chunks
 
 
-def score(docs: DataFrame, model: Model, most_pairs: int = PAIRS) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of docs, rows that learn was given.
+class Layout:
+    """How pairs and words are dealt out: a part by the context's hash, and for split contexts by the follower's too."""
 
-    Workers hold the probabilities of the most frequent words after the contexts
-    kept as lists, and of the most frequent pairs (fixed numbers of both); the
-    others of each text's distinct (word, context) pairs are joined with the
-    model's. The texts themselves aren't shuffled.
-    """
+    def __init__(self, parts: int, split: dict[int, int]):
+        self.parts = parts
+        self.split = np.array(sorted(split), dtype=np.uint64)
+        self.ways = np.array([split[k] for k in sorted(split)], dtype=np.int64)
+
+    def number(self, u: np.ndarray) -> np.ndarray:
+        """The number of each split context, -1 for the others."""
+        if not len(self.split):
+            return np.full(len(u), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.split, u), len(self.split) - 1)
+        return np.where(self.split[at] == u, at, -1)
+
+
+def _pairs(word: np.ndarray, counts: np.ndarray, start: int, owner: np.ndarray, salt: np.ndarray, ways: np.ndarray, parts: int):
+    """Of a chunk's word numbers in order: its distinct pairs as (context, word, part), ordered by part, context and word, and the pair of each token."""
+    context = np.concatenate((word[:1], word[:-1]))
+    context[np.cumsum(counts) - counts] = start
+    code, back = np.unique(context * len(owner) + word, return_inverse=True)
+    u, w = code // len(owner), code % len(owner)
+    part = np.where(ways[u] > 1, (owner[u] + salt[w] % np.maximum(ways[u], 1)) % parts, owner[u])
+    by = np.argsort(part, kind="stable")
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.arange(len(by))
+    return u[by], w[by], part[by], rank[back]
+
+
+def _bounds(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers begin and end."""
+    first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] - 1)) if len(sorted_) else np.zeros(0, dtype=np.int64)
+    return first, np.append(first[1:], len(sorted_)).astype(np.int64)
+
+
+def chunk_rows(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Rows of all chunks of docs (doc_id, text, train): requests to parts and word parts, and the texts as word numbers."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    size = len(model.frequent) + 1
-    chosen = model.dishes.join(F.broadcast(model.top.select(F.col("w").alias("_w"))), F.col("w") == F.col("_w"), "left_semi")
-    dense = sorted((r["w"], r["c"], bytes(r["p"])) for r in with_dense(chosen, model).collect())  # frequent_words rows of size floats
-    c = np.array([r[1] for r in dense], dtype=np.float64)
-    base_of = np.log10((c + 0.5) / (model.n + 0.5 * (model.types + 1)))
-    pairs = stage(known_pairs(model), "known")
-    top = most_frequent(pairs, most_pairs).select("w", "u", "p").toArrow()  # at most most_pairs rows
-    keys = pair_hash(*(top.column(k).to_numpy() for k in ("w", "u")))
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((np.array([r[0] for r in dense], dtype=np.int64), base_of, np.frombuffer(b"".join(r[2] for r in dense), dtype="<f4").reshape(len(dense), size), keys[order], top.column("p").to_numpy()[order].astype("<f4")))
-    del dense, top, keys, order
-    frequent = model.frequent
-    names = ["doc_id", "tag", "w", "u", "n", "row", "known", "base", "score"]
+    parts = layout.parts
+
+    def made(number: int, ids: list, texts: list, train: list):
+        w, n = tokens(texts)
+        vocabulary, word = np.unique(np.append(w, np.uint64(START)), return_inverse=True)
+        start, word = int(word[-1]), word[:-1]
+        split = layout.number(vocabulary)
+        ways = np.where(split >= 0, layout.ways[split], 0) if len(layout.ways) else np.zeros(len(vocabulary), dtype=np.int64)
+        owner, salt = (vocabulary % np.uint64(parts)).astype(np.int64), ((vocabulary >> np.uint64(44)) & np.uint64(0xFFFF)).astype(np.int64)
+        u, v, part, back = _pairs(word, n, start, owner, salt, ways, parts)
+        learnt = np.repeat(np.array(train, dtype=np.int64), n)
+        c = np.bincount(back, learnt, minlength=len(u)).astype(np.int64)
+        me = 3 * number + 2
+        for a, b in zip(*_bounds(part)):
+            runs, ends = _bounds(u[a:b])
+            known, at = np.unique(v[a:b], return_inverse=True)
+            yield (_own(int(part[a])), me, REQUEST, 0.0, pack(steps(vocabulary[u[a:b][runs]]), narrow(ends - runs), steps(vocabulary[known]), narrow(at), narrow(c[a:b])))
+        seen = np.bincount(word, learnt, minlength=len(vocabulary)).astype(np.int64)
+        by = np.argsort(owner, kind="stable")
+        for a, b in zip(*_bounds(owner[by])):
+            own = by[a:b]
+            yield (_word_owner(int(owner[own[0]])), me, WORDS, 0.0, pack(steps(vocabulary[own]), narrow(seen[own])))
+        often = np.argsort(-np.bincount(word, minlength=len(vocabulary)), kind="stable")
+        place = np.empty(len(often), dtype=np.int64)
+        place[often] = np.arange(len(often))
+        null = np.array([i is None for i in ids], dtype=np.uint8)
+        own_ids = np.array([i or 0 for i in ids], dtype=np.int64)
+        yield (me, me, TEXTS, 0.0, pack(own_ids, null, narrow(n), narrow(often), narrow(place[word]), narrow(owner), narrow(salt), narrow(ways), narrow(np.array([start]))))
 
     def rows(batches):
-        common, base, table_, pair, pair_p = shared.value
-        for batch in chunks(batches, AT_ONCE):
-            ids = batch.column(0)
-            w, n = tokens(as_bytes(batch.column(1)))
-            u = contexts(w, n, frequent)
-            doc = np.repeat(np.arange(len(n)), n)
-            with np.errstate(over="ignore"):
-                place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-                starts = np.cumsum(n) - n
-                tag = np.add.reduceat(mix(w.view(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
-            at = np.minimum(np.searchsorted(common, w), max(0, len(common) - 1))
-            hit = common[at] == w if len(common) else np.zeros(len(w), dtype=bool)
-            near = (u >= 0) & (u < size)
-            p = np.zeros(len(w))
-            if len(common):
-                p[hit & near] = table_[at[hit & near], u[hit & near]]
-            done = hit & near
-            if len(pair):
-                key = pair_hash(w, u)
-                where = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-                held = hit & ~near & (pair[where] == key)
-                p[held] = pair_p[where[held]]
-                done |= held
-            hd = doc[done]
-            sums = [np.bincount(hd, x, minlength=len(n)) for x in (np.ones(len(hd)), base[at[done]] if len(base) else np.zeros(0), p[done])]
-            # a row for the text itself, under a word that no model holds, and one for each of its rarer pairs
-            with np.errstate(over="ignore"):
-                own = mix(tag.view(np.uint64) ^ np.uint64(0xA5A5A5A5)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(tag), pa.array(own), pa.array(own), pa.array(n.astype(np.int64)), pa.array(np.ones(len(n), dtype=np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
-            rest = ~done
-            if rest.any():
-                rw, ru, rd = w[rest], u[rest], doc[rest]
-                order = np.lexsort((ru, rw, rd))
-                rw, ru, rd = rw[order], ru[order], rd[order]
-                new = np.ones(len(rw), dtype=bool)
-                new[1:] = (rw[1:] != rw[:-1]) | (ru[1:] != ru[:-1]) | (rd[1:] != rd[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(first, append=len(rw)).astype(np.int64)
-                rw, ru, rd = rw[first], ru[first], rd[first]
-                for a in range(0, len(rw), 200_000):
-                    q = slice(a, a + 200_000)
-                    k = len(rw[q])
-                    zero = pa.array(np.zeros(k))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rd[q])), pa.array(tag[rd[q]]), pa.array(rw[q]), pa.array(ru[q]), pa.array(times[q]), pa.array(np.zeros(k, dtype=np.int64)), pa.array(np.zeros(k, dtype=np.int64)), zero, zero], names=names)
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = src.mapInArrow(rows, "doc_id long, tag long, w long, u long, n long, row long, known long, base double, score double")
-    held = pairs.select(F.col("w").alias("_w"), F.col("u").alias("_u"), "cw", "p")
-    joined = made.join(held, (F.col("w") == F.col("_w")) & (F.col("u") == F.col("_u")), "left")
-    rare = F.col("row") == 0
-    joined = joined.select(
-        "doc_id", "tag", "row",
-        F.when(rare, F.lit(0)).otherwise(F.col("n")).alias("n_tokens"),
-        F.when(rare & (F.col("cw") > 0), F.col("n")).otherwise(F.col("known")).alias("n_known"),
-        F.when(rare, F.col("n") * _base(model, F.col("cw"))).otherwise(F.col("base")).alias("base_score"),
-        F.when(rare, F.col("n") * F.col("p")).otherwise(F.col("score")).alias("score"),
-    )
-    by = joined.groupBy("doc_id", "tag").agg(F.sum("row").alias("rows"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    # repeated rows of one text have been summed together: take the mean, and give each its row again
-    alike = by.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return alike.select("doc_id", F.expr("n_tokens div rows").alias("n_tokens"), F.expr("n_known div rows").alias("n_known"), (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
-
-
-def language_model_scores(docs: DataFrame) -> DataFrame:
+        from pyspark import TaskContext
+
+        number, ids, texts, train, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+        for batch in batches:
+            for i, t, learn in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                if size and size + len(t or b"") > CHUNK:
+                    yield from _rows(list(made(number, ids, texts, train))).to_batches()
+                    number, ids, texts, train, size = number + 1, [], [], [], 0
+                ids.append(i)
+                texts.append(t)
+                train.append(learn)
+                size += len(t or b"") + 1
+        if ids:
+            yield from _rows(list(made(number, ids, texts, train))).to_batches()
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("train").cast("boolean").alias("train"))
+    return src.mapInArrow(tidy(rows), ROW)
+
+
+# Owners of contexts
+
+
+def gather_pairs(layout: Layout):
+    """A part merges its requests: counts of all its pairs for the answers, pairs of two customers or more for the sweeps, and words met."""
+    parts = layout.parts
+
+    def run(group):
+        got = _got(group)[REQUEST]
+        dst = group.column("dst")[0].as_py()
+        us, ws, cs, sizes = [], [], [], []
+        for blob in got.values():
+            du, runs, dw, at, c = unpack(blob)
+            us.append(np.repeat(from_steps(du), wide(runs)))
+            ws.append(from_steps(dw)[at])
+            cs.append(wide(c))
+            sizes.append(len(c))
+        u, w, c = (np.concatenate(x) for x in (us, ws, cs))
+        del us, ws, cs
+        by = np.lexsort((w, u))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (u[by][1:] != u[by][:-1]) | (w[by][1:] != w[by][:-1])
+        pair = np.empty(len(by), dtype=np.int64)
+        pair[by] = np.cumsum(new) - 1
+        u, w = u[by][new], w[by][new]
+        c = np.bincount(pair, c, minlength=len(u)).astype(np.int64)
+        runs, ends = _bounds(u)
+        maps, at = [], 0
+        for size in sizes:  # a chunk's pairs are in order, so their places rise
+            maps.append(narrow(steps(pair[at : at + size])))
+            at += size
+        room = np.repeat(np.arange(len(runs)), ends - runs)
+        number = layout.number(u[runs])
+        hot = np.flatnonzero(number >= 0)
+        out = [(dst, dst, COUNTS, 0.0, pack(narrow(c), narrow(ends - runs), np.array(list(got), dtype=np.int64), hot, number[hot], *maps))]
+        active = np.flatnonzero(c > 1)
+        customers = np.bincount(room, c, minlength=len(runs)).astype(np.int64)
+        single = np.bincount(room, c == 1, minlength=len(runs)).astype(np.int64)
+        seen = np.flatnonzero(c > 0)
+        known, at = np.unique(w[seen], return_inverse=True)
+        one = np.bincount(at, c[seen] == 1, minlength=len(known)).astype(np.int64)
+        more = np.bincount(at, c[seen] > 1, minlength=len(known)).astype(np.int64)
+        owner = (known % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(owner, kind="stable")
+        place = np.full(len(known), -1, dtype=np.int64)
+        mine = by[more[by] > 0]
+        place[mine] = np.arange(len(mine))
+        for a, b in zip(*_bounds(owner[by])):
+            own = by[a:b]
+            out.append((_word_owner(int(owner[own[0]])), dst, MET, 0.0, pack(steps(known[own]), narrow(one[own]), narrow(more[own]))))
+        of_active = place[at[np.searchsorted(seen, active)]]
+        owners, sizes_ = np.unique(owner[mine], return_counts=True)
+        out.append((dst, dst, ACTIVE, 0.0, pack(narrow(steps(active)), narrow(room[active]), narrow(of_active), narrow(c[active]), narrow(np.ones(len(active), dtype=np.int64)), narrow(np.zeros(len(active), dtype=np.int64)), narrow(customers), narrow(single), hot, number[hot], owners, sizes_)))
+        out += [_total(ONES, (c == 1).sum()), _total(TWOS, (c == 2).sum())]
+        for h, k in zip(hot.tolist(), number[hot].tolist()):
+            out += [_total(FIRST_SPLIT + 2 * k, customers[h]), _total(FIRST_SPLIT + 2 * k + 1, (c[runs[h] : ends[h]] > 0).sum())]
+        return _rows(out)
+
+    return run
+
+
+def sweep(number: int, keep: bool, d: float, d0: float, root: tuple[float, float, float], split_g: np.ndarray):
+    """A part draws the tables of its pairs anew, given the root's seats; keep adds them to the samples."""
+    customers0, tables0, types = root
+
+    def run(group):
+        got = _got(group)
+        dst = group.column("dst")[0].as_py()
+        active, room, word, c, t, total, customers, single, hot, split, owners, sizes, *kept = unpack(got[ACTIVE][dst])
+        c, t, single = wide(c), wide(t), wide(single)
+        seats = [unpack(b) for b in got.get(ROOT, {}).values()]
+        rng = np.random.default_rng([number, dst])
+        if len(c):
+            m, t0 = (np.concatenate([s[k] for s in seats]).astype(np.float64) for k in (0, 1))
+            p0 = (np.maximum(m - d0 * t0, 0) + (THETA + d0 * tables0) / (types + 1)) / (THETA + customers0)
+            tables = single + np.bincount(room, t, minlength=len(single)).astype(np.int64)
+            g = rng.standard_gamma(THETA / d + tables)
+            g[hot] = split_g[split]
+            t = seated(c, d * np.maximum(g[room], 1e-12) * p0[word], d, rng)
+            total = wide(total) + t * keep
+        tables = single + np.bincount(room, t, minlength=len(single)).astype(np.int64)
+        if keep:
+            kept.append(narrow(tables))
+        out = [(dst, dst, ACTIVE, 0.0, pack(active, room, word, narrow(c), narrow(t), narrow(total), customers, narrow(single), hot, split, owners, sizes, *kept))]
+        sums = np.bincount(word, t, minlength=int(sizes.sum())).astype(np.int64)
+        ends = np.cumsum(sizes)
+        for q, a, b in zip(owners.tolist(), (ends - sizes).tolist(), ends.tolist()):
+            out.append((_word_owner(q), dst, SUMS, 0.0, pack(narrow(sums[a:b]))))
+        for h, k in zip(hot.tolist(), split.tolist()):
+            out.append(_total(FIRST_SPLIT + 2 * k + 1, tables[h]))
+        return _rows(out)
+
+    return run
+
+
+def answer_pairs(samples: int, split: dict[int, list[float]]):
+    """A part answers each chunk: customers and tables, over all samples, of its pairs, and of its contexts in each sample."""
+
+    def run(group):
+        got = _got(group)
+        dst = group.column("dst")[0].as_py()
+        c, sizes, chunks_, _, _, *maps = unpack(got[COUNTS][dst])
+        active, _, _, _, _, total, customers, _, hot, number, _, _, *tables = unpack(got[ACTIVE][dst])
+        c, customers, tables = wide(c), wide(customers), [wide(x) for x in tables]
+        for h, k in zip(hot.tolist(), number.tolist()):  # a split context's totals are those of all its parts
+            customers[h] = split[k][0]
+            for x, y in zip(tables, split[k][1:]):
+                x[h] = y
+        t = samples * (c == 1)
+        t[from_steps(active)] = total
+        room = np.repeat(np.arange(len(sizes)), wide(sizes))
+        out = []
+        for chunk, map_ in zip(chunks_.tolist(), maps):
+            at = from_steps(map_)
+            rooms = room[at]
+            rooms = rooms[_bounds(rooms)[0]]
+            out.append((chunk, dst, PAIR_ANSWER, 0.0, pack(narrow(c[at]), narrow(t[at]), narrow(customers[rooms]), *[narrow(x[rooms]) for x in tables])))
+        return _rows(out)
+
+    return run
+
+
+# Owners of words
+
+
+def gather_words(group):
+    """A word part merges what chunks and parts have of its words: tokens, and the tables that the contexts begin with."""
+    got = _got(group)
+    dst = group.column("dst")[0].as_py()
+    asked = {s: unpack(b) for s, b in got.get(WORDS, {}).items()}
+    met = {s: unpack(b) for s, b in got.get(MET, {}).items()}
+    lists = [from_steps(x[0]) for x in (*asked.values(), *met.values())]
+    known = np.unique(np.concatenate(lists))
+    c, one, more = (np.zeros(len(known), dtype=np.int64) for _ in range(3))
+    maps, met_maps = [], []
+    for words, x in zip(lists, asked.values()):
+        at = np.searchsorted(known, words)
+        c[at] += wide(x[1])
+        maps.append(narrow(steps(at)))
+    for words, x in zip(lists[len(asked) :], met.values()):
+        at = np.searchsorted(known, words)
+        one[at] += wide(x[1])
+        more[at] += wide(x[2])
+        met_maps.append(narrow(steps(at[x[2] > 0])))
+    m = one + more
+    t0 = np.minimum(m, 1)
+    out = [(dst, dst, WORD_STATE, 0.0, pack(narrow(c), narrow(one), np.array(list(asked), dtype=np.int64), np.array(list(met), dtype=np.int64), *maps, *met_maps))]
+    out += [_total(TOKENS, c.sum()), _total(TYPES, (c > 0).sum()), _total(CUSTOMERS, m.sum()), _total(TABLES, t0.sum()), _total(ROOT_ONES, (m == 1).sum()), _total(ROOT_TWOS, (m == 2).sum())]
+    return _rows(out + _to_parts(dst, met, met_maps, m, t0))
+
+
+def _to_parts(dst: int, met, met_maps, m: np.ndarray, t0: np.ndarray):
+    return [(p, dst, ROOT, 0.0, pack(narrow(m[at]), narrow(t0[at]))) for p, map_ in zip(met, met_maps) if len(at := from_steps(map_))]
+
+
+def reseat_root(number: int, keep: bool, d0: float, x: float):
+    """A word part adds up the tables of its words' contexts and draws the root's tables; keep adds both to the samples."""
+
+    def run(group):
+        got = _got(group)
+        dst = group.column("dst")[0].as_py()
+        c, one, asked, met, *rest = unpack(got[WORD_STATE][dst])
+        met_maps, kept = rest[len(asked) : len(asked) + len(met)], rest[len(asked) + len(met) :]
+        m = wide(one)
+        where = dict(zip(met.tolist(), met_maps))
+        for p, blob in got.get(SUMS, {}).items():
+            m[from_steps(where[p])] += wide(unpack(blob)[0])
+        t0 = np.zeros(len(m), dtype=np.int64)
+        some = np.flatnonzero(m > 0)
+        t0[some] = seated(m[some], np.full(len(some), x), d0, np.random.default_rng([number, dst]))
+        if keep:
+            kept += [narrow(m), narrow(t0)]
+        out = [(dst, dst, WORD_STATE, 0.0, pack(c, one, asked, met, *rest[: len(asked) + len(met)], *kept)), _total(CUSTOMERS, m.sum()), _total(TABLES, t0.sum())]
+        return _rows(out + _to_parts(dst, met.tolist(), met_maps, m, t0))
+
+    return run
+
+
+def answer_words(group):
+    """A word part answers each chunk: tokens, and customers and tables in the root in each sample, of its words."""
+    dst = group.column("dst")[0].as_py()
+    c, one, asked, met, *rest = unpack(_got(group)[WORD_STATE][dst])
+    kept = rest[len(asked) + len(met) :]
+    return _rows([(chunk, dst, WORD_ANSWER, 0.0, pack(narrow(c[at]), *[narrow(x[at]) for x in kept])) for chunk, map_ in zip(asked.tolist(), rest) if len(at := from_steps(map_))])
+
+
+# The model
+
+
+def score_chunk(parts: int, d: float, d0: float, roots: list[tuple[float, float]], n: float, types: float):
+    """A chunk scores its texts: log10 of the averaged predictive probability of every token, summed by text."""
+    import pyarrow as pa
+
+    samples = len(roots)
+
+    def run(group):
+        got = _got(group)
+        ids, null, counts, often, place, owner, salt, ways, start = unpack(next(iter(got[TEXTS].values())))
+        word, counts, owner = wide(often)[place], wide(counts), wide(owner)
+        u, w, part, back = _pairs(word, counts, int(start[0]), owner, wide(salt), wide(ways), parts)
+        pairs = [unpack(b) for b in got[PAIR_ANSWER].values()]
+        by_pair = [np.concatenate([x[k] for x in pairs]).astype(np.float64) for k in range(3 + samples)]
+        # answers hold a context once for each part
+        first = np.flatnonzero((np.diff(u, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        room = np.repeat(np.arange(len(first)), np.diff(first, append=len(u)))
+        words = [unpack(b) for b in got[WORD_ANSWER].values()]
+        by = np.argsort(owner, kind="stable")
+        by_word = np.zeros((1 + 2 * samples, len(owner)))
+        for k in range(1 + 2 * samples):
+            by_word[k, by] = np.concatenate([x[k] for x in words])
+        size = THETA + by_pair[2][room]
+        p = (samples * by_pair[0] - d * by_pair[1]) / size
+        for k, (customers, tables) in enumerate(roots):
+            p0 = (np.maximum(by_word[1 + 2 * k] - d0 * by_word[2 + 2 * k], 0) + (THETA + d0 * tables) / (types + 1)) / (THETA + customers)
+            p += (THETA + d * by_pair[3 + k][room]) / size * p0[w]
+        log_p = np.log10(p / samples)
+        base = np.log10((by_word[0] + 0.5) / (n + 0.5 * (types + 1)))
+        begin = np.cumsum(counts) - counts
+        sums = [np.add.reduceat(x, begin) for x in ((by_word[0][word] > 0).astype(np.int64), base[word], log_p[back])]
+        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": pa.array(counts), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+
+    return run
+
+
+def layout_of(docs: DataFrame, part_bytes: int = PART) -> Layout:
+    """Parts by the size of all texts; the most frequent words of a bounded sample are split. Only the dealing depends on it."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")).alias("n")).collect()[0]["n"] or 0
+    parts = max(1, -(-size // part_bytes))
+    split: dict[int, int] = {}
+    if parts > 1:
+        ids = docs.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SPLIT_ROWS)
+        sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"))
+
+        def rows(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                w, n = np.unique(tokens(as_bytes(batch.column(0)))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
+
+        counts = sample.mapInArrow(rows, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        whole = counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 1
+        for r in counts.orderBy(F.desc("n"), "w").limit(SPLIT).collect():
+            ways = min(parts, round(4 * parts * r["n"] / whole))
+            if ways > 1:
+                split[r["w"] & 0xFFFFFFFFFFFFFFFF] = ways
+    return Layout(parts, split)
+
+
+def language_model_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, part_bytes: int = PART) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(doc_id) mod 5 is not 1 (a null id is not
     held out) and scores all. A null or empty text is one token, its end. With
-    nothing to learn from, every word is the unknown one. Other columns are
-    dropped.
+    nothing to learn from, every word is the unknown one. Repeated rows are rows
+    of their own and score alike; an empty table gives an empty result. Other
+    columns are dropped.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = learn(base.withColumn("train", ~held_out()))
-    return score(base, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("train", ~held_out())
+    layout = layout_of(src, part_bytes)
+    kind = F.col("kind")
+
+    def step(rows: DataFrame, run, name: str) -> DataFrame:
+        return stage(rows.groupBy("dst").applyInArrow(tidy_group(run), ROW), name)
+
+    def totals(rows: DataFrame) -> dict[int, float]:
+        return {r["dst"]: r["v"] for r in rows.filter(kind == TOTAL).groupBy("dst").agg(F.sum("v").alias("v")).collect()}  # at most 8 + 2 SPLIT rows
+
+    def released(*tables: DataFrame) -> None:
+        drop(*tables)
+        spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver's collector finds their plans
+
+    asked = stage(chunk_rows(src, layout), "chunks")
+    texts = stage(asked.filter(kind == TEXTS), "texts")
+    parts = step(asked.filter(kind == REQUEST), gather_pairs(layout), "pairs")
+    words = step(asked.filter(kind == WORDS).unionByName(parts.filter(kind == MET)), gather_words, "words")
+    released(asked)
+    of_pairs, of_words = totals(parts), totals(words)
+    types, n = of_words.get(TYPES, 0.0), of_words.get(TOKENS, 0.0)
+    d, d0 = _discount(of_pairs.get(ONES, 0), of_pairs.get(TWOS, 0)), _discount(of_words.get(ROOT_ONES, 0), of_words.get(ROOT_TWOS, 0))
+    counts, active = parts.filter(kind == COUNTS), parts
+    split = {k: [of_pairs.get(FIRST_SPLIT + 2 * k, 0.0)] for k in range(len(layout.split))}
+    tables = np.array([of_pairs.get(FIRST_SPLIT + 2 * k + 1, 0.0) for k in split])
+    roots: list[tuple[float, float]] = []
+    for number in range(burn_in + samples):
+        keep = number >= burn_in
+        rng = np.random.default_rng([number, 1 << 40])
+        root = of_words.get(CUSTOMERS, 0.0), of_words.get(TABLES, 0.0)
+        split_g = rng.standard_gamma(THETA / d + tables)
+        new = step(active.filter(kind == ACTIVE).unionByName(words.filter(kind == ROOT)), sweep(number, keep, d, d0, (*root, types), split_g), "seats")
+        x = d0 * max(1e-12, rng.standard_gamma(THETA / d0 + root[1])) / (types + 1)
+        again = step(words.filter(kind == WORD_STATE).unionByName(new.filter(kind == SUMS)), reseat_root(number, keep, d0, x), "words")
+        of_parts, of_words = totals(new), totals(again)
+        released(words, *([active] if number else []))
+        active, words = new, again
+        tables = np.array([of_parts.get(FIRST_SPLIT + 2 * k + 1, 0.0) for k in split])
+        if keep:
+            roots.append((of_words.get(CUSTOMERS, 0.0), of_words.get(TABLES, 0.0)))
+            for k in split:
+                split[k].append(tables[k])
+    to_chunks = step(counts.unionByName(active.filter(kind == ACTIVE)), answer_pairs(samples, split), "answers")
+    words_answers = step(words.filter(kind == WORD_STATE), answer_words, "answers")
+    released(parts, active, words)
+    scored = texts.unionByName(to_chunks).unionByName(words_answers).groupBy("dst").applyInArrow(score_chunk(layout.parts, d, d0, roots, n, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def tidy_group(run):
+    """Wraps a function of one group: its worker gives free memory back afterwards."""
+
+    def wrapped(group):
+        return next(tidy(lambda g: iter([run(g)]))(group))
+
+    return wrapped
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """language_model_scores() over all documents."""
     return language_model_scores(table(spark, sf_dir, "documents"))
