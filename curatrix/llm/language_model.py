@@ -24,7 +24,7 @@ from .common import as_bytes, drop, mix, stage, table, tidy, word_hashes
 BURN_IN, SAMPLES = 1, 3
 THETA = 1.0
 #: Bytes of text in a chunk (a longer text is a chunk by itself), and for each part.
-CHUNK, PART = 6 << 20, 8 << 20
+CHUNK, PART = 10 << 20, 12 << 20
 #: Contexts that are split by their followers, the most frequent words of so many documents; results don't depend on it.
 SPLIT, SPLIT_ROWS = 1_000, 2_000
 #: The number of tables of up to so many customers is drawn from its exact distribution, of more from its limit.
@@ -224,37 +224,26 @@ def _bounds(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunk_rows(docs: DataFrame, layout: Layout) -> DataFrame:
-    """Rows of all chunks of docs (doc_id, text, train): requests to parts and word parts, and the texts as word numbers."""
-    import pyarrow as pa
-
+    """A row for each chunk of docs (doc_id, text, train): its texts as word numbers, and apart from them the words' hashes."""
     parts = layout.parts
 
     def made(number: int, ids: list, texts: list, train: list):
+        import pyarrow as pa
+
         w, n = tokens(texts)
         vocabulary, word = np.unique(np.append(w, np.uint64(START)), return_inverse=True)
         start, word = int(word[-1]), word[:-1]
         split = layout.number(vocabulary)
         ways = np.where(split >= 0, layout.ways[split], 0) if len(layout.ways) else np.zeros(len(vocabulary), dtype=np.int64)
-        owner, salt = (vocabulary % np.uint64(parts)).astype(np.int64), ((vocabulary >> np.uint64(44)) & np.uint64(0xFFFF)).astype(np.int64)
-        u, v, part, back = _pairs(word, n, start, owner, salt, ways, parts)
-        learnt = np.repeat(np.array(train, dtype=np.int64), n)
-        c = np.bincount(back, learnt, minlength=len(u)).astype(np.int64)
-        me = 3 * number + 2
-        for a, b in zip(*_bounds(part)):
-            runs, ends = _bounds(u[a:b])
-            known, at = np.unique(v[a:b], return_inverse=True)
-            yield (_own(int(part[a])), me, REQUEST, 0.0, pack(steps(vocabulary[u[a:b][runs]]), narrow(ends - runs), steps(vocabulary[known]), narrow(at), narrow(c[a:b])))
-        seen = np.bincount(word, learnt, minlength=len(vocabulary)).astype(np.int64)
-        by = np.argsort(owner, kind="stable")
-        for a, b in zip(*_bounds(owner[by])):
-            own = by[a:b]
-            yield (_word_owner(int(owner[own[0]])), me, WORDS, 0.0, pack(steps(vocabulary[own]), narrow(seen[own])))
+        owner, salt = vocabulary % np.uint64(parts), (vocabulary >> np.uint64(44)) & np.uint64(0xFFFF)
         often = np.argsort(-np.bincount(word, minlength=len(vocabulary)), kind="stable")
         place = np.empty(len(often), dtype=np.int64)
         place[often] = np.arange(len(often))
         null = np.array([i is None for i in ids], dtype=np.uint8)
         own_ids = np.array([i or 0 for i in ids], dtype=np.int64)
-        yield (me, me, TEXTS, 0.0, pack(own_ids, null, narrow(n), narrow(often), narrow(place[word]), narrow(owner), narrow(salt), narrow(ways), narrow(np.array([start]))))
+        blob = pack(own_ids, null, narrow(n), narrow(often), narrow(place[word]), narrow(owner), narrow(salt), narrow(ways), narrow(np.array([start])))
+        row = _rows([(3 * number + 2, 3 * number + 2, TEXTS, 0.0, blob)])
+        return row.append_column("words", pa.array([pack(steps(vocabulary), np.array(train, dtype=np.uint8))], pa.binary())).to_batches()
 
     def rows(batches):
         from pyspark import TaskContext
@@ -263,17 +252,63 @@ def chunk_rows(docs: DataFrame, layout: Layout) -> DataFrame:
         for batch in batches:
             for i, t, learn in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 if size and size + len(t or b"") > CHUNK:
-                    yield from _rows(list(made(number, ids, texts, train))).to_batches()
+                    yield from made(number, ids, texts, train)
                     number, ids, texts, train, size = number + 1, [], [], [], 0
                 ids.append(i)
                 texts.append(t)
                 train.append(learn)
                 size += len(t or b"") + 1
         if ids:
-            yield from _rows(list(made(number, ids, texts, train))).to_batches()
+            yield from made(number, ids, texts, train)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("train").cast("boolean").alias("train"))
-    return src.mapInArrow(tidy(rows), ROW)
+    return src.mapInArrow(tidy(rows), ROW + ", words binary")
+
+
+def _chunk(batch, k: int):
+    """A chunk's word hashes, the words and counts of its texts, which tokens are learnt, and what _pairs takes besides."""
+    _, _, counts, often, place, owner, salt, ways, start = unpack(batch.column("blob")[k].as_py())
+    vocabulary, train = unpack(batch.column("words")[k].as_py())
+    counts = wide(counts)
+    return from_steps(vocabulary), wide(often)[place], counts, np.repeat(train, counts), (int(start[0]), wide(owner), wide(salt), wide(ways))
+
+
+def pair_requests(chunks_: DataFrame, parts: int) -> DataFrame:
+    """Each chunk's distinct pairs and how often they are learnt, to the parts that own them."""
+
+    def made(batch, k):
+        vocabulary, word, n, learnt, dealt = _chunk(batch, k)
+        u, v, part, back = _pairs(word, n, *dealt, parts)
+        c = np.bincount(back, learnt, minlength=len(u)).astype(np.int64)
+        for a, b in zip(*_bounds(part)):
+            runs, ends = _bounds(u[a:b])
+            known, at = np.unique(v[a:b], return_inverse=True)
+            yield (_own(int(part[a])), batch.column("dst")[k].as_py(), REQUEST, 0.0, pack(steps(vocabulary[u[a:b][runs]]), narrow(ends - runs), steps(vocabulary[known]), narrow(at), narrow(c[a:b])))
+
+    return _each(chunks_, made)
+
+
+def word_requests(chunks_: DataFrame) -> DataFrame:
+    """Each chunk's words and how often they are learnt, to the word parts that own them."""
+
+    def made(batch, k):
+        vocabulary, word, n, learnt, (_, owner, _, _) = _chunk(batch, k)
+        seen = np.bincount(word, learnt, minlength=len(vocabulary)).astype(np.int64)
+        by = np.argsort(owner, kind="stable")
+        for a, b in zip(*_bounds(owner[by])):
+            own = by[a:b]
+            yield (_word_owner(int(owner[own[0]])), batch.column("dst")[k].as_py(), WORDS, 0.0, pack(steps(vocabulary[own]), narrow(seen[own])))
+
+    return _each(chunks_, made)
+
+
+def _each(chunks_: DataFrame, made) -> DataFrame:
+    def rows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from _rows(list(made(batch, k))).to_batches()
+
+    return chunks_.mapInArrow(tidy(rows), ROW)
 
 
 # Owners of contexts
@@ -549,11 +584,11 @@ def language_model_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int
         drop(*tables)
         spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver's collector finds their plans
 
-    asked = stage(chunk_rows(src, layout), "chunks")
-    texts = stage(asked.filter(kind == TEXTS), "texts")
-    parts = step(asked.filter(kind == REQUEST), gather_pairs(layout), "pairs")
-    words = step(asked.filter(kind == WORDS).unionByName(parts.filter(kind == MET)), gather_words, "words")
-    released(asked)
+    texts = stage(chunk_rows(src, layout), "chunks")
+    parts = step(pair_requests(texts, layout.parts), gather_pairs(layout), "pairs")
+    released()
+    words = step(word_requests(texts).unionByName(parts.filter(kind == MET)), gather_words, "words")
+    released()
     of_pairs, of_words = totals(parts), totals(words)
     types, n = of_words.get(TYPES, 0.0), of_words.get(TOKENS, 0.0)
     d, d0 = _discount(of_pairs.get(ONES, 0), of_pairs.get(TWOS, 0)), _discount(of_words.get(ROOT_ONES, 0), of_words.get(ROOT_TWOS, 0))
@@ -580,7 +615,7 @@ def language_model_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int
     to_chunks = step(counts.unionByName(active.filter(kind == ACTIVE)), answer_pairs(samples, split), "answers")
     words_answers = step(words.filter(kind == WORD_STATE), answer_words, "answers")
     released(parts, active, words)
-    scored = texts.unionByName(to_chunks).unionByName(words_answers).groupBy("dst").applyInArrow(score_chunk(layout.parts, d, d0, roots, n, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = texts.drop("words").unionByName(to_chunks).unionByName(words_answers).groupBy("dst").applyInArrow(score_chunk(layout.parts, d, d0, roots, n, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
