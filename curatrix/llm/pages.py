@@ -18,9 +18,8 @@ PATH = 64
 WORDS = 32
 EXTRA = 6
 HIDDEN = 16
-#: Most pages that training reads, those of the smallest hashes; blocks of a page that one training sequence holds.
+#: Most pages that training reads, those of the smallest hashes.
 TRAIN_PAGES = 240
-TRAIN_BLOCKS = 120
 EPOCHS = 8
 #: Pages that are labelled together.
 TOGETHER = 128
@@ -28,17 +27,126 @@ _workers: dict[str, "Labeller"] = {}
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW_TAGS = "script|style|noscript|template|title|textarea|iframe|svg|noembed|noframes|xmp"
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    rf"|<({RAW_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""(?:\b|_)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose content is no text of the page. Without an end tag, the first two reach to the page's end and the others are ignored.
+ENDLESS = frozenset(["script", "style"])
+RAW_TAGS = ENDLESS | frozenset("noscript template title textarea iframe svg noembed noframes xmp".split())
+#: A start or end tag whose attributes are written plainly; what doesn't match is read by _attributes.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>\s++[^\s"'<>/=]++(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`/]++))?)*+)\s*+(/?)>""")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE_NAME = re.compile(r"[^\s/>][^\s/>=]*")
+_ATTRIBUTE_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_BETWEEN = re.compile(r"[\s/]*")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)=(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
+#: Of deeper nesting, end tags look at so many innermost elements, and paths name so many.
+DEEP, NAMED = 256, 100
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+class Scanner:
+    """The texts and tags of a page, in time that grows with its length.
+
+    Tags, comments and attributes end where HTML says. What HTML would lose
+    stays: a < that begins no tag, or that no > follows, is text; a quote that is
+    never closed ends at the next space or >; if a tag would reach beyond the end
+    of the page, it and all later ones end at their first >.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.lower: str | None = None
+        self.endless: set[str] = set()
+        self.plain = False
+
+    def __iter__(self):
+        """(text, tag, closing, attributes, empty): a text comes with tag None."""
+        html, at = self.html, 0
+        while at < len(html):
+            begin = at
+            at = html.find("<", at)
+            while 0 <= at < self.last and not self._markup(at):
+                at = html.find("<", at + 1)
+            if at < 0 or at >= self.last:
+                yield html[begin:], None, False, "", False
+                return
+            if at > begin:
+                yield html[begin:at], None, False, "", False
+            if html.startswith("<!--", at):
+                if html.startswith((">", "->"), at + 4):
+                    at = html.index(">", at) + 1
+                else:
+                    end = None if "comment" in self.endless else _COMMENT_END.search(html, at + 4)
+                    if end is None:  # as much as one tag
+                        self.endless.add("comment")
+                    at = end.end() if end else html.index(">", at) + 1
+                continue
+            m = None if self.plain else _PLAIN.match(html, at)
+            if m:
+                closing, tag, attributes, empty = bool(m[1]), m[2].lower(), m[3], bool(m[4])
+                at = m.end()
+            elif m := _TAG_NAME.match(html, at + 1 + (html[at + 1] == "/")):
+                closing, tag = html[at + 1] == "/", m[0].lower()
+                attributes, at = self._attributes(m.end())
+                empty = html[at - 2] == "/"
+            else:  # a declaration, an instruction or an end tag without a name
+                at = html.index(">", at) + 1
+                continue
+            yield "", tag, closing, attributes, empty
+            if tag in RAW_TAGS and not closing and not (tag == "svg" and empty):
+                at = self._end_of(tag, at)
+
+    def _markup(self, at: int) -> bool:
+        c = self.html[at + 1 : at + 2]
+        if c == "/":
+            c = self.html[at + 2 : at + 3]
+            return c != "" and (c in "!?>" or c.isascii() and c.isalpha())
+        return c != "" and (c in "!?" or c.isascii() and c.isalpha())
+
+    def _attributes(self, at: int) -> tuple[str, int]:
+        """The attributes from here on, written plainly, and where the tag ends."""
+        html, begin, found = self.html, at, []
+        while not self.plain:
+            at = _BETWEEN.match(html, at).end()
+            if at >= len(html):
+                self.plain = True
+                break
+            if html[at] == ">":
+                return " ".join(found), at + 1
+            name = _ATTRIBUTE_NAME.match(html, at)
+            at = name.end()
+            equals = _ATTRIBUTE_EQUALS.match(html, at)
+            if equals:
+                at = equals.end()
+                quote = html[at : at + 1]
+                if quote in ('"', "'") and self.last_quote[quote] > at:
+                    end = html.index(quote, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    value = _UNQUOTED.match(html, at)[0]
+                    at += len(value)
+                found.append(f'{name[0]}="{value.replace(chr(34), " ")}"')
+        end = html.find(">", begin)
+        return " ".join(found), end + 1 if end >= 0 else len(html)
+
+    def _end_of(self, tag: str, at: int) -> int:
+        """Where the content of a raw element ends: after its end tag."""
+        if tag in self.endless:
+            return at
+        if self.lower is None:
+            self.lower = self.html.translate(_LOWER)
+        end = at
+        while (end := self.lower.find("</" + tag, end)) >= 0:
+            end += len(tag) + 2
+            if self.html[end : end + 1] in (">", "/", " ", "\t", "\n", "\f", "\r"):
+                close = self.html.find(">", end)
+                return close + 1 if close >= 0 else len(self.html)
+        if tag in ENDLESS:
+            return len(self.html)
+        self.endless.add(tag)
+        return at
 
 
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
@@ -48,7 +156,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     decoded after the markup is taken out; white space becomes one space. Path
     tokens are the names of open elements and the words of their class, id and
     role, marked by the kind. Unclosed elements stay open until one around them
-    closes; a paragraph or list item also ends at the next of its kind.
+    closes; a paragraph or list item also ends at the next of its kind. Paths name
+    the NAMED innermost elements, and an end tag closes one of the DEEP innermost.
     """
     if not html:
         return []
@@ -56,7 +165,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     path: tuple[str, ...] = ()
-    linked, in_link, at = 0, 0, 0
+    linked, in_link = 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -68,34 +177,34 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         linked = 0
 
     def tokens() -> tuple[str, ...]:
-        return tuple(t for _, own in stack for t in own)
+        return tuple(t for _, own in stack[-NAMED:] for t in own)
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    for piece, tag, closing, attributes, empty in Scanner(html):
+        if tag is None:
+            if not parts:
+                path = tokens()
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        if m[3] is None:
             continue
-        tag = m[3].lower()
         if tag == "br":
+            if not parts:
+                path = tokens()
             parts.append(" ")
             continue
         block = tag in BLOCK_TAGS
         if block:
             flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+        if closing:
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEP), -1):
                 if stack[k][0] == tag:
                     if block or not any(t in BLOCK_TAGS for t, _ in stack[k:]):
                         in_link -= sum(t == "a" for t, _ in stack[k:])
                         del stack[k:]
                     break
-        elif tag not in VOID_TAGS and not m[4].rstrip().endswith("/"):
+        elif tag not in VOID_TAGS and tag not in RAW_TAGS and not empty:
             if block:  # a paragraph ends where a block begins, an item where the next one does
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEP), -1):
                     if stack[k][0] == "p" or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[k][0] == tag):
                         in_link -= sum(t == "a" for t, _ in stack[k:])
                         del stack[k:]
@@ -103,16 +212,11 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                     if stack[k][0] in BLOCK_TAGS:
                         break
             own = [tag]
-            if m[4]:
-                for kind, a, b, c in _ATTRIBUTE.findall(m[4]):
+            if attributes:
+                for kind, a, b, c in _ATTRIBUTE.findall(attributes):
                     own += [f"{kind.lower()[0]}:{w.lower()}" for w in _NAME.findall(a or b or c)]
             stack.append((tag, tuple(own)))
             in_link += tag == "a"
-        if block or not parts:
-            path = tokens()
-    if at < len(html):
-        rest = html[at:]
-        parts.append(rest if "<" not in rest else rest[: rest.index("<")])
     flush()
     return out
 
@@ -229,8 +333,8 @@ class Labeller:
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         step = 0
         for _ in range(epochs):
-            order = rng.permutation(len(pages))
-            for at in range(0, len(order), batch):
+            order = sorted(rng.permutation(len(pages)).tolist(), key=lambda k: len(pages[k]))  # pages of like length together
+            for at in rng.permutation(range(0, len(order), batch)).tolist():
                 x, mask = padded([pages[k] for k in order[at : at + batch]])
                 y = np.zeros(mask.shape, dtype=np.float32)
                 for c, k in enumerate(order[at : at + batch]):
@@ -332,22 +436,24 @@ def train(pages: list[str | None]) -> Labeller:
     texts = [t for b, y in known for (_, t, _), v in zip(b, y) if v and t]
     labelled = known + made_up(texts or ["Lorem ipsum dolor sit amet."], max(len(known), 200))
     labeller = Labeller()
-    x = labeller.features([b[:TRAIN_BLOCKS] for b, _ in labelled])
-    return labeller.fit(x, [y[:TRAIN_BLOCKS] for _, y in labelled])
+    return labeller.fit(labeller.features([b for b, _ in labelled]), [y for _, y in labelled])
 
 
 def extract(pages: DataFrame, training: DataFrame | None = None, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """One row per page: page_id, url, text (blocks of the article joined by an empty line), n_chars.
 
-    The labeller is trained on at most train_pages pages and reads every block of
-    every page. A null or empty html, and a page without main blocks, give an
+    The labeller is trained on at most train_pages whole pages (of an id's and
+    url's several rows, the greatest html) and reads every block of every page. A null or empty html, and a page without main blocks, give an
     empty text. Repeated rows are extracted alike; a null id or url stays null;
     other columns are dropped.
     """
     import pyarrow as pa
 
-    sample = (pages if training is None else training).filter("html IS NOT NULL").select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id", "url").alias("h")).orderBy("h", "html").limit(train_pages)
-    labeller = train([r["html"] for r in sample.collect()])
+    source = (pages if training is None else training).filter("html IS NOT NULL").select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id", "url").alias("h"))
+    # hashes are ranked alone, so that no task sends whole pages that aren't chosen
+    chosen = source.select(F.col("h").alias("_h")).distinct().orderBy("_h").limit(train_pages)
+    sample = source.join(F.broadcast(chosen), F.col("h") == F.col("_h")).groupBy("h").agg(F.max("html").alias("html"))
+    labeller = train([r["html"] for r in sample.orderBy("h").collect()])  # at most train_pages pages
     shared = pages.sparkSession.sparkContext.broadcast(labeller.p)
     token = uuid.uuid4().hex
 
@@ -368,4 +474,5 @@ def extract(pages: DataFrame, training: DataFrame | None = None, train_pages: in
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract() of all pages."""
     return extract(table(spark, sf_dir, "pages"))
