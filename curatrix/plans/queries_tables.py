@@ -317,9 +317,9 @@ def c3(spark, d):
     return read(spark, d, "benchmark").select("item_id", C.drop_markers(F.concat("text", F.lit("** answer : x\ny")), markers=False, hint=False).alias("t"))
 
 
-@query("C4_hint", "SELECT item_id, text || chr(10) || chr(10) || 'z' AS t FROM benchmark")
+@query("C4_hint", "SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN chr(10) ELSE chr(10) || 'no ' || CASE WHEN item_id % 3 = 0 THEN '' ELSE 'hint' END || ': z' END || chr(10) || 'end' AS t FROM benchmark")
 def c4(spark, d):
-    return read(spark, d, "benchmark").select("item_id", C.drop_markers(F.concat("text", F.lit("\n\nz")), markers=False, answer=False).alias("t"))
+    return read(spark, d, "benchmark").select("item_id", C.drop_markers(F.concat("text", F.when(F.col("item_id") % 2 == 0, F.when(F.col("item_id") % 3 == 0, "\n  **HINT** : look there").otherwise("\nHint: here, and there")).otherwise(F.concat(F.lit("\nno "), F.when(F.col("item_id") % 3 == 0, "").otherwise("hint"), F.lit(": z"))), F.lit("\nend")), markers=False, answer=False).alias("t"))
 
 
 @query("C5_markers", "SELECT item_id, ' ' || text || ' ' AS t FROM benchmark")
@@ -332,12 +332,12 @@ def c6(spark, d):
     return read(spark, d, "benchmark").select("item_id", C.trim_quotes(F.concat(F.lit(" “"), "text", F.lit("\"' ”\n"))).alias("t"))
 
 
-@query("C7_spaces")
+@query("C7_spaces", "SELECT item_id, '<image>' || chr(10) || ' junk **Question**: Sure! OK, great. ' || regexp_replace(text, '[ \\t][ \\t]+', ' ', 'g') || chr(10) || 'A. x y' || chr(10) || 'Hint: z' || chr(10) || 'Answer: w' AS t FROM benchmark")
 def c7(spark, d):
     return messy(spark, d).select("item_id", C.gentle_spaces(F.col("t")).alias("t"))
 
 
-@query("C8_chain")
+@query("C8_chain", "SELECT item_id, '<image>' || chr(10) || ' Sure! OK, great. ' || replace(regexp_replace(text, '[ \\t][ \\t]+', ' ', 'g'), '*', '') || chr(10) || 'A. x y' AS t FROM benchmark")
 def c8(spark, d):
     return messy(spark, d).select("item_id", C.clean(F.col("t")).alias("t"))
 
@@ -347,10 +347,10 @@ def c9(spark, d):
     return read(spark, d, "documents").select("doc_id", C.collapse_spaces(F.col("text")).alias("t"))
 
 
-@query("C10_labels")
+@query("C10_labels", "SELECT item_id, 'see image: ' || regexp_replace(trim(text, '“”\"'' ' || chr(9) || chr(10)), '\\s+', ' ', 'g') || 'caption: x' AS t FROM benchmark")
 def c10(spark, d):
-    c = C.label_cleaner(["image", "caption"])
-    return read(spark, d, "benchmark").select("item_id", c(F.concat(F.lit("IMAGE: Sure! "), "text", F.lit(" Caption: ok 'x'"))).alias("t"))
+    said = F.concat(F.lit("see IMAGE : Sure! "), "text", F.lit("\" Caption: ok 'x'"))
+    return read(spark, d, "benchmark").select("item_id", C.clean_labelled(said, ["image", "caption"], bounded=True).alias("t"))
 
 
 @query("C11_json")
@@ -363,7 +363,7 @@ def c11b(spark, d):
     return C.clean_conversations(V.nest(read(spark, d, "conversations"))).select("id", F.transform("conversations", lambda t: t["value"]).alias("said"))
 
 
-@query("C12_fill_in")
+@query("C12_fill_in", "SELECT item_id, '** ' || text AS t FROM benchmark")
 def c12(spark, d):
     return read(spark, d, "benchmark").select("item_id", C.drop_markers(F.concat(F.lit("**Fill in the blank:** "), "text"), fill=True).alias("t"))
 

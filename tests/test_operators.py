@@ -83,29 +83,44 @@ def test_empty_histogram(spark):
     assert [(r["bin"], r["n"]) for r in charts.histogram(spark.createDataFrame([], "n int"), "n").collect()] == [(0, 0)]
 
 
-def cleaned(t):
-    """The chain with Python's regular expressions and a loop for the stacked phrases."""
-    if t is None:
-        return None
-    t = re.sub(clean.IMAGE_TO_QUESTION, r"\1", t)
-    opening = re.compile(rf"(?i)^(?:{'|'.join(f'(?:{p})' for p in clean.PHRASES)}){clean.PHRASE_TAIL}")
-    before = None
-    while before != t:
-        before, t = t, opening.sub("", t).lstrip()
-    t = re.sub(clean.HINT, "", re.sub(clean.ANSWER, "", t))
-    t = re.sub(clean.OPTIONS, " ", re.sub(clean.QUESTION, " ", t)).strip().strip(clean.QUOTES)
-    t = re.sub(r"(<image>)\n", r"\1<<KEEP>>", t)
-    t = re.sub(r"\n{3,}", "\n\n", t)
-    t = re.sub(r"\n\n(?=(?:[A-Za-z]|[0-9]+)(?:[.)](?=\s|$)|(?=\s|$)))", "\n", t)
-    return re.sub(r"[ \t]{2,}", " ", t).replace("<<KEEP>>", "\n").replace("*", "")
+#: Texts and what the chain makes of them, written by hand.
+CHAIN = [
+    ("<image>\n junk **Question:** Sure! OK, great. What?\n\n\n\nA. x   y\nHint: z\nAnswer: w", "<image>\n  Sure! OK, great. What?\nA. x y"),
+    ("Greatest", "est"),
+    ("Sure! Here is your text: ok, “quoted” ", "quoted"),
+    ("Options: a\n\n1) b", "a\n1) b"),
+    ("", ""),
+    (None, None),
+    ("*bold* text", "bold text"),
+    ("of course, certainly! yes", "yes"),
+    ("one\n\ntwo\n\n\n\nthree", "one\n\ntwo\n\nthree"),
+    ("keep\nHint: gone\nAnswer: gone\ntoo", "keep"),
+]
+SPACES = [
+    ("<image>\n\n\n\nXx y", "<image>\n\n\nXx y"),
+    ("<image>\n\nA", "<image>\n\nA"),
+    ("<image>\n\n\nA", "<image>\n\nA"),
+    ("p\n\nA<image>\nq  r", "p\n\nA<image>\nq r"),
+    ("p\n\nA", "p\nA"),
+    ("p\n\n12) q", "p\n12) q"),
+    ("p\n\nAB q", "p\n\nAB q"),
+    ("p\n\n\n(A) q \t r", "p\n\n(A) q r"),
+    ("\n<image><image>\n", "\n<image><image>\n"),
+]
+LABELLED = [
+    ("IMAGE: Sure! a  b Caption : 'ok then'", "image: a bcaption: ok then"),
+    ("before image:x\n\ny", "before image: x y"),
+    ("no label", "no label"),
+    ("caption:", "caption: "),
+    ("my_image: x", "my_image: x"),
+    (None, None),
+]
 
 
 def test_clean_chain(spark):
-    raw = ["<image>\n junk **Question:** Sure! OK, great. What?\n\n\n\nA. x   y\nHint: z\nAnswer: w", "Greatest", "Sure! Here is your text: ok, “quoted” ", "Options: a\n\n1) b", "", None]
-    rng = random.Random(3)
-    bits = ["<image>", "\n", " ", "Sure!", "OK,", "great", "**Question**:", "Options:", "Hint: h", "Answer:", "A.", "word", '"', "*"]
-    raw += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(150)]
-    assert texts(spark, raw, clean.clean) == [cleaned(t) for t in raw]
+    assert texts(spark, [t for t, _ in CHAIN], clean.clean) == [w for _, w in CHAIN]
+    assert texts(spark, [t for t, _ in SPACES], clean.gentle_spaces) == [w for _, w in SPACES]
+    assert texts(spark, [t for t, _ in LABELLED], lambda t: clean.clean_labelled(t, ["image", "caption"])) == [w for _, w in LABELLED]
     assert texts(spark, ["Greatest"], lambda t: clean.strip_phrases(t, bounded=True)) == ["Greatest"]
 
 
