@@ -1,33 +1,27 @@
 import corpus_pipeline
 from curatrix.llm import minhash, packing, quality, rules
-from curatrix.llm.common import table
+from curatrix.llm.common import stage, table
 
 
-def test_stages(spark, sf):
-    docs = table(spark, sf, "documents")
+def test_stages_take_effect(spark, sf):
+    """Each stage keeps the rows that its operator keeps, whole; every input is a written table."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
     columns, before = docs.columns, docs.count()
-    for name, step in corpus_pipeline.STAGES[:-1]:
-        docs = step(spark, docs, sf)
-        assert docs.columns == columns, name
-        left = docs.count()
-        assert 0 < left <= before
-        before = left
+    operators = [lambda d: quality.classify(d, labels), lambda d: rules.quality_rules(d, labels), lambda d: minhash.near_documents(d)]
+    for (name, step), operator in zip(corpus_pipeline.STAGES, operators):
+        kept = stage(step(spark, docs, sf), name)
+        assert kept.columns == columns and ids(kept) == ids(operator(docs).filter("kept")), name
+        assert 0 < (left := kept.count()) < before, name
+        docs, before = kept, left
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.columns == packing.pack(docs).columns
+    assert sorted(r["doc_id"] for r in packed.select("doc_id").distinct().collect()) == ids(docs)
 
 
-def test_stages_take_effect(spark, sf):
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    kept = {r["doc_id"] for r in quality.classify(docs, labels).filter("kept").collect()}
-    one = corpus_pipeline.quality_classifier(spark, docs, sf)
-    assert {r["doc_id"] for r in one.collect()} == kept
-    passed = {r["doc_id"] for r in rules.quality_rules(one, labels).filter("kept").collect()}
-    two = corpus_pipeline.quality_rules(spark, one, sf)
-    assert {r["doc_id"] for r in two.collect()} == passed
-    first = {r["doc_id"] for r in minhash.near_documents(two).filter("kept").collect()}
-    three = corpus_pipeline.minhash_near_dedup(spark, two, sf)
-    assert {r["doc_id"] for r in three.collect()} == first
-    out = corpus_pipeline.run(spark, sf)
-    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == first
-    assert out.columns == packing.pack(three).columns
+def test_run(spark, sf):
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert out and len({(r["doc_id"], r["piece"]) for r in out}) == len(out)
 
 
 def test_run_equals_queries(spark):
