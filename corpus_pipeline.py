@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm import minhash, packing, quality, rules
-from curatrix.llm.common import stage, table
+from curatrix.llm.common import drop, stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, one after the other; each result is written before the next begins, and the one before it deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        drop(before)
     return docs
