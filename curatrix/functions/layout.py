@@ -150,3 +150,26 @@ def without_repeats(texts: pd.Series) -> pd.Series:
         return t
 
     return texts.map(one)
+
+
+def blank_lines(text: Column, share: int, seed: int) -> Column:
+    """A blank line after some lines: those whose number hashes, with the seed, to one of share in sixteen."""
+    most = "0123456789abcdef"[: max(0, min(16, share))]
+
+    def one(line: Column, i: Column) -> Column:
+        digit = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), i.cast("string"))), 1, 1)
+        return F.concat(line, F.when(F.lit(most).contains(digit), "\n").otherwise(""))
+
+    return F.array_join(F.transform(F.split(text, "\n", -1), one), "\n")
+
+
+def wide_gaps(text: Column, share: int, seed: int, gap: str = "   ") -> Column:
+    """Some single spaces become a gap, chosen as blank_lines() chooses."""
+    most = "0123456789abcdef"[: max(0, min(16, share))]
+    words = F.split(text, " ", -1)
+
+    def one(word: Column, i: Column) -> Column:
+        digit = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), i.cast("string"))), 1, 1)
+        return F.concat(word, F.when(i == F.size(words) - 1, "").when(F.lit(most).contains(digit), gap).otherwise(" "))
+
+    return F.array_join(F.transform(words, one), "")

@@ -71,9 +71,13 @@ def json_or_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def jsonl_or_raw(spark: SparkSession, path: str, change) -> DataFrame:
-    """Lines with a change on their JSON text; lines that are no JSON pass as they are."""
+    """Lines with a change on their JSON text; lines that are no JSON object or list pass as they are.
+
+    The parser takes a value and overlooks what follows it, so a line must also
+    end as it begins.
+    """
     raw = spark.read.text(path)
-    is_json = F.try_parse_json("value").isNotNull()
+    is_json = F.col("value").rlike(r"^\s*(?:\{.*\}|\[.*\])\s*$") & F.try_parse_json("value").isNotNull()
     return raw.withColumn("value", F.when(is_json, F.coalesce(change(F.col("value")), F.col("value"))).otherwise(F.col("value")))
 
 
@@ -146,11 +150,11 @@ def corpus_paragraphs(spark: SparkSession, path: str, least: int = 15, most: int
     """Paragraphs of so many words of whole text files."""
     from ..functions.layout import paragraphs
 
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     return t.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(paragraphs(F.col("value"), least, most)).alias("pos", "paragraph"))
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """Distinct addresses of a sitemap file, in order."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     return t.select(F.posexplode(F.array_distinct(F.transform(F.regexp_extract_all("value", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1), lambda u: F.trim(u)))).alias("pos", "url"))

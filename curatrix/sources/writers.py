@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 
 def to_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -50,3 +54,29 @@ def attribution(df: DataFrame, name: str, link: str, date: str) -> DataFrame:
 def per_file(df: DataFrame, path: str, column: str = "source_file", mode: str = "errorifexists") -> None:
     """Writes each source file's rows into a folder of its own."""
     df.write.mode(mode).partitionBy(column).option("header", True).csv(path)
+
+
+def commit_if(df: DataFrame, path: str, valid: Callable[[DataFrame], bool]) -> bool:
+    """Writes beside the path, holds what was written against valid, and only then moves it there; what isn't valid is deleted."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.writing"
+    scratch.remove(spark, beside)
+    df.write.parquet(beside)
+    if valid(spark.read.schema(df.schema).parquet(beside)):
+        scratch.rename(spark, beside, path)
+        return True
+    scratch.remove(spark, beside)
+    return False
+
+
+def in_batches(df: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, batches: int) -> None:
+    """Does the work in so many batches by the key's hash, each appended to the manifest when done; a run that was stopped goes on where it was."""
+    spark = df.sparkSession
+    for k in range(batches):
+        part = df.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
+        done = work(part).limit(0)
+        try:
+            done = spark.read.schema(done.schema).json(path)
+        except Exception as e:  # nothing is written yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        append_manifest(work(still_to_do(part, done, key)), path)
