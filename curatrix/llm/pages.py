@@ -37,12 +37,12 @@ _ATTRIBUTE_NAME = re.compile(r"[^\s/>][^\s/>=]*")
 _ATTRIBUTE_EQUALS = re.compile(r"\s*=\s*")
 _UNQUOTED = re.compile(r"[^\s>]*")
 _BETWEEN = re.compile(r"[\s/]*")
+_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I | re.A) for t in RAW_TAGS}
 _COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)=(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 #: Of deeper nesting, end tags look at so many innermost elements, and paths name so many.
 DEEP, NAMED = 256, 100
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class Scanner:
@@ -57,7 +57,6 @@ class Scanner:
     def __init__(self, html: str):
         self.html, self.last = html, html.rfind(">")
         self.last_quote = {q: html.rfind(q) for q in "\"'"}
-        self.lower: str | None = None
         self.endless: set[str] = set()
         self.plain = False
 
@@ -135,14 +134,10 @@ class Scanner:
         """Where the content of a raw element ends: after its end tag."""
         if tag in self.endless:
             return at
-        if self.lower is None:
-            self.lower = self.html.translate(_LOWER)
-        end = at
-        while (end := self.lower.find("</" + tag, end)) >= 0:
-            end += len(tag) + 2
-            if self.html[end : end + 1] in (">", "/", " ", "\t", "\n", "\f", "\r"):
-                close = self.html.find(">", end)
-                return close + 1 if close >= 0 else len(self.html)
+        found = _RAW_END[tag].search(self.html, at)
+        if found:
+            close = self.html.find(">", found.end() - 1)
+            return close + 1 if close >= 0 else len(self.html)
         if tag in ENDLESS:
             return len(self.html)
         self.endless.add(tag)
