@@ -265,4 +265,5 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) ->
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents."""
     return pack(table(spark, sf_dir, "documents"))

@@ -16,4 +16,24 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: From nodes (id) and links (a, b), both ways round: the smallest id that each reaches.
+_REACHED = "reached(id, c) AS (SELECT id, id FROM nodes UNION SELECT b, c FROM reached JOIN links ON id = a), components AS (SELECT id, min(c) AS c FROM reached GROUP BY 1)"
+#: Every pair is compared, so these are for small tables.
+SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+        nodes AS (SELECT id, len(s) AS n FROM sets),
+        flat AS (SELECT id, unnest(s) AS s FROM sets),
+        common AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM flat x JOIN flat y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN nodes p ON p.id = a JOIN nodes q ON q.id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        {_REACHED}
+        SELECT nodes.id AS doc_id, n AS n_shingles, c AS component_id, nodes.id = c AS kept FROM nodes JOIN components USING (id)""",
+    "op10_embedding_near_dedup": f"""
+        WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+        whole AS (SELECT * FROM nodes WHERE v IS NOT NULL AND label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        links AS (SELECT x.id AS a, y.id AS b FROM whole x JOIN whole y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+        {_REACHED}
+        SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_links, c AS component_id, nodes.id = c AS kept FROM nodes JOIN components USING (id)""",
+}

@@ -94,4 +94,5 @@ def shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFram
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards() of all documents by their id."""
     return shards(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "depth", "prefix", "chain", "shard")

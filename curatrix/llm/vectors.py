@@ -261,4 +261,5 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, **hashing: int)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_vectors() over all embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
