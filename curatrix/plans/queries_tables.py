@@ -117,11 +117,12 @@ def j12(spark, d):
     return N.nearest_within(h.select(F.col("vec_id").alias("qid"), "w"), h.select(F.col("vec_id").alias("bid"), "w"), ["w"], 6, 8)
 
 
-@query("J13_nearest_bucket", f"WITH h AS {BITS.format(id='vid', n=60)}, q AS (SELECT vid AS qid, label AS x, w FROM h), b AS (SELECT vid AS bid, label AS x, w FROM h WHERE label % 2 = 0), j AS (SELECT qid, bid, bit_count(xor(q.w, b.w)) AS dist FROM q JOIN b ON (q.x % 2 = 0 AND q.x = b.x) OR (q.x % 2 = 1 AND abs(q.x - b.x) = 1)) SELECT q.qid, arg_min(bid, (dist, bid)) AS bid, round(1 - min(dist) / 60.0, 6) AS similarity FROM q LEFT JOIN j USING (qid) GROUP BY 1")
+@query("J13_nearest_bucket", f"WITH h AS {BITS.format(id='vid', n=60)}, q AS (SELECT vid AS qid, label AS x, w FROM h), b AS (SELECT vid AS bid, label AS x, w FROM h), j AS (SELECT qid, bid, bit_count(xor(q.w, b.w)) AS dist FROM q JOIN b ON b.x = q.x + 1 OR (q.x + 1 NOT IN (SELECT x FROM b) AND abs(b.x - q.x - 1) = 1)) SELECT q.qid, arg_min(bid, (dist, bid)) AS bid, round(1 - min(dist) / 60.0, 6) AS similarity FROM q LEFT JOIN j USING (qid) GROUP BY 1")
 def j13(spark, d):
     h = hashes(spark, d, 60)
-    q = h.select(F.col("vec_id").alias("qid"), F.col("label").alias("bx"), F.lit(3).alias("by"), "w")
-    b = h.filter("label % 2 = 0").select(F.col("vec_id").alias("bid"), F.col("label").alias("bx"), F.lit(3).alias("by"), "w")
+    # each vector looks in the bucket after its own; after the last there is none, so those look around it
+    q = h.select(F.col("vec_id").alias("qid"), (F.col("label") + 1).alias("bx"), F.lit(3).alias("by"), "w")
+    b = h.select(F.col("vec_id").alias("bid"), F.col("label").alias("bx"), F.lit(3).alias("by"), "w")
     return N.nearest_in_bucket(q, b, ["w"], 60).withColumn("similarity", F.round("similarity", 6))
 
 
