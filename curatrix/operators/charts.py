@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sampling import running_total
+
 
 def label_or_nan(column: Column | str) -> Column:
     """A label as text; a missing one is the group 'nan', as in a frame read from CSV."""
@@ -92,12 +94,31 @@ def series_slice(df: DataFrame, key: str, order: str, first: int, columns: list[
 
 
 def clip_and_scale(df: DataFrame, key: str, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values clipped to two percentiles of their group and scaled to 0..1; a flat group gets its rank over its size."""
-    by = df.groupBy(key).agg(F.percentile(F.col(value), F.array(F.lit(low), F.lit(high))).alias("_q"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    lo, hi = F.col("_q")[0], F.col("_q")[1]
-    clipped = F.greatest(lo, F.least(hi, F.col(value)))
-    rank = (F.row_number().over(W.partitionBy(key).orderBy(value)) - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
-    return df.join(by, key).withColumn("scaled", F.when(hi > lo, (clipped - lo) / (hi - lo)).otherwise(rank)).drop("_q", "_lo", "_hi", "_n")
+    """Values clipped to two percentiles of their group and scaled to 0..1; in a flat group the share of its values below, ties alike.
+
+    A missing value stays one. Equal values are counted first, and their counts
+    added up in ranges, so no task holds or sorts a group; percentiles lie
+    between the two values around their place, in proportion.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_total(counts, ["_k", "_x"], F.col("_c"), "_upto")
+    whole = upto.groupBy(F.col("_k").alias("_g")).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
+    places = upto.join(whole, F.col("_k").eqNullSafe(F.col("_g"))).withColumn("_below", F.col("_upto") - F.col("_c") - F.col("_base"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_c")), F.col("_x")))
+
+    bounds = []
+    for name, p in (("_lo", low), ("_hi", high)):
+        exact = (F.col("_n") - 1) * F.lit(p)
+        bounds += [at(F.floor(exact)).alias(name), at(F.ceil(exact)).alias(name + "2"), F.max(exact - F.floor(exact)).alias(name + "f")]
+    by = places.groupBy("_g", "_n").agg(*bounds).select("_g", "_n", *[(F.col(b) + (F.col(b + "2") - F.col(b)) * F.col(b + "f")).alias(b) for b in ("_lo", "_hi")])
+    flat = by.filter("_hi <= _lo").select(F.col("_g").alias("_f"))
+    below = places.join(flat, F.col("_k").eqNullSafe(F.col("_f")), "left_semi").select(F.col("_k").alias("_bk"), "_x", "_below")
+    out = df.join(by, F.col(key).eqNullSafe(F.col("_g")), "left").join(below, F.col(key).eqNullSafe(F.col("_bk")) & (F.col(value).cast("double") == F.col("_x")), "left")
+    clipped = F.greatest("_lo", F.least("_hi", F.col(value)))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("_below") / F.greatest(F.col("_n") - 1, F.lit(1)))
+    return out.withColumn("scaled", F.when(F.col(value).isNotNull(), scaled)).drop("_g", "_n", "_lo", "_hi", "_bk", "_x", "_below")
 
 
 def flatness(df: DataFrame, key: str, value: str, limit: float = 0.03) -> DataFrame:

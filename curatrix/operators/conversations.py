@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import answer_key
+from .reconcile import with_each
 
 HUMAN, MODEL = "human", "gpt"
 
@@ -91,7 +92,7 @@ def answer_shares_grid(df: DataFrame, group: str, file: str, value: Column) -> D
     """answer_shares for every pair of a group and a file, zeros where there are no answers."""
     shares = answer_shares(df, [group, file], value)
     files = df.select(file).distinct()
-    grid = df.select(group).distinct().join(F.broadcast(files))
+    grid = with_each(df.select(group).distinct(), files)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("yes_prop", "no_prop", "other_prop", "total")]
     return grid.join(shares, [group, file], "left").select(group, file, *zero)
 

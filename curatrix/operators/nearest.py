@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,38 +22,51 @@ def sign_bits(vector: Column, size: int) -> Column:
     return F.aggregate(F.slice(vector, 1, size), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0))
 
 
-def nearest_within(queries: DataFrame, base: DataFrame, words: list[str], most: int, bands: int) -> DataFrame:
+def nearest_within(queries: DataFrame, base: DataFrame, words: list[str], most: int, bands: int, width: int = 64) -> DataFrame:
     """For each query (qid) the nearest base row (bid, smallest id on ties) at most `most` bits away.
 
-    Words are cut into more than `most` bands: two hashes that differ in at most
-    `most` bits agree in at least one, so the bands are exact join keys and no
-    pair without a shared band is made. Words hold 64 bits at most.
+    The low `width` bits of each word are cut into more than `most` bands: two
+    hashes that differ in at most `most` bits agree in all but `most` of them, so
+    every choice of bands - most bands is an exact join key, and no pair without
+    a shared key is made. More bands make longer and more keys. Rows with the
+    same hash are compared once. Rows without a hash are near nothing.
     """
     if bands <= most:
         raise ValueError("needs more bands than bits that may differ")
-    per = -(-64 * len(words) // bands)
+    total = width * len(words)
+    cuts = [total * k // bands for k in range(bands + 1)]
 
     def keyed(df: DataFrame, prefix: str) -> DataFrame:
-        bits = F.concat(*[F.lpad(F.bin(F.col(w)), 64, "0") for w in words])
-        keys = F.array(*[F.concat(F.lit(f"{k}:"), F.substring(bits, k * per + 1, per)) for k in range(bands)])
-        return df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.explode(keys).alias("_band"))
+        bits = F.concat(*[F.right(F.lpad(F.bin(F.col(prefix + w)), 64, "0"), F.lit(width)) for w in words])
+        band = [F.substring(bits, cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(bands)]
+        keys = [F.concat(F.lit(f"{n}:"), *[band[k] for k in chosen]) for n, chosen in enumerate(combinations(range(bands), bands - most))]
+        return df.withColumn("_band", F.explode(F.array(*keys)))
 
-    q, b = keyed(queries, "q_"), keyed(base, "b_")
+    q = queries.select(*[F.col(w).alias("q_" + w) for w in words]).dropna().distinct()
+    b = base.groupBy(*[F.col(w).alias("b_" + w) for w in words]).agg(F.min("bid").alias("b_bid")).dropna()
     d = distance([F.col("q_" + w) for w in words], [F.col("b_" + w) for w in words])
-    near = q.join(b, "_band").withColumn("d", d).filter(F.col("d") <= most)
-    best = near.groupBy("q_qid").agg(F.min(F.struct("d", "b_bid")).alias("m"))
-    return queries.select("qid").join(best, F.col("qid") == F.col("q_qid"), "left").select("qid", F.col("m.b_bid").alias("bid"), F.col("m.d").alias("distance"))
+    near = keyed(q, "q_").join(keyed(b, "b_"), "_band").withColumn("d", d).filter(F.col("d") <= most)
+    best = near.groupBy(*["q_" + w for w in words]).agg(F.min(F.struct("d", "b_bid")).alias("m"))
+    same = [F.col(w) == F.col("q_" + w) for w in words]
+    return queries.select("qid", *words).join(best, same, "left").select("qid", F.col("m.b_bid").alias("bid"), F.col("m.d").alias("distance"))
 
 
 def nearest_in_bucket(queries: DataFrame, base: DataFrame, words: list[str], bits: int) -> DataFrame:
-    """The nearest base row of the query's bucket (bx, by); of the eight buckets around it only where its own is empty; nulls if those are too."""
+    """The nearest base row (smallest id on ties) of the query's bucket (bx, by); of the eight buckets around it only where its own is empty; nulls if those are too.
+
+    Within a bucket every hash of the queries meets every hash of the base, each
+    once however many rows have it.
+    """
+    at = ["bx", "by", *words]
+    distinct = base.groupBy(*at).agg(F.min("bid").alias("bid"))
     own = base.select("bx", "by").distinct().withColumn("_own", F.lit(True))
-    q = queries.join(own, ["bx", "by"], "left")
+    q = queries.select(*at).dropna().distinct().join(own, ["bx", "by"], "left")
     around = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
     here = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")))
     spread = q.withColumn("_o", F.explode(F.when(F.col("_own"), here).otherwise(around)))
-    spread = spread.select("qid", *[F.col(w).alias("q_" + w) for w in words], (F.col("bx") + F.col("_o.dx")).alias("jx"), (F.col("by") + F.col("_o.dy")).alias("jy"))
+    spread = spread.select(*[F.col(c).alias("q_" + c) for c in at], (F.col("bx") + F.col("_o.dx")).alias("jx"), (F.col("by") + F.col("_o.dy")).alias("jy"))
     d = distance([F.col("q_" + w) for w in words], [F.col(w) for w in words])
-    best = spread.join(base, (F.col("jx") == F.col("bx")) & (F.col("jy") == F.col("by"))).withColumn("d", d).groupBy("qid").agg(F.min(F.struct("d", "bid")).alias("m"))
-    out = queries.select("qid").join(best, "qid", "left")
+    met = spread.join(distinct, (F.col("jx") == F.col("bx")) & (F.col("jy") == F.col("by"))).withColumn("d", d).filter("d IS NOT NULL")
+    best = met.groupBy(*["q_" + c for c in at]).agg(F.min(F.struct("d", "bid")).alias("m"))
+    out = queries.select("qid", *at).join(best, [F.col(c) == F.col("q_" + c) for c in at], "left")
     return out.select("qid", F.col("m.bid").alias("bid"), similarity(F.col("m.d"), bits).alias("similarity"))

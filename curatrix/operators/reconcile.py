@@ -86,6 +86,20 @@ def without_prior(df: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return df.join(prior.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def with_each(df: DataFrame, values: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row of df with every row of values (one column, distinct).
+
+    values is broadcast only up to `most` rows, counted first; more are dealt into
+    blocks that hold about so many, and each row of df meets one block a join key.
+    """
+    n = values.count()
+    if n <= most:
+        return df.join(F.broadcast(values))
+    blocks = -(-n // most)
+    dealt = values.withColumn("_block", F.pmod(F.xxhash64(*values.columns), F.lit(blocks)).cast("int"))
+    return df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+
+
 def aligned(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Each question (ann, pos) with each model's answer, the turn 2 * pos + 1 of the same annotation; empty where there is none.
 
@@ -93,7 +107,7 @@ def aligned(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """
     a = answers.select("model", F.col("ann").alias("_a"), F.col("turn").alias("_t"), "value")
     models = answers.select("model").distinct()
-    grid = questions.join(F.broadcast(models))
+    grid = with_each(questions, models)
     hit = (grid["ann"] == a["_a"]) & ((2 * grid["pos"] + 1) == a["_t"]) & (grid["model"] == a["model"])
     return grid.join(a, hit, "left").select(grid["ann"], grid["pos"], grid["model"], "question", F.coalesce("value", F.lit("")).alias("answer"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. One aggregate that combines before the shuffle, so a hot key is no hot task."""
@@ -20,15 +22,52 @@ def seeded(columns: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed))).cast("binary"))
 
 
-def global_rank(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """Adds rank, from 1, over the whole frame: ranges are ranked apart and shifted by the sizes before them, so no task sorts everything."""
+def running_total(df: DataFrame, order: list[str], amount: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Adds the sum of amount (a whole number) over all rows up to and with each one, so that no task sorts everything.
+
+    Ranges of the order are summed apart and shifted by the sums before them. The
+    ranges are written first: their bounds come from a sample that each plan over
+    them would draw anew, and sums of other ranges would shift rows wrongly.
+    """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return local.join(F.broadcast(before), "_part").withColumn("rank", F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+    ranged = staged(df.withColumn("_amount", amount.cast("long")).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = ranged.groupBy("_part").agg(F.sum("_amount").alias("_sum"))  # a row a partition
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    local = ranged.withColumn("_local", F.sum("_amount").over(upto))
+    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before", "_amount")
+
+
+def global_rank(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Adds rank, from 1, over the whole frame."""
+    return running_total(df, order, F.lit(1), "rank", parts)
+
+
+def place_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place, from 1, in each group (rows without a group are one) and _size, the group's rows; a large group is ranked by many tasks."""
+    ranked = global_rank(df, [group, *[c for c in order if c != group]])
+    own = ranked.groupBy(F.col(group).alias("_g")).agg(F.min("rank").alias("_base"), F.count(F.lit(1)).alias("_size"))
+    return ranked.join(own, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("rank") - F.col("_base") + 1).drop("rank", "_base", "_g")
+
+
+def full_level(sizes: DataFrame, target: int) -> tuple[int, int]:
+    """The highest place that all groups (a row each with _size) can fill within target rows, and the rows then left.
+
+    Each round is one aggregate that tries 64 levels between the bounds known.
+    """
+    low, high = 0, target + 1  # low fits, high doesn't or is beyond need
+    used = 0
+    while high - low > 1:
+        tries = sorted({low + max(1, (high - low) * k // 65) for k in range(1, 65)} - {high})
+        sums = sizes.agg(*[F.sum(F.least("_size", F.lit(t))).alias(f"l{t}") for t in tries]).first()
+        fit = [t for t in tries if (sums[f"l{t}"] or 0) <= target]
+        beyond = [t for t in tries if (sums[f"l{t}"] or 0) > target]
+        if fit:
+            low, used = fit[-1], sums[f"l{fit[-1]}"] or 0
+        if beyond:
+            high = beyond[0]
+    return low, target - used
 
 
 def equitable(df: DataFrame, group: str, order: list[str], group_order: str, target: int) -> DataFrame:
@@ -36,15 +75,17 @@ def equitable(df: DataFrame, group: str, order: list[str], group_order: str, tar
 
     The round-robin rule (an equal base for each group, then one more in turn
     where a group has spare rows) takes the first `target` rows by place in the
-    group and then by the group's first appearance. Rows whose place in their
-    group is beyond the target can't be among them and never reach the ranking.
+    group and then by the group's first appearance: all rows up to the level that
+    fits, and of the next place those of the first groups. Neither a group nor
+    the target is one task's work.
     """
-    placed = df.withColumn("_place", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    firsts = df.groupBy(group).agg(F.min(group_order).alias("_first"))
-    placed = placed.join(firsts, group)
-    top = placed.filter(F.col("_place") <= target).orderBy("_place", "_first", group).limit(target).select(group, *order, F.lit(True).alias("_in"))
-    keys = [group, *order]
-    return placed.join(top, keys, "left").withColumn("selected", F.coalesce("_in", F.lit(False))).drop("_place", "_first", "_in")
+    placed = place_within(df, group, order, "_place")
+    groups = staged(placed.groupBy(F.col(group).alias("_g")).agg(F.min(group_order).alias("_first"), F.first("_size").alias("_size")), "groups")
+    level, left = full_level(groups.select("_size"), target)
+    spare = global_rank(groups.filter(F.col("_size") > level).select("_g", "_first"), ["_first", "_g"]).select(F.col("_g").alias("_s"), F.col("rank").alias("_turn"))
+    out = placed.join(spare, F.col(group).eqNullSafe(F.col("_s")), "left")
+    taken = (F.col("_place") <= level) | ((F.col("_place") == level + 1) & (F.col("_turn") <= left))
+    return out.withColumn("selected", F.coalesce(taken, F.lit(False))).drop("_place", "_size", "_s", "_turn")
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
@@ -54,7 +95,7 @@ def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFr
 
 def shuffled_within(df: DataFrame, group: str, key: list[str], seed: int = 0) -> DataFrame:
     """Adds place, from 1, in a repeatable random order within each group."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(seeded([group, *key], seed), *key)))
+    return place_within(df.withColumn("_h", seeded([group, *key], seed)), group, ["_h", *key], "place").drop("_h", "_size")
 
 
 def schedule_counts(n: int, weights: dict[str, float]) -> dict[str, int]:

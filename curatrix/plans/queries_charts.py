@@ -188,12 +188,11 @@ def x4(spark, d):
 
 @query("W7_chunks", "WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, (i // greatest(1, n // 10))::BIGINT AS chunk, count(*) AS n FROM r GROUP BY 1, 2")
 def w7(spark, d):
-    from pyspark.sql import Window as W
+    from ..operators.sampling import place_within
 
-    ev = read(spark, d, "events")
-    by = W.partitionBy("event_type")
-    idx = ev.withColumn("i", F.row_number().over(by.orderBy("event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    return idx.groupBy("event_type", F.floor(F.col("i") / F.greatest(F.lit(1), F.floor(F.col("n") / 10))).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    idx = place_within(read(spark, d, "events").select("event_type", "event_id"), "event_type", ["event_id"], "place")
+    chunk = F.floor((F.col("place") - 1) / F.greatest(F.lit(1), F.floor(F.col("_size") / 10)))
+    return idx.groupBy("event_type", chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("W8_trailing_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window FROM events")

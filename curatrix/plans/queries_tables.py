@@ -114,7 +114,7 @@ def hashes(spark, d, size):
 @query("J12_nearest_within", f"WITH p AS (SELECT qid, bid, bit_count(xor(q.w, b.w)) AS dist FROM {BITS.format(id='qid', n=60)} q JOIN {BITS.format(id='bid', n=60)} b ON bit_count(xor(q.w, b.w)) <= 6) SELECT e.vec_id AS qid, arg_min(bid, (dist, bid)) AS bid, min(dist) AS distance FROM embeddings e LEFT JOIN p ON e.vec_id = p.qid GROUP BY 1")
 def j12(spark, d):
     h = hashes(spark, d, 60)
-    return N.nearest_within(h.select(F.col("vec_id").alias("qid"), "w"), h.select(F.col("vec_id").alias("bid"), "w"), ["w"], 6, 8)
+    return N.nearest_within(h.select(F.col("vec_id").alias("qid"), "w"), h.select(F.col("vec_id").alias("bid"), "w"), ["w"], 6, 8, 60)
 
 
 @query("J13_nearest_bucket", f"WITH h AS {BITS.format(id='vid', n=60)}, q AS (SELECT vid AS qid, label AS x, w FROM h), b AS (SELECT vid AS bid, label AS x, w FROM h), j AS (SELECT qid, bid, bit_count(xor(q.w, b.w)) AS dist FROM q JOIN b ON b.x = q.x + 1 OR (q.x + 1 NOT IN (SELECT x FROM b) AND abs(b.x - q.x - 1) = 1)) SELECT q.qid, arg_min(bid, (dist, bid)) AS bid, round(1 - min(dist) / 60.0, 6) AS similarity FROM q LEFT JOIN j USING (qid) GROUP BY 1")

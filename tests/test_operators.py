@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,70 @@ def test_rolling_stream_equals_loop(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["key"], r["ts"], r["held"], r["text"]) for r in spark.table("rolled").collect())
     assert got == [("j", 5, 1, "x"), ("k", 0, 1, "a"), ("k", 30, 3, "b c late"), ("k", 60, 2, "a b"), ("k", 61, 2, "b c"), ("k", 95, 0, ""), ("k", 96, 1, "d")]
+
+
+def test_ranks_of_wide_rows(spark):
+    """Rows wider than their order, more than a sample of the ranges holds: every rank once, and in order."""
+    df = spark.range(0, 200_000, numPartitions=20).withColumn("pad", F.sha2(F.col("id").cast("string"), 256)).withColumn("h", F.xxhash64("id"))
+    got = sampling.global_rank(df, ["h"], 8).select("h", "rank", F.length("pad").alias("n")).collect()
+    got.sort(key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(1, 200_001)) and all(a["h"] < b["h"] for a, b in zip(got, got[1:]))
+
+
+def test_places_within_groups(spark):
+    rows = [("a", 3), ("a", 1), (None, 5), ("b", 2), (None, 4), ("a", 2)]
+    got = sampling.place_within(spark.createDataFrame(rows, "g string, i int"), "g", ["i"], "p").collect()
+    assert {(r["g"], r["i"], r["p"], r["_size"]) for r in got} == {("a", 1, 1, 3), ("a", 2, 2, 3), ("a", 3, 3, 3), ("b", 2, 1, 1), (None, 4, 1, 2), (None, 5, 2, 2)}
+
+
+def test_full_level(spark):
+    rng = random.Random(5)
+    for sizes in ([], [3], [1, 1, 9], [rng.randrange(1, 3000) for _ in range(30)]):
+        df = spark.createDataFrame([(n,) for n in sizes], "_size long")
+        for target in (0, 1, 7, 20_000):
+            level = max((t for t in range(target + 1) if sum(min(n, t) for n in sizes) <= target), default=0)
+            assert sampling.full_level(df, target) == (level, target - sum(min(n, level) for n in sizes))
+
+
+def test_clip_and_scale(spark):
+    """Percentiles against numpy's, with repeated and missing values; in a flat group the share of values below."""
+    rng = random.Random(3)
+    varied = [float(rng.randrange(40)) for _ in range(500)]
+    flat = [0.0] + [5.0] * 300 + [9.0]
+    rows = [("v", x) for x in varied] + [("f", x) for x in flat] + [("v", None), ("n", None)]
+    got = charts.clip_and_scale(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()
+    assert len(got) == len(rows)
+    lo, hi = np.quantile(varied, 0.01), np.quantile(varied, 0.99)
+    for r in got:
+        if r["x"] is None:
+            assert r["scaled"] is None
+        elif r["g"] == "v":
+            assert abs(r["scaled"] - (min(max(r["x"], lo), hi) - lo) / (hi - lo)) < 1e-12
+        else:
+            assert abs(r["scaled"] - {0.0: 0, 5.0: 1, 9.0: 301}[r["x"]] / 301) < 1e-12
+
+
+def test_nearest_against_all_pairs(spark):
+    """Two words, repeated and missing hashes, near ones within and beyond the bound."""
+    rng = random.Random(8)
+    seeds = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(6)]
+    base = [(i, *s) for i, s in enumerate(seeds + seeds[:2])] + [(99, None, 1)]
+
+    def flipped(s, n):
+        bits = rng.sample(range(126), n)
+        return s[0] ^ sum(1 << b for b in bits if b < 63), s[1] ^ sum(1 << (b - 63) for b in bits if b >= 63)
+
+    queries = [(100 + k, *flipped(seeds[k % 6], k % 9)) for k in range(40)] + [(999, 1, None)]
+    got = nearest.nearest_within(spark.createDataFrame(queries, "qid int, a long, b long"), spark.createDataFrame(base, "bid int, a long, b long"), ["a", "b"], 5, 7, 63).collect()
+    want = {}
+    for q, a, b in queries:
+        near = [((a ^ x).bit_count() + (b ^ y).bit_count(), i) for i, x, y in base if None not in (a, b, x, y)]
+        near = min((p for p in near if p[0] <= 5), default=(None, None))
+        want[q] = (near[1], near[0])
+    assert {r["qid"]: (r["bid"], r["distance"]) for r in got} == want
+
+
+def test_with_each_in_blocks(spark):
+    left, values = spark.createDataFrame([(i,) for i in range(7)], "i int"), spark.createDataFrame([(i,) for i in range(25)], "v int")
+    for most in (4, 100):
+        assert sorted(tuple(r) for r in reconcile.with_each(left, values, most).collect()) == [(i, v) for i in range(7) for v in range(25)]
