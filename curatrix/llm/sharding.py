@@ -59,6 +59,28 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     return stage(done.select("depth", F.col("p").alias("prefix"), "bytes", "n"), "directory")
 
 
+def chained(over: DataFrame, limit: int) -> DataFrame:
+    """Adds chain to the rows of buckets that are too large and can't split.
+
+    Each part of the input adds up its own rows, shifted by the sums of the parts
+    before it, so one key is no single task's work and its shards are filled from
+    part to part. The parts are written first: their numbers then stay, whatever
+    executor is lost. Rows larger than half a shard are links of their own.
+    """
+    half = max(1, limit // 2)
+    over = stage(over.withColumn("part", F.spark_partition_id()), "over")
+    small = F.when(F.col("size") <= half, F.col("size")).otherwise(0)
+    sums = over.groupBy("depth", "prefix", "part").agg(F.sum(small).alias("own"))  # a row a part of such a bucket
+    earlier = W.partitionBy("depth", "prefix").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0))).drop("own")
+    order = W.partitionBy("depth", "prefix", "part").orderBy("size", "doc_id")
+    upto = F.sum(small).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = over.withColumn("upto", upto).withColumn("nth", F.row_number().over(order)).join(before, ["depth", "prefix", "part"])
+    link = F.floor(F.greatest(F.lit(0), F.col("before") + F.col("upto") - 1) / half).cast("string")
+    alone = F.concat(F.lit("r"), F.col("part").cast("string"), F.lit("-"), F.col("nth").cast("string"))
+    return rows.withColumn("chain", F.when(F.col("size") > half, alone).otherwise(link)).drop("part", "upto", "nth", "before")
+
+
 def shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, depth, prefix, chain, shard.
 
@@ -71,7 +93,7 @@ def shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"), key_hash(F.col(key)).alias("h"))
     rows = stage(rows, "sizes")
     tree = directory(rows.select("h", "size"), limit)
-    deepest = [r["depth"] for r in tree.select("depth").distinct().collect()]  # at most 61 numbers
+    deepest = {r["depth"]: r["most"] for r in tree.groupBy("depth").agg(F.max("bytes").alias("most")).collect()}  # at most 61 numbers
     parts = []
     for d in sorted(deepest):
         own = tree.filter(F.col("depth") == d).select("depth", "prefix", "bytes")
@@ -83,14 +105,10 @@ def shards(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFram
     for p in parts[1:]:
         placed = placed.unionByName(p)
     fits = placed.filter(F.col("bytes") <= limit).withColumn("chain", F.lit("0"))
-    # A key too large for a shard: each part of the input chains its own rows, so one key is no single task's work.
-    over = placed.filter(F.col("bytes") > limit).withColumn("part", F.spark_partition_id())
-    order = W.partitionBy("depth", "prefix", "part").orderBy("size", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    half = F.greatest(F.lit(1), F.lit(limit // 2))
-    link = F.when(F.col("size") > half, F.concat(F.lit("r"), F.row_number().over(W.partitionBy("depth", "prefix", "part").orderBy("size", "doc_id")).cast("string"))).otherwise(F.floor((F.sum("size").over(order) - 1) / half).cast("string"))
-    over = over.withColumn("chain", F.concat(F.col("part").cast("string"), F.lit("-"), link)).drop("part")
+    if any(most > limit for most in deepest.values()):
+        fits = fits.unionByName(chained(placed.filter(F.col("bytes") > limit), limit))
     name = F.when(F.col("depth") > 0, F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).otherwise(F.lit(""))
-    return fits.unionByName(over).select("doc_id", F.col("size").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "prefix", "chain", F.concat(name, F.lit("."), F.col("chain")).alias("shard"))
+    return fits.select("doc_id", F.col("size").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "prefix", "chain", F.concat(name, F.lit("."), F.col("chain")).alias("shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
