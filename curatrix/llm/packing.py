@@ -18,6 +18,8 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 1_500_000
 #: Bytes of text that are encoded at once; a longer text comes alone.
 AT_ONCE = 1 << 20
+#: Pieces of one length that are ranked in one window.
+PART = 1 << 16
 _workers: dict[str, "WordEncoder"] = {}
 
 
@@ -233,20 +235,26 @@ def intervals(kinds: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """Packs every document: the pieces of tokenize_pieces with sequence_id and offset.
 
-    Only the number of pieces of each length (at most `sequence` numbers) comes to
-    the driver, which solves the bins. A piece's rank among those of its length is
-    counted in 64 salted parts, so a common length is no single task's work.
+    The number of pieces of each length (at most `sequence` numbers) comes to the
+    driver, which solves the bins. A piece's rank among those of its length is
+    counted in parts of about PART rows, so a common length is no single task's
+    work; parts follow a row's place in the written table, so that repeated rows
+    are spread as well. The parts' sizes are the only other rows on the driver.
     """
     spark = docs.sparkSession
-    pieces = stage(tokenize_pieces(docs, path, sequence), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64)).cast("int"))
-    parts = pieces.groupBy("length", "salt").count().collect()  # at most 64 x sequence rows
-    counts: dict[int, int] = {}
-    before = []
-    for r in sorted(parts, key=lambda r: (r["length"], r["salt"])):
-        before.append((r["length"], r["salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
+    written = stage(tokenize_pieces(docs, path, sequence), "pieces")
+    counts = {r["length"]: r["count"] for r in written.groupBy("length").count().collect()}
+    shares = spark.createDataFrame([(length, -(-n // PART)) for length, n in counts.items()], "length long, parts long")
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    pieces = written.withColumn("row", row).join(F.broadcast(shares), "length").withColumn("salt", F.pmod("row", "parts")).drop("row", "parts")
+    sizes = pieces.groupBy("length", "salt").count().collect()  # at most sequence + rows / PART
+    before, last, total = [], None, 0
+    for r in sorted(sizes, key=lambda r: (r["length"], r["salt"])):
+        total = total if r["length"] == last else 0
+        before.append((r["length"], r["salt"], total))
+        last, total = r["length"], total + r["count"]
     places = intervals(minimum_bin_slack(counts, sequence))
-    before_df = spark.createDataFrame(before, "length long, salt int, before long")
+    before_df = spark.createDataFrame(before, "length long, salt long, before long")
     places_df = spark.createDataFrame(places, "length long, lo long, hi long, copies long, bin long, at long")
     from pyspark.sql import Window as W
 

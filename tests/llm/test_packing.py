@@ -45,6 +45,13 @@ def test_pieces_and_places(spark):
     assert bins <= -(-tokens // 64) + 1
 
 
+def test_a_common_length_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 8)
+    rows = [(k, "the same words in all") for k in range(150)] + [(9, "repeated row")] * 60 + [(None, "no id")] * 40 + [(k, "one") for k in range(200, 240)]
+    bins, tokens = check(spark, rows, 32)
+    assert bins <= -(-tokens // 32) * 1.2
+
+
 def test_empty(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
