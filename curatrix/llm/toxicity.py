@@ -15,7 +15,7 @@ BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4, 5)
 #: Most labelled documents of each class that training reads, those of the smallest hashes.
-TRAIN_ROWS = 1_000
+TRAIN_ROWS = 1_500
 EPOCHS = 8
 BATCH = 150
 #: How strongly a text's score leans to its highest words: 0 is their mean, large is their maximum. The plain mean of a
