@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_model, minhash, packing, pages, pieces, quality, rules, sharding, toxicity, vectors
+from . import exact, language_model, minhash, packing, pages, pieces, quality, rules, sharding, toxicity, vectors
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: From nodes (id) and links (a, b), both ways round: the smallest id that each reaches.
@@ -36,4 +37,7 @@ SQL: dict[str, str] = {
         links AS (SELECT x.id AS a, y.id AS b FROM whole x JOIN whole y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
         {_REACHED}
         SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_links, c AS component_id, nodes.id = c AS kept FROM nodes JOIN components USING (id)""",
+    "op13_exact_dedup": f"""
+        WITH digests AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM digests WINDOW w AS (PARTITION BY text_sha256)""",
 }
