@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, exact, language_model, minhash, packing, pages, pieces, quality, rules, sharding, toxicity, vectors
+from . import conversation_repair, exact, language_model, minhash, packing, pages, pieces, quality, rules, sharding, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_exact_dedup": exact.op13_exact_dedup,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
