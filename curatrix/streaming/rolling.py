@@ -1,108 +1,254 @@
-"""Streams: rolling buffers by arrival, windows with voting rules, polling, and the latest reply."""
+"""Rolling buffers over streams: by arrival, with resets, and by the clock."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SEGMENT = T.StructType([T.StructField("ts", T.LongType()), T.StructField("content", T.StringType())])
-OUTPUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("held", T.LongType()), T.StructField("text", T.StringType())])
+from ..functions import layout
+
+#: What a control row does: forget what came before it; the same, and drop what follows until the end row.
+RESET, BEGIN, END = "reset", "begin", "end"
+HELD = "key string, seq long, ts long, held long, text string"
+
+
+def millis(ts: str) -> Column:
+    """A time stamp without zone as milliseconds since 1970."""
+    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
 
 
 class RollingBuffer(StatefulProcessor):
     """Adds each segment and then drops those older than its time less the span (the bound itself stays).
 
     The arriving segment sets the bound, not the newest one: a late segment is
-    kept and drops nothing more. A segment whose content is null resets the
-    buffer. One row per segment tells how many are held and their joined text.
+    kept and drops nothing more. Within a batch rows are taken by seq.
+
+    Segments that don't come late wait in order of time, each under a place of its
+    own, so adding is one write and dropping is taking from the head: a segment is
+    written once and removed once, and one that comes and goes within a batch is
+    never written. Late ones, told by an earlier time than the newest, lie apart,
+    and are looked through only when a bound passes the oldest of them.
+
+    Control rows have an order with segments by seq, whichever batch brings them: a
+    reset forgets segments before it and drops those that are to come yet with a
+    smaller seq; after begin, segments are dropped until end.
+
+    One row per segment and control row tells how many are held; the last one of a
+    batch has their joined text too, as the buffer is shown once a batch.
     """
 
-    def __init__(self, span: int, resets: bool = True):
-        self.span, self.resets = span, resets
+    def __init__(self, span: int):
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("buffer", SEGMENT)
+        self.meta = handle.getValueState("meta", "head long, tail long, newest long, late long, oldest long, reset long, closed long")
+        self.queue = handle.getMapState("queue", "place long", "seq long, ts long, content string")
+        self.late = handle.getMapState("late", "seq long", "ts long, content string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values(["seq"], kind="stable")
-        held = [(int(t), c) for t, c in self.buffer.get()] if self.buffer.exists() else []
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        known = self.meta.get() if self.meta.exists() else None
+        head, tail, newest, late, oldest, reset, closed = known or (0, 0, -(1 << 62), 0, 1 << 62, -(1 << 62), -1)
+        waiting: deque = deque()
+        first = None  # the segment at the head, once it has been looked at
         out = []
-        for ts, content in zip(new["ts"], new["content"]):
-            if content is None and self.resets:
-                held = []
+
+        def taken(place: int) -> tuple:
+            got = self.queue.getValue((place,))
+            return int(got[0]), int(got[1]), got[2]
+
+        def settle() -> None:
+            nonlocal tail
+            for seg in waiting:
+                self.queue.updateValue((tail,), seg)
+                tail += 1
+            waiting.clear()
+
+        for seq, ts, content, control in zip(new["seq"].tolist(), new["ts"].tolist(), new["content"], new["control"]):
+            if control in (RESET, BEGIN):
+                if seq > reset:
+                    reset, first = seq, None
+                    settle()
+                    stay = [s for s in (taken(p) for p in range(head, tail)) if s[0] > seq]
+                    for p in range(head, tail):
+                        self.queue.removeKey((p,))
+                    waiting.extend(stay)
+                    head = tail
+                    stay_late = {int(k[0]): v for k, v in self.late.iterator() if int(k[0]) > seq} if late else {}
+                    if late:
+                        self.late.clear()
+                        for k, v in stay_late.items():
+                            self.late.updateValue((k,), v)
+                    late, oldest = len(stay_late), min((int(v[0]) for v in stay_late.values()), default=1 << 62)
+                    newest = max((s[1] for s in waiting), default=-(1 << 62))
+                if control == BEGIN:
+                    closed = max(closed, seq)
+            elif control == END:
+                if seq > closed:
+                    reset, closed = max(reset, seq), -1
+            elif seq < reset or 0 <= closed < seq:
+                continue
             else:
-                held.append((int(ts), content))
-                held = [s for s in held if s[0] >= int(ts) - self.span]
-            out.append((key[0], int(ts), len(held), " ".join(c for _, c in held if c)))
-        self.buffer.clear()
-        if held:
-            self.buffer.put(held)
-        yield pd.DataFrame(out, columns=["key", "ts", "held", "text"])
+                if ts >= newest:
+                    waiting.append((seq, ts, content))
+                    newest = ts
+                else:
+                    self.late.updateValue((seq,), (ts, content))
+                    late, oldest = late + 1, min(oldest, ts)
+                bound = ts - self.span
+                while head < tail:
+                    first = first or taken(head)
+                    if first[1] >= bound:
+                        break
+                    self.queue.removeKey((head,))
+                    head, first = head + 1, None
+                if head == tail:
+                    while waiting and waiting[0][1] < bound:
+                        waiting.popleft()
+                if oldest < bound:
+                    old = [(int(k[0]), int(v[0])) for k, v in self.late.iterator()]
+                    for k, t in old:
+                        if t < bound:
+                            self.late.removeKey((k,))
+                    left = [t for _, t in old if t >= bound]
+                    late, oldest = len(left), min(left, default=1 << 62)
+            out.append((key[0], seq, ts, tail - head + len(waiting) + late, None))
+        settle()
+        self.meta.update((head, tail, newest, late, oldest, reset, closed))
+        if out:
+            held = [taken(p) for p in range(head, tail)]
+            held += [(int(k[0]), int(v[0]), v[1]) for k, v in self.late.iterator()] if late else []
+            out[-1] = (*out[-1][:4], " ".join(c for _, _, c in sorted(held) if c))
+        yield pd.DataFrame(out, columns=["key", "seq", "ts", "held", "text"])
 
     def close(self) -> None:
         pass
 
 
-def rolling(stream: DataFrame, key: str, ts: str, content: str, seq: str, span: int) -> DataFrame:
-    """The rolling buffer of each key of a stream (needs the RocksDB state store)."""
-    src = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("long").alias("ts"), F.col(content).cast("string").alias("content"), F.col(seq).cast("long").alias("seq"))
-    return src.groupBy("key").transformWithStateInPandas(RollingBuffer(span), OUTPUT, "Append", "None")
+def segments(stream: DataFrame, key: str, ts: Column, content: str, seq: str, control: Column | None = None) -> DataFrame:
+    """A stream's rows as a buffer takes them; control names what a row does where it isn't a segment."""
+    kind = F.lit(None).cast("string") if control is None else control.cast("string")
+    return stream.select(F.col(key).cast("string").alias("key"), ts.cast("long").alias("ts"), F.col(content).cast("string").alias("content"), F.col(seq).cast("long").alias("seq"), kind.alias("control"))
 
 
-def of_kind(stream: DataFrame, kind: str, column: str = "kind") -> DataFrame:
-    return stream.filter(F.col(column) == kind)
+def rolling(rows: DataFrame, span: int, *controls: DataFrame) -> DataFrame:
+    """key, seq, ts, held, text: the rolling buffer of each key of segments(), and of streams of control rows beside it."""
+    for c in controls:
+        rows = rows.unionByName(c)
+    return rows.groupBy("key").transformWithStateInPandas(RollingBuffer(span), HELD, "Append", "None")
 
 
-def with_arrival_time(stream: DataFrame, name: str = "arrived") -> DataFrame:
-    return stream.withColumn(name, F.current_timestamp())
+def shown(buffers: DataFrame) -> DataFrame:
+    """The buffers' texts as they are shown: repeated word sequences dropped."""
+    return buffers.filter("text IS NOT NULL").withColumn("text", layout.without_repeats("text"))
 
 
-def latest_reply(df: DataFrame, key: str, request: str, reply: str) -> DataFrame:
-    """The reply to the newest request of each key; older replies are stale."""
-    return df.groupBy(key).agg(F.max(request).alias(request), F.max_by(reply, request).alias(reply))
+class TimedBuffer(StatefulProcessor):
+    """A buffer that empties by itself: a timer drops each segment when the clock passes its stamp by more than the span.
 
+    The clock is that of the stream's time mode. By processing time a segment's
+    stamp is the time of its batch; by event time it is the row's own time and the
+    clock is the watermark. Segments lie under their expiry, so a timer takes its
+    own and leaves the others untouched.
+    """
 
-def longest_run(flags: Column) -> Column:
-    """The longest run of true values of an array."""
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+    def __init__(self, span: int, event_time: bool):
+        self.span, self.event_time = span, event_time
 
-    def step(a, x):
-        run = F.when(x, a["run"] + 1).otherwise(F.lit(0))
-        return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "n long")
+        self.due = handle.getMapState("due", "expiry long", "n long, text string")
 
-    return F.aggregate(flags, start, step, lambda a: a["best"])
+    def _held(self) -> int:
+        return int(self.held.get()[0]) if self.held.exists() else 0
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        held, out, added = self._held(), [], {}
+        for seq, ts, content in zip(new["seq"].tolist(), new["ts"].tolist(), new["content"]):
+            stamp = ts if self.event_time else now
+            held += 1
+            n, texts = added.setdefault(stamp + self.span + 1, [0, []])
+            added[stamp + self.span + 1][0] = n + 1
+            texts.append(content or "")
+            out.append((key[0], "added", seq, stamp, held))
+        for expiry, (n, texts) in added.items():
+            if self.due.containsKey((expiry,)):
+                before = self.due.getValue((expiry,))
+                n, texts = n + int(before[0]), [before[1], *texts]
+            else:
+                self.handle.registerTimer(expiry)
+            self.due.updateValue((expiry,), (n, " ".join(t for t in texts if t)))
+        self.held.update((held,))
+        yield pd.DataFrame(out, columns=["key", "what", "seq", "at", "held"])
 
-def vote(flags: Column, rule: str) -> Column:
-    """Whether a window's flags, in order of time, meet a rule. The rules' exact meaning is our own choice."""
-    n = F.size(F.filter(flags, lambda x: x))
-    return {
-        "one": n >= 1,
-        "two": n >= 2,
-        "majority": 2 * n > F.size(flags),
-        "all": (n == F.size(flags)) & (F.size(flags) > 0),
-        "two-consecutive": longest_run(flags) >= 2,
-        "three-consecutive": longest_run(flags) >= 3,
-    }[rule]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        expiry = expiredTimerInfo.getExpiryTimeInMs()
+        out = []
+        if self.due.containsKey((expiry,)):
+            gone = int(self.due.getValue((expiry,))[0])
+            self.due.removeKey((expiry,))
+            left = self._held() - gone
+            if left:
+                self.held.update((left,))
+            else:
+                self.held.clear()
+            out.append((key[0], "expired", None, expiry, left))
+        frame = pd.DataFrame(out, columns=["key", "what", "seq", "at", "held"])
+        yield frame.astype({"seq": "Int64"})
 
+    def close(self) -> None:
+        pass
 
-def sliding_votes(df: DataFrame, ts: str, flag: str, order: str, size: str, step: str, rule: str) -> DataFrame:
-    """For each sliding window its start and whether its flags meet the rule; works on batches and streams alike."""
-    w = F.window(F.col(ts), size, step)
-    flags = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(flag).alias("f")))), lambda x: x["f"])
-    return df.groupBy(w.alias("w")).agg(flags.alias("_f")).select(F.col("w.start").alias("start"), vote(F.col("_f"), rule).alias("positive"))
 
+TIMED = "key string, what string, seq long, at long, held long"
 
-def f_score(df: DataFrame, predicted: str, truth: str) -> DataFrame:
-    tp, fp, fn = F.count_if(F.col(predicted) & F.col(truth)), F.count_if(F.col(predicted) & ~F.col(truth)), F.count_if(~F.col(predicted) & F.col(truth))
-    return df.agg(F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).alias("f_score"))
 
+def timed(rows: DataFrame, span: int, event_time: str | None = None) -> DataFrame:
+    """key, what (added or expired), seq, at, held: buffers that empty by the clock.
 
-def poll(stream: DataFrame, seconds: int):
-    """A writer that runs every so many seconds; the checkpoint makes it resume."""
-    return stream.writeStream.trigger(processingTime=f"{seconds} seconds")
+    event_time names a column with a watermark, whose clock is the watermark;
+    without it the clock is the time of processing.
+    """
+    mode = "EventTime" if event_time else "ProcessingTime"
+    return rows.groupBy("key").transformWithStateInPandas(TimedBuffer(span, bool(event_time)), TIMED, "Append", mode)
+
+
+class LatestReply(StatefulProcessor):
+    """Lets a reply through only if no newer request of its key has been seen, in whatever batch either comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "request long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        before = int(self.newest.get()[0]) if self.newest.exists() else None
+        newest = max([*new["request"].tolist(), *([] if before is None else [before])])
+        if newest != before:
+            self.newest.update((newest,))
+        said = new[(new["request"] == newest) & new["reply"].notna()]
+        yield pd.DataFrame({"key": key[0], "request": said["request"], "reply": said["reply"]})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_replies(rows: DataFrame) -> DataFrame:
+    """key, request, reply that aren't stale, from rows (key, request, reply); a row without reply only makes its request."""
+    return rows.groupBy("key").transformWithStateInPandas(LatestReply(), "key string, request long, reply string", "Append", "None")
+
+
+def latest_reply(df: DataFrame, key: str, request: str, reply: str) -> DataFrame:
+    """The reply to the newest request of each key of a table; older replies are stale."""
+    return df.groupBy(key).agg(F.max(request).alias(request), F.max_by(reply, request).alias(reply))
+
+
+def of_kind(stream: DataFrame, kind: str, column: str = "kind") -> DataFrame:
+    return stream.filter(F.col(column) == kind)
