@@ -17,9 +17,9 @@ def similarity(d: Column, bits: int) -> Column:
     return 1 - d / F.lit(float(bits))
 
 
-def sign_bits(vector: Column, size: int) -> Column:
-    """The signs of the first `size` (at most 63) components as one number."""
-    return F.aggregate(F.slice(vector, 1, size), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0))
+def sign_bits(vector: Column, size: int, first: int = 1) -> Column:
+    """The signs of `size` (at most 63) components, from the first-th on, as one number."""
+    return F.aggregate(F.slice(vector, first, size), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0))
 
 
 def nearest_within(queries: DataFrame, base: DataFrame, words: list[str], most: int, bands: int, width: int = 64) -> DataFrame:

@@ -138,12 +138,3 @@ def alternating(df: DataFrame, accepted: Column, order: list[str], strategies: l
     ok = df.filter(accepted).orderBy(*order).limit(n)
     rn = F.row_number().over(W.orderBy(*order)) - 1
     return ok.withColumn("strategy", F.get(F.array(*[F.lit(s) for s in strategies]), F.pmod(rn, F.lit(len(strategies)))))
-
-
-def parameter_grid(spark, rules: list[str], windows: list[int]) -> DataFrame:
-    """Rule pairs, windows and steps without the combinations that no window can meet."""
-    small = lambda name, values: spark.createDataFrame([(v,) for v in values], [name])
-    grid = small("pred_rule", rules).crossJoin(small("gt_rule", rules)).crossJoin(small("window", windows).withColumn("window", F.col("window").cast("int")))
-    one = (F.col("window") == 1) & ((F.col("gt_rule") != "one") | (F.col("pred_rule") != "one"))
-    two = (F.col("window") == 2) & ((F.col("gt_rule") == "three-consecutive") | (F.col("pred_rule") == "three-consecutive"))
-    return grid.filter(~one & ~two).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("window"))))

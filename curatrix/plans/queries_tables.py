@@ -11,7 +11,6 @@ from ..operators import nearest as N
 from ..operators import reconcile as R
 from ..operators import sampling as S
 from ..sources import readers, writers
-from ..streaming import rolling as ST
 from .catalog import query, read
 
 
@@ -104,26 +103,31 @@ def j11(spark, d):
     return R.aligned(q, c.filter("role <> 'user'").select(F.col("role").alias("model"), F.col("conv_id").alias("ann"), "turn", F.col("text").alias("value")))
 
 
-BITS = "(SELECT vec_id AS {id}, label, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:{n}], lambda x: (CASE WHEN x > 0 THEN 1 ELSE 0 END)::BIGINT)), lambda a, b: a * 2 + b) AS w FROM embeddings)"
+#: The signs of the 64 components as two words of 32 bits.
+_WORD = "list_reduce(list_prepend(0::BIGINT, list_transform(embedding[{a}:{b}], lambda x: (CASE WHEN x > 0 THEN 1 ELSE 0 END)::BIGINT)), lambda a, b: a * 2 + b)"
+BITS = f"(SELECT vec_id AS {{id}}, label, {_WORD.format(a=1, b=32)} AS w, {_WORD.format(a=33, b=64)} AS v FROM embeddings)"
+_APART = "bit_count(xor(q.w, b.w)) + bit_count(xor(q.v, b.v))"
 
 
-def hashes(spark, d, size):
-    return read(spark, d, "embeddings").select("vec_id", "label", N.sign_bits(F.col("embedding"), size).alias("w"))
+def hashes(spark, d):
+    e = F.col("embedding")
+    return read(spark, d, "embeddings").select("vec_id", "label", N.sign_bits(e, 32).alias("w"), N.sign_bits(e, 32, 33).alias("v"))
 
 
-@query("J12_nearest_within", f"WITH p AS (SELECT qid, bid, bit_count(xor(q.w, b.w)) AS dist FROM {BITS.format(id='qid', n=60)} q JOIN {BITS.format(id='bid', n=60)} b ON bit_count(xor(q.w, b.w)) <= 6) SELECT e.vec_id AS qid, arg_min(bid, (dist, bid)) AS bid, min(dist) AS distance FROM embeddings e LEFT JOIN p ON e.vec_id = p.qid GROUP BY 1")
+@query("J12_nearest_within", f"WITH p AS (SELECT qid, bid, {_APART} AS dist FROM {BITS.format(id='qid')} q JOIN {BITS.format(id='bid')} b ON {_APART} <= 6) SELECT e.vec_id AS qid, arg_min(bid, (dist, bid)) AS bid, min(dist) AS distance FROM embeddings e LEFT JOIN p ON e.vec_id = p.qid GROUP BY 1")
 def j12(spark, d):
-    h = hashes(spark, d, 60)
-    return N.nearest_within(h.select(F.col("vec_id").alias("qid"), "w"), h.select(F.col("vec_id").alias("bid"), "w"), ["w"], 6, 8, 60)
+    h = hashes(spark, d)
+    return N.nearest_within(h.select(F.col("vec_id").alias("qid"), "w", "v"), h.select(F.col("vec_id").alias("bid"), "w", "v"), ["w", "v"], 6, 8, 32)
 
 
-@query("J13_nearest_bucket", f"WITH h AS {BITS.format(id='vid', n=60)}, q AS (SELECT vid AS qid, label AS x, w FROM h), b AS (SELECT vid AS bid, label AS x, w FROM h), j AS (SELECT qid, bid, bit_count(xor(q.w, b.w)) AS dist FROM q JOIN b ON b.x = q.x + 1 OR (q.x + 1 NOT IN (SELECT x FROM b) AND abs(b.x - q.x - 1) = 1)) SELECT q.qid, arg_min(bid, (dist, bid)) AS bid, round(1 - min(dist) / 60.0, 6) AS similarity FROM q LEFT JOIN j USING (qid) GROUP BY 1")
+@query("J13_nearest_bucket", f"WITH h AS {BITS.format(id='vid')}, b AS (SELECT vid AS bid, label AS x, bit_count(w) // 2 AS y, w, v FROM h), q AS (SELECT bid AS qid, x + 1 AS x, y, w, v FROM b), o AS (SELECT DISTINCT x, y FROM b), t AS (SELECT q.*, o.x IS NOT NULL AS own FROM q LEFT JOIN o USING (x, y)), j AS (SELECT qid, bid, {_APART} AS dist FROM t q JOIN b ON abs(b.x - q.x) <= 1 AND abs(b.y - q.y) <= 1 AND ((b.x = q.x AND b.y = q.y) OR NOT own)) SELECT q.qid, arg_min(bid, (dist, bid)) AS bid, round(1 - min(dist) / 64.0, 6) AS similarity FROM q LEFT JOIN j USING (qid) GROUP BY 1")
 def j13(spark, d):
-    h = hashes(spark, d, 60)
-    # each vector looks in the bucket after its own; after the last there is none, so those look around it
-    q = h.select(F.col("vec_id").alias("qid"), (F.col("label") + 1).alias("bx"), F.lit(3).alias("by"), "w")
-    b = h.select(F.col("vec_id").alias("bid"), F.col("label").alias("bx"), F.lit(3).alias("by"), "w")
-    return N.nearest_in_bucket(q, b, ["w"], 60).withColumn("similarity", F.round("similarity", 6))
+    bits = F.floor(F.bit_count("w") / 2).cast("int")
+    h = hashes(spark, d).withColumn("by", bits)
+    # each vector looks in the bucket of the label after its own; where there is none, in those around it
+    q = h.select(F.col("vec_id").alias("qid"), (F.col("label") + 1).alias("bx"), "by", "w", "v")
+    b = h.select(F.col("vec_id").alias("bid"), F.col("label").alias("bx"), "by", "w", "v")
+    return N.nearest_in_bucket(q, b, ["w", "v"], 64).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("J14_count_reconciliation", "WITH d AS (SELECT source AS g, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT source AS g, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT d.g AS \"group\", d.n AS n_documents, coalesce(l.n, 0) AS n_labels, d.n = coalesce(l.n, 0) AS agree FROM d LEFT JOIN l USING (g)")
@@ -214,11 +218,6 @@ def u9(spark, d):
     return S.alternating(read(spark, d, "customer").select("c_custkey", "c_acctbal"), F.col("c_acctbal") > 0, ["c_custkey"], ["pie", "bar"], 50).select("c_custkey", "strategy")
 
 
-@query("U11_grid", "WITH r AS (SELECT unnest(['one', 'majority', 'two', 'all', 'two-consecutive', 'three-consecutive']) AS r) SELECT a.r AS pred_rule, b.r AS gt_rule, w::INT AS \"window\", s::INT AS step FROM r a, r b, range(1, 11) t(w), range(1, 11) u(s) WHERE s <= w AND NOT (w = 1 AND (a.r <> 'one' OR b.r <> 'one')) AND NOT (w = 2 AND (a.r = 'three-consecutive' OR b.r = 'three-consecutive'))")
-def u11(spark, d):
-    return S.parameter_grid(spark, ["one", "majority", "two", "all", "two-consecutive", "three-consecutive"], list(range(1, 11)))
-
-
 @query("W1_report_head", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 10")
 def w1(spark, d):
     gone = R.not_found(key(spark, d, "customer", "c_custkey"), key(spark, d, "orders", "o_custkey")).filter("side = 'left'").select(F.col("key").cast("long").alias("c_custkey"))
@@ -481,27 +480,3 @@ def k11(spark, d):
 @query("K12_copy_plan", "SELECT 'a/' || lang || '/' || source AS src, 'out/' || source AS dst FROM (SELECT source, min(lang) AS lang FROM documents GROUP BY 1)")
 def k12(spark, d):
     return writers.copy_plan(read(spark, d, "documents").select(F.concat(F.lit("a/"), "lang", F.lit("/"), "source").alias("path")), "path", "out/")
-
-
-@query("ST5_latest_reply", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
-def st5(spark, d):
-    return ST.latest_reply(read(spark, d, "events"), "user_id", "event_id", "event_type")
-
-
-@query("ST6_of_kind", "SELECT event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
-def st6(spark, d):
-    ev = read(spark, d, "events")
-    first = ev.agg(F.min("event_type")).collect()[0][0]
-    return ST.of_kind(ev, first, "event_type").select("event_id")
-
-
-@query("ST10_sliding_votes", "WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) - o * INTERVAL 1 DAY AS start, value > 50 AS f FROM events, range(0, 2) t(o)) SELECT strftime(start, '%Y-%m-%d') AS day, 2 * count_if(f) > count(*) AS positive FROM w GROUP BY 1")
-def st10(spark, d):
-    ev = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).alias("flag"), "event_id")
-    return ST.sliding_votes(ev, "ts", "flag", "event_id", "2 days", "1 day", "majority").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "positive")
-
-
-@query("ST10_f_score", "SELECT round(2.0 * count_if(toxic = 1 AND quality = 1) / (2 * count_if(toxic = 1 AND quality = 1) + count_if(toxic = 1 AND quality <> 1) + count_if(toxic <> 1 AND quality = 1)), 6) AS f_score FROM labels")
-def st10b(spark, d):
-    lab = read(spark, d, "labels").select((F.col("toxic") == 1).alias("p"), (F.col("quality") == 1).alias("t"))
-    return ST.f_score(lab, "p", "t").select(F.round("f_score", 6).alias("f_score"))

@@ -131,9 +131,9 @@ class RollingBuffer(StatefulProcessor):
 
 
 def segments(stream: DataFrame, key: str, ts: Column, content: str, seq: str, control: Column | None = None) -> DataFrame:
-    """A stream's rows as a buffer takes them; control names what a row does where it isn't a segment."""
+    """A stream's rows as a buffer takes them; control names what a row does where it isn't a segment. Rows without ts or seq are left out."""
     kind = F.lit(None).cast("string") if control is None else control.cast("string")
-    return stream.select(F.col(key).cast("string").alias("key"), ts.cast("long").alias("ts"), F.col(content).cast("string").alias("content"), F.col(seq).cast("long").alias("seq"), kind.alias("control"))
+    return stream.select(F.col(key).cast("string").alias("key"), ts.cast("long").alias("ts"), F.col(content).cast("string").alias("content"), F.col(seq).cast("long").alias("seq"), kind.alias("control")).dropna(subset=["ts", "seq"])
 
 
 def rolling(rows: DataFrame, span: int, *controls: DataFrame) -> DataFrame:

@@ -28,9 +28,10 @@ def state_store(spark: SparkSession):
 
 
 def stream_of(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """A Parquet table as a stream, at most so many files in a batch."""
+    """A Parquet table, a folder or one file, as a stream, at most so many files in a batch."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    whole = f"{path[:-1]}[{path[-1]}]"  # as a pattern, since a plain path must be a folder
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(whole)
 
 
 def settled(stream: DataFrame, name: str) -> DataFrame:

@@ -140,7 +140,7 @@ def swept(rows: DataFrame, seconds: Column, predicted: Column, truth: Column, or
     over = over.withColumn("start", F.explode(starts_over(F.col("slice"), F.col("size"), F.col("step"))))
     held = F.array_sort(F.collect_list(F.struct("slice", "p", "t")))
     windows = over.groupBy("size", "step", "start").agg(held.alias("vs"))
-    windows = windows.select("size", "step", *[all_merged(F.transform("vs", lambda x, k=k: x[k])).alias(k) for k in ("p", "t")])
+    windows = windows.select("size", "step", *[all_merged(F.col("vs")[k]).alias(k) for k in ("p", "t")])
     rules = lambda state: F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), vote(F.col(state), r).alias("v")) for r in RULES]), lambda x: allowed(x["rule"], F.col("size")))
     voted = windows.select("size", "step", F.explode(rules("p")).alias("a"), "t").select("size", "step", "a", F.explode(rules("t")).alias("b"))
     a, b = F.col("a.v"), F.col("b.v")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from curatrix.functions import layout, strings, urls
 from curatrix.operators import charts, clean, conversations, nearest, reconcile, sampling
 from curatrix.sources import readers, writers
-from curatrix.streaming import rolling
 
 
 def one(spark, column, **values):
@@ -236,23 +235,6 @@ def test_readers_and_writers(spark, tmp_path):
     writers.per_file(readers.json_union(spark, [f"{path}/b.json"], readers.ANNOTATION).select("id", "source_file"), f"{path}/per_file")
 
 
-def test_votes(spark):
-    df = spark.createDataFrame([([True, True, False, True],), ([False],), ([],)], "f array<boolean>")
-    got = {r: [x[0] for x in df.select(rolling.vote(F.col("f"), r)).collect()] for r in ("one", "two", "majority", "all", "two-consecutive", "three-consecutive")}
-    assert got == {"one": [True, False, False], "two": [True, False, False], "majority": [True, False, False], "all": [False, False, False], "two-consecutive": [True, False, False], "three-consecutive": [False, False, False]}
-
-
-def test_rolling_stream_equals_loop(spark, tmp_path):
-    pytest.importorskip("google.protobuf")
-    rows = [(0, "k", 0, "a"), (1, "k", 60, "b"), (2, "k", 61, "c"), (3, "k", 30, "late"), (4, "k", 95, None), (5, "k", 96, "d"), (6, "j", 5, "x")]
-    spark.createDataFrame(rows, "seq long, key string, ts long, content string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("seq long, key string, ts long, content string").parquet(str(tmp_path / "in"))
-    q = rolling.rolling(stream, "key", "ts", "content", "seq", 60).writeStream.format("memory").queryName("rolled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r["key"], r["ts"], r["held"], r["text"]) for r in spark.table("rolled").collect())
-    assert got == [("j", 5, 1, "x"), ("k", 0, 1, "a"), ("k", 30, 3, "b c late"), ("k", 60, 2, "a b"), ("k", 61, 2, "b c"), ("k", 95, 0, ""), ("k", 96, 1, "d")]
-
-
 def test_ranks_of_wide_rows(spark):
     """Rows wider than their order, more than a sample of the ranges holds: every rank once, and in order."""
     df = spark.range(0, 200_000, numPartitions=20).withColumn("pad", F.sha2(F.col("id").cast("string"), 256)).withColumn("h", F.xxhash64("id"))
