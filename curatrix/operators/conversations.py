@@ -95,26 +95,3 @@ def answer_shares_grid(df: DataFrame, group: str, file: str, value: Column) -> D
     grid = with_each(df.select(group).distinct(), files)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("yes_prop", "no_prop", "other_prop", "total")]
     return grid.join(shares, [group, file], "left").select(group, file, *zero)
-
-
-def sessions(names: list[str]) -> dict[str, list[str]]:
-    """Groups file names by their longest shared `_` suffix: longest suffixes first, each with two names or more; others join a group they fit or stand alone.
-
-    The names are those of annotation files, a few; the rule is greedy, so it runs on the driver.
-    """
-    fits = lambda name, s: name == s or name.endswith("_" + s)
-    parts = {"_".join(n.split("_")[k:]) for n in names for k in range(len(n.split("_")))}
-    members = {s: [n for n in names if fits(n, s)] for s in parts}
-    ranked = sorted((s for s in parts if len(set(members[s])) >= 2), key=lambda s: (-len(s.split("_")), -len(set(members[s])), s))
-    out: dict[str, list[str]] = {}
-    done: set[str] = set()
-    for s in ranked:
-        left = [n for n in members[s] if n not in done]
-        if len(set(left)) >= 2:
-            out[s] = left
-            done.update(left)
-    for n in names:
-        if n not in done:
-            hosts = sorted((s for s in out if fits(n, s)), key=lambda s: (-len(s.split("_")), s))
-            out.setdefault(hosts[0] if hosts else n, []).append(n)
-    return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def keys_of(df: DataFrame, key: Column) -> DataFrame:
     """Distinct keys that aren't null."""
@@ -100,6 +102,23 @@ def with_each(df: DataFrame, values: DataFrame, most: int = 10_000) -> DataFrame
     return df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
 
+def lookup(df: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Every row of df with the columns that table has for its key, one row for each at most; nulls where it has none.
+
+    A key that more than one in `share` rows have is broadcast with its row: there are
+    fewer than `share` of them, however large the tables. All others are joined by a
+    shuffle, where none is hot. Rows with a null key stay and match nothing.
+    """
+    known = df.filter(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    least = known.count() / share
+    hot = scratch.staged(counts.filter(F.col("_rows") > least).join(table, key, "left").drop("_rows").withColumn("_hot", F.lit(True)), "hot")
+    marked = known.join(F.broadcast(hot.select(key, "_hot")), key, "left")
+    often = marked.filter("_hot").drop("_hot").join(F.broadcast(hot.drop("_hot")), key, "left")
+    seldom = marked.filter("_hot IS NULL").drop("_hot").join(table, key, "left")
+    return often.unionByName(seldom).unionByName(df.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def aligned(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Each question (ann, pos) with each model's answer, the turn 2 * pos + 1 of the same annotation; empty where there is none.
 

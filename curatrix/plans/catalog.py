@@ -26,4 +26,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from . import queries_boxes, queries_charts, queries_files, queries_keys, queries_streams, queries_tables  # noqa: E402,F401
+from . import queries_boxes, queries_charts, queries_files, queries_keys, queries_sessions, queries_streams, queries_tables  # noqa: E402,F401

@@ -168,12 +168,6 @@ def test_arbitration_errors(spark):
         conversations.arbitrate(df, "j", "a", "m").collect()
 
 
-def test_sessions():
-    names = ["m1_day_two", "m2_day_two", "m3_two", "m4_two", "lonely"]
-    assert conversations.sessions(names) == {"day_two": ["m1_day_two", "m2_day_two"], "two": ["m3_two", "m4_two"], "lonely": ["lonely"]}
-    assert conversations.sessions([]) == {}
-
-
 def test_nearest_rejects_too_few_bands(spark):
     df = spark.createDataFrame([(1, 2)], "qid long, w long")
     with pytest.raises(ValueError):
