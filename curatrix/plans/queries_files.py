@@ -201,6 +201,23 @@ def k9(spark, d):
     return writers.json_array_text(spark.read.schema(REGION).json(path), ["r_regionkey"])
 
 
+@query("K2_array_parts", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_returnflag FROM lineitem")
+def k2_parts(spark, d):
+    path, src = scratch.folder(spark, "array"), read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    writers.to_json_array(src, ["l_orderkey", "l_linenumber"], path)
+    return readers.json_array_parts(spark, path, src.schema)
+
+
+@query("K9_array_parts", "SELECT event_id, event_type, value FROM events")
+def k9_parts(spark, d):
+    manifest, path = scratch.folder(spark, "manifest"), scratch.folder(spark, "array")
+    events = read(spark, d, "events").select("event_id", "event_type", "value")
+    for part in ("event_id % 2 = 0", "event_id % 2 <> 0 OR event_id IS NULL"):
+        writers.append_manifest(events.filter(part), manifest)
+    writers.to_json_array(readers.jsonl(spark, manifest, events.schema), ["event_type"], path)  # a key with many ties
+    return readers.json_array_parts(spark, path, events.schema)
+
+
 @query("ST9_in_batches", "SELECT doc_id, n_chars * 2 AS twice FROM documents")
 def st9(spark, d):
     path, docs = scratch.folder(spark, "manifest"), read(spark, d, "documents").select("doc_id", "n_chars")

@@ -57,6 +57,13 @@ def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def json_array_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of a list that writers.to_json_array wrote, read in as many parts as its files give; a line that is no record is an error."""
+    lines = spark.read.option("pathGlobFilter", "part-*").text(path).filter("value NOT IN (']', '[]')")
+    whole = F.when(F.col("value").rlike(r"^[\[,]\{"), F.expr("substring(value, 2)")).otherwise(F.raise_error(F.concat(F.lit("no record: "), "value")))
+    return lines.select(F.from_json(whole, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """One record a line; blank and malformed lines are left out."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])

@@ -38,3 +38,11 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     fs = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path(new)) or not fs.rename(path(old), path(new)):
         raise FileExistsError(new)
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A new file of a few characters."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -24,11 +24,36 @@ def append_manifest(df: DataFrame, path: str) -> None:
 
 
 def json_array_text(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row with all records as a JSON list. For small outputs: the list is one value."""
+    """One row with all records as a JSON list. For small outputs: the list is one value; to_json_array has no such bound."""
     rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*df.columns).alias("r"))))
     return df.agg(F.to_json(F.transform(rows, lambda x: x["r"])).alias("value"))
 
 
+def to_json_array(df: DataFrame, order: list[str], path: str) -> None:
+    """All records as one JSON list of any size: a folder of part files that, one after the other by name, are the list.
+
+    Each record is a line, opened by a bracket (the first) or a comma; the last file
+    closes the list. The sort deals rows in ranges, so no task holds the list, and ties
+    of a hot key are dealt by their place in the input. A folder appears whole or not at
+    all: it is written beside its path and moved there at the end; an existing one is
+    an error. Nulls are written out.
+    """
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.writing"
+    scratch.remove(spark, beside)
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    ranked = df.select(record.alias("_record"), F.struct(*order).alias("_order"), F.monotonically_increasing_id().alias("_place")).orderBy("_order", "_place")
+    # A range's bound is one of the rows, so the first range is never empty, and its first row has the number 0.
+    opening = F.when(F.monotonically_increasing_id() == 0, "[").otherwise(",")
+    try:
+        ranked.select(F.concat(opening, "_record").alias("value")).write.text(beside)
+        some = spark.read.text(beside).limit(1).count()
+        scratch.put(spark, f"{beside}/part-z-close.txt", "]\n" if some else "[]\n")
+        scratch.rename(spark, beside, path)
+    except BaseException:
+        scratch.remove(spark, beside)
+        raise
+
+
 def still_to_do(df: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Rows that the manifest doesn't have."""
     return df.join(manifest.select(key).distinct(), key, "left_anti")
