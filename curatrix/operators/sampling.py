@@ -126,10 +126,11 @@ def scheduled(df: DataFrame, weights: dict[str, float], key: list[str], seed: in
 
 
 def with_replacement(pool: DataFrame, key: str, k: int, draws: int, seed: int = 0) -> DataFrame:
-    """k distinct pool rows by hash order, and for each draw one of them."""
+    """k distinct pool rows by hash order, or all where there are fewer, and for each draw one of them; no draws of an empty pool."""
     chosen = pool.select(key).distinct().orderBy(seeded([key], seed), key).limit(k)
     numbered = chosen.withColumn("_n", F.row_number().over(W.orderBy(seeded([key], seed), key)) - 1)
-    picks = pool.sparkSession.range(draws).withColumn("_n", F.pmod(F.xxhash64("id", F.lit(seed)), F.least(F.lit(k), F.lit(k))).cast("int"))
+    hashed = F.conv(F.substring(seeded(["id"], seed), 1, 15), 16, 10).cast("long")
+    picks = pool.sparkSession.range(draws).withColumn("_n", F.pmod(hashed, F.lit(max(1, numbered.count()))).cast("int"))
     return picks.join(F.broadcast(numbered), "_n").select(F.col("id").alias("draw"), key)
 
 

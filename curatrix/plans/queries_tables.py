@@ -208,7 +208,7 @@ def u5(spark, d):
     return S.scheduled(read(spark, d, "documents").select("doc_id"), {"grit": 0.5, "tone": 0.25, "blur": 0.25}, ["doc_id"])
 
 
-@query("U7_with_replacement")
+@query("U7_with_replacement", "WITH chosen AS (SELECT p_brand, row_number() OVER (ORDER BY md5(p_brand || '|0'), p_brand) - 1 AS n FROM (SELECT DISTINCT p_brand FROM part) QUALIFY n < 5) SELECT i AS draw, p_brand FROM range(200) r(i) JOIN chosen ON n = ('0x' || left(md5(i || '|0'), 15))::BIGINT % (SELECT count(*) FROM chosen)")
 def u7(spark, d):
     return S.with_replacement(read(spark, d, "part"), "p_brand", 5, 200)
 
