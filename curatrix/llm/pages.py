@@ -6,6 +6,7 @@ import html as _html
 import re
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,18 @@ from pyspark.sql import functions as F
 from .common import table, tidy, word_hashes
 
 #: Hashed features of tag paths and of words, and the length of one direction's state.
-PATH = 64
+PATH = 2048
 WORDS = 32
 EXTRA = 6
 HIDDEN = 16
 #: Most pages that training reads, those of the smallest hashes.
 TRAIN_PAGES = 240
-EPOCHS = 8
-#: Pages that are labelled together.
+EPOCHS = 14
+#: Made-up pages that training reads in each epoch.
+MADE_UP = 700
+#: Pages that are parsed together, and steps x pages that are labelled together; a longer page is labelled piece by piece.
 TOGETHER = 128
+STEPS = 16_384
 _workers: dict[str, "Labeller"] = {}
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -216,9 +220,10 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
-def _slot(token: str, size: int) -> tuple[int, float]:
-    h = zlib.crc32(token.encode())
-    return (h >> 1) % size, 1.0 if h & 1 else -1.0
+def _slots(token: str, size: int) -> list[tuple[int, float]]:
+    """Three signed places of a token, so that one which shares a place with another still differs from it."""
+    data = token.encode()
+    return [((h >> 1) % size, 1.0 if h & 1 else -1.0) for h in (zlib.crc32(data, salt) for salt in (0, 1, 2))]
 
 
 class Features:
@@ -233,24 +238,37 @@ class Features:
                 self.paths.clear()
             v = np.zeros(PATH, dtype=np.float32)
             for token in path:
-                i, sign = _slot(token, PATH)
-                v[i] += sign
+                for i, sign in _slots(token, PATH):
+                    v[i] += sign
             self.paths[path] = v = np.clip(v, -2, 2)
         return v
 
+    def paths_of(self, every: list[tuple[tuple[str, ...], str, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each different path, and which row is each block's."""
+        rows: dict[tuple[str, ...], int] = {}
+        index = np.array([rows.setdefault(path, len(rows)) for path, _, _ in every], dtype=np.int64)
+        return np.stack([self._path(path) for path in rows]), index
+
+    def said(self, every: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+        """What isn't the path: words and figures."""
+        out = np.zeros((len(every), WORDS + EXTRA), dtype=np.float32)
+        hashes, counts = word_hashes([text.encode() for _, text, _ in every])
+        block = np.repeat(np.arange(len(every)), counts)
+        sign = np.where((hashes >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+        words = np.bincount(block * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), sign, minlength=len(every) * WORDS).reshape(-1, WORDS)
+        out[:, :WORDS] = np.clip(words / np.sqrt(counts + 1.0)[:, None], -1.5, 1.5)
+        out[:, WORDS:] = [(0, min(2.0, len(text) ** 0.25 / 4), linked, text[-1:] in ".!?", text[:1].isupper(), 1.0) for _, text, linked in every]
+        out[:, WORDS] = np.log1p(counts) / 4
+        return out
+
     def __call__(self, pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.ndarray]:
+        """Whole vectors, for training."""
         every = [b for page in pages for b in page]
-        out = np.zeros((len(every), PATH + WORDS + EXTRA), dtype=np.float32)
-        if every:
-            out[:, :PATH] = [self._path(path) for path, _, _ in every]
-            hashes, counts = word_hashes([text.encode() for _, text, _ in every])
-            block = np.repeat(np.arange(len(every)), counts)
-            sign = np.where((hashes >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-            words = np.bincount(block * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), sign, minlength=len(every) * WORDS).reshape(-1, WORDS)
-            out[:, PATH : PATH + WORDS] = np.clip(words / np.sqrt(counts + 1.0)[:, None], -1.5, 1.5)
-            out[:, PATH + WORDS :] = [(0, min(2.0, len(text) ** 0.25 / 4), linked, text[-1:] in ".!?", text[:1].isupper(), 1.0) for _, text, linked in every]
-            out[:, PATH + WORDS] = np.log1p(counts) / 4
-        return np.split(out, np.cumsum([len(p) for p in pages])[:-1]) if pages else []
+        if not every:
+            return [np.zeros((0, PATH + WORDS + EXTRA), dtype=np.float32) for _ in pages]
+        rows, index = self.paths_of(every)
+        out = np.concatenate((rows[index], self.said(every)), axis=1)
+        return np.split(out, np.cumsum([len(p) for p in pages])[:-1])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -310,24 +328,33 @@ class Labeller:
         for d in (0, 1):
             dh = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
             dc = np.zeros_like(dh)
+            into, before = np.empty((*mask.shape, 4 * HIDDEN), dtype=np.float32), np.empty((*mask.shape, HIDDEN), dtype=np.float32)
             for t, h, c, i, f, o, g, th, m in reversed(saved[d]):
                 dh = dh + d_both[t, :, d * HIDDEN : (d + 1) * HIDDEN]
                 live_h, live_c = np.where(m, dh, 0), np.where(m, dc, 0)
                 d_c = live_c + live_h * o * (1 - th * th)
                 da = np.concatenate((d_c * g * i * (1 - i), d_c * c * f * (1 - f), live_h * th * o * (1 - o), d_c * i * (1 - g * g)), axis=1)
-                grad["wx"][d] += x[t].T @ da
-                grad["wh"][d] += h.T @ da
-                grad["b"][d] += da.sum(axis=0)
+                into[t], before[t] = da, h
                 dh = np.where(m, da @ self.p["wh"][d].T, dh)
                 dc = np.where(m, d_c * f, dc)
+            into = into.reshape(-1, 4 * HIDDEN)
+            grad["wx"][d] = x.reshape(len(into), -1).T @ into
+            grad["wh"][d] = before.reshape(len(into), -1).T @ into
+            grad["b"][d] = into.sum(axis=0)
         return grad, p
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 3) -> "Labeller":
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 3, more: Callable[[int], tuple[list, list]] | None = None) -> "Labeller":
+        """Adam over the pages, and in each epoch over those that more gives for its number."""
+        known, known_labels = pages, labels
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            pace = rate * (1 - 0.9 * epoch / epochs)
+            if more is not None:
+                fresh = more(epoch)
+                pages, labels = known + fresh[0], known_labels + fresh[1]
             order = sorted(rng.permutation(len(pages)).tolist(), key=lambda k: len(pages[k]))  # pages of like length together
             for at in rng.permutation(range(0, len(order), batch)).tolist():
                 x, mask = padded([pages[k] for k in order[at : at + batch]])
@@ -340,21 +367,48 @@ class Labeller:
                     g = np.clip(grad[k], -1, 1)
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                    self.p[k] = (self.p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
     def predict(self, pages: list[list]) -> list[np.ndarray]:
-        """The probability of each block of each page; pages of like length are run together."""
+        """The probability of each block of each page; pages of like length are run together, STEPS steps x pages at most."""
         out: list = [np.zeros(0)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), TOGETHER):
-            part = order[at : at + TOGETHER]
-            x, mask = padded(self.features([pages[k] for k in part]))
-            p = self.forward(x, mask)[0]
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: -len(pages[k]))
+        while order:
+            width = max(1, STEPS // len(pages[order[0]]))
+            part, order = order[:width], order[width:]
+            logits = self._run([pages[k] for k in part])
             for c, k in enumerate(part):
-                out[k] = p[: len(pages[k]), c]
+                out[k] = _sigmoid(logits[: len(pages[k]), c])
         return out
 
+    def _run(self, pages: list[list]) -> np.ndarray:
+        """Logits over (time, pages). Only the state goes from one piece of STEPS steps x pages to the next, so a long page takes no more memory."""
+        steps, width = len(pages[0]), len(pages)
+        size = max(1, STEPS // width)
+        logits = np.full((steps, width), self.p["bo"][0], dtype=np.float32)
+        for d in (0, 1):
+            h = np.zeros((width, HIDDEN), dtype=np.float32)
+            c = np.zeros_like(h)
+            out = self.p["wo"][d * HIDDEN : (d + 1) * HIDDEN]
+            pieces = range(0, steps, size)
+            for at in pieces if d == 0 else reversed(pieces):
+                here = [page[at : at + size] for page in pages]
+                long = max(map(len, here))
+                pre = np.zeros((long, width, 4 * HIDDEN), dtype=np.float32)
+                mask = np.arange(long)[:, None] < np.array([len(x) for x in here])[None, :]
+                every = [b for page in here for b in page]
+                rows, index = self.features.paths_of(every)
+                pre.transpose(1, 0, 2)[mask.T] = (rows @ self.p["wx"][d][:PATH])[index] + self.features.said(every) @ self.p["wx"][d][PATH:] + self.p["b"][d]
+                for t in range(long) if d == 0 else range(long - 1, -1, -1):
+                    a = pre[t] + h @ self.p["wh"][d]
+                    gates = _sigmoid(a[:, : 3 * HIDDEN])
+                    new_c = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(a[:, 3 * HIDDEN :])
+                    m = mask[t][:, None]
+                    h, c = np.where(m, gates[:, 2 * HIDDEN :] * np.tanh(new_c), h), np.where(m, new_c, c)
+                    logits[at + t] += h @ out
+        return logits
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
@@ -385,53 +439,98 @@ def path_label(path: tuple[str, ...]) -> float:
     return float(inside)
 
 
-#: Paths that made-up training pages use, beside those of the real pages, for the article and for what is around it.
-MAIN_PATHS = ["article", "main", "main article", "main section", "div c:content", "div c:post c:content", "div i:content", "div c:article c:body", "div c:entry c:content", "div i:main", "section c:story", "div c:text"]
-SIDE_PATHS = ["nav ul li", "header", "header nav ul li", "div c:menu ul li", "div c:header", "footer", "div i:footer", "div c:footer p", "aside p", "aside ul li", "div c:sidebar p", "div i:sidebar ul li", "div c:ad", "div c:advert p", "div c:promo", "div c:cookie c:notice p", "div c:notice", "div i:banner", "form label", "form p", "form select option", "div c:comments div c:comment p", "section i:comments p", "ol c:comment c:list li", "ul c:comments li p", "div c:comment", "div c:related ul li", "div c:share", "div c:newsletter p", "div c:login form"]
-INSIDE = ["p", "p", "p", "p", "h1", "h2", "h3", "ul li", "ul li", "ol li", "blockquote", "blockquote p", "pre", "table tr td", "div", "div p", "figure figcaption", "header h1", "section p"]
+#: Made-up training pages: what an article and what is around it may be called, and elements inside either.
+MAIN_WORDS = "content post entry article story body text main page single blog news".split()
+MAIN_PATHS = ["article", "article", "main", "main article", "main section", "div article", "section article", "r:main", "div c:", "div c:", "div c:"]
+SIDE_TAGS = ["nav", "nav", "header", "header", "footer", "footer", "aside", "aside", "form", "menu", "dialog"]
+BOXES = ["div", "div", "div", "section", "aside", "ul", "ol"]
+INSIDE = ["p", "p", "p", "p", "ul li", "ol li", "h1", "h2", "h3", "ul li", "ul li", "ol li", "blockquote", "blockquote p", "pre", "table tr td", "div", "div p", "figure figcaption", "header h1", "section p", "section h2"]
+IN_SIDE = ["", "", "p", "p", "ul li", "ul li", "h1", "h2", "h3", "h4", "li", "div", "div p", "label", "ol li", "span", "div div p", "a", "table tr td"]
 
 
 def made_up(texts: list[str], pages: int, seed: int = 11) -> list[tuple[list, np.ndarray]]:
-    """Training pages of other layouts: an article's blocks between menus, notices, adverts, forms, comments and footers."""
+    """Training pages of other layouts: an article's blocks between menus, notices, adverts, forms, comments and footers.
+
+    Each thing beside the article is one short block, some, or prose, in a landmark or
+    in a box whose class or id tells what it is, before, after or in the article. Any
+    element may have further names that mean nothing. On one page in six no box has a
+    name that tells anything: there, prose is the article. Beside an article or main
+    element, a box may have a meaningless name too.
+    """
     rng = np.random.default_rng(seed)
+    pick = lambda values: values[rng.integers(len(values))]
+    told = sorted(ASIDE_WORDS)
+    noise = lambda: pick("cir") + ":" + "".join(chr(97 + k) for k in rng.integers(0, 26, 1 + rng.integers(8)))
+
+    def dressed(path: list[str]) -> list[str]:
+        """The path with names without a meaning after some of its elements."""
+        return [x for token in path for x in ([token, noise()] if rng.random() < 0.15 else [token])]
+
+    def said(words: int) -> str:
+        source = pick(texts).split()
+        a = rng.integers(len(source))
+        text = " ".join((source[a:] + source * (1 + words // len(source)))[:words])
+        return text + "." if rng.random() < 0.4 and text[-1] not in ".!?" else text
+
     out = []
     for _ in range(pages if texts else 0):
         page, label = [], []
-        body = ("html", "body") + (("div", "c:page") if rng.random() < 0.4 else ())
-
-        def side(n: int, around: tuple[str, ...] = ()) -> None:
-            for _ in range(n):
-                path = body + around + tuple(SIDE_PATHS[rng.integers(len(SIDE_PATHS))].split())
-                for _ in range(1 + rng.integers(4)):
-                    words = texts[rng.integers(len(texts))].split()
-                    a = rng.integers(len(words))
-                    page.append((path, " ".join(words[a : a + 1 + rng.integers(25)]), float(rng.random() < 0.4)))
-                    label.append(0.0)
-
-        side(rng.integers(5))
-        main = body + tuple(MAIN_PATHS[rng.integers(len(MAIN_PATHS))].split())
-        for _ in range(1 + rng.integers(12)):
-            text = texts[rng.integers(len(texts))]
-            if rng.random() < 0.35:  # headings and list items are short in articles too
-                text = " ".join(text.split()[: 1 + rng.integers(4)])[: None if rng.random() < 0.8 else 1]
-            page.append((main + tuple(INSIDE[rng.integers(len(INSIDE))].split()), text, float(rng.random() < 0.05)))
+        plain = rng.random() < 1 / 6
+        body = ["html", "body"] + (dressed(["div"]) + (["c:page"] if rng.random() < 0.3 else []) if rng.random() < 0.5 else [])
+
+        def side(around: list[str]) -> None:
+            if plain or (landmark and not around and rng.random() < 0.15):
+                box = [pick(BOXES), noise()]
+            elif rng.random() < 0.45:
+                box = dressed([pick(SIDE_TAGS if not around else [t for t in SIDE_TAGS if t != "header"])])  # an article's own header is part of it
+            else:
+                box = [pick(BOXES)] + ([noise()] if rng.random() < 0.3 else []) + [pick("ciic") + ":" + pick(told)] + ([pick("ci") + ":" + pick(told)] if rng.random() < 0.3 else [])
+            prose, linked = not plain and rng.random() < 0.35, rng.random() < 0.4
+            inner = dressed(pick(IN_SIDE).split())
+            for n in range(1 + rng.integers(5)):
+                inside = dressed(pick(IN_SIDE).split()) if rng.random() < 0.2 else inner
+                words = 8 + rng.integers(60) if prose and n != 1 else 1 + rng.integers(6)
+                page.append((tuple(body + around + box + inside), said(words), float(linked)))
+                label.append(0.0)
+
+        if plain:
+            main = ["div", noise()]
+        else:
+            main = pick(MAIN_PATHS).split()
+            main = ["div", pick("ci") + ":" + pick(MAIN_WORDS)] if main[-1] == "c:" else ["div", *main] if main[0][1:2] == ":" else dressed(main)
+            if rng.random() < 0.25:
+                main = main + ["div", pick("ci") + ":" + pick(MAIN_WORDS)]
+        landmark = "article" in main or "main" in main
+        for _ in range(rng.integers(4)):
+            side([])
+        for n in range(1 + rng.integers(12)):
+            words = 12 + rng.integers(70)
+            if n and not plain and rng.random() < 0.45:  # headings and list items are short in articles too
+                words = 1 + rng.integers(5)
+            page.append((tuple(body + main + (["p"] if plain else dressed(pick(INSIDE).split()))), said(words), float(rng.random() < 0.05)))
             label.append(1.0)
-            if rng.random() < 0.08:
-                side(1, main[len(body) :])
-        side(rng.integers(6))
+            if not plain and rng.random() < 0.2:
+                side(main)
+        for _ in range(rng.integers(5)):
+            side([])
         out.append((page, np.array(label, dtype=np.float32)))
     return out
 
 
 def train(pages: list[str | None]) -> Labeller:
-    """Fits the labeller on pages whose paths tell their labels, and on as many made up from their blocks."""
+    """Fits the labeller on pages whose paths tell their labels, and on pages made up from their blocks, others in each epoch: it can't learn these by heart."""
     parsed = [b for b in map(blocks, pages) if b]
     known = [(b, np.array([path_label(p) for p, _, _ in b], dtype=np.float32)) for b in parsed]
     known = [(b, y) for b, y in known if y.any()]
     texts = [t for b, y in known for (_, t, _), v in zip(b, y) if v and t]
-    labelled = known + made_up(texts or ["Lorem ipsum dolor sit amet."], max(len(known), 200))
+    texts = texts or ["Lorem ipsum dolor sit amet."]
     labeller = Labeller()
-    return labeller.fit(labeller.features([b for b, _ in labelled]), [y for _, y in labelled])
+
+    def more(epoch: int) -> tuple[list, list]:
+        made = made_up(texts, MADE_UP, epoch)
+        return labeller.features([b for b, _ in made]), [y for _, y in made]
+
+    return labeller.fit(labeller.features([b for b, _ in known]), [y for _, y in known], more=more)
 
 
 def extract(pages: DataFrame, training: DataFrame | None = None, train_pages: int = TRAIN_PAGES) -> DataFrame:
