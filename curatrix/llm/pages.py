@@ -27,6 +27,8 @@ MADE_UP = 700
 #: Pages that are parsed together, and steps x pages that are labelled together; a longer page is labelled piece by piece.
 TOGETHER = 128
 STEPS = 16_384
+#: Steps x pages of one step of training; longer training pages are cut into pieces of so many blocks, all of them used.
+TRAIN_STEPS = 2048
 _workers: dict[str, "Labeller"] = {}
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -343,7 +345,7 @@ class Labeller:
             grad["b"][d] = into.sum(axis=0)
         return grad, p
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 3, more: Callable[[int], tuple[list, list]] | None = None) -> "Labeller":
+    def fit(self, pages: list[list], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 3, more: Callable[[int], tuple[list, list]] | None = None) -> "Labeller":
         """Adam over the pages, and in each epoch over those that more gives for its number."""
         known, known_labels = pages, labels
         rng = np.random.default_rng(seed)
@@ -356,10 +358,16 @@ class Labeller:
                 fresh = more(epoch)
                 pages, labels = known + fresh[0], known_labels + fresh[1]
             order = sorted(rng.permutation(len(pages)).tolist(), key=lambda k: len(pages[k]))  # pages of like length together
-            for at in rng.permutation(range(0, len(order), batch)).tolist():
-                x, mask = padded([pages[k] for k in order[at : at + batch]])
+            groups: list[list[int]] = []
+            for k in reversed(order):  # vectors are made for one group at a time, of TRAIN_STEPS steps x pages at most
+                if groups and len(groups[-1]) < min(batch, TRAIN_STEPS // len(pages[groups[-1][0]])):
+                    groups[-1].append(k)
+                else:
+                    groups.append([k])
+            for at in rng.permutation(len(groups)).tolist():
+                x, mask = padded(self.features([pages[k] for k in groups[at]]))
                 y = np.zeros(mask.shape, dtype=np.float32)
-                for c, k in enumerate(order[at : at + batch]):
+                for c, k in enumerate(groups[at]):
                     y[: len(labels[k]), c] = labels[k]
                 grad, _ = self.gradients(x, mask, y)
                 step += 1
@@ -528,9 +536,10 @@ def train(pages: list[str | None]) -> Labeller:
 
     def more(epoch: int) -> tuple[list, list]:
         made = made_up(texts, MADE_UP, epoch)
-        return labeller.features([b for b, _ in made]), [y for _, y in made]
+        return [b for b, _ in made], [y for _, y in made]
 
-    return labeller.fit(labeller.features([b for b, _ in known]), [y for _, y in known], more=more)
+    pieces = [(b[at : at + TRAIN_STEPS], y[at : at + TRAIN_STEPS]) for b, y in known for at in range(0, len(b), TRAIN_STEPS)]
+    return labeller.fit([b for b, _ in pieces], [y for _, y in pieces], more=more)
 
 
 def extract(pages: DataFrame, training: DataFrame | None = None, train_pages: int = TRAIN_PAGES) -> DataFrame:
