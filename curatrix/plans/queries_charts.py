@@ -199,5 +199,8 @@ def w7(spark, d):
 def w8(spark, d):
     from pyspark.sql import Window as W
 
-    ev = read(spark, d, "events").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    from ..streaming.rolling import micros
+
+    # to the nearest second, halves to the even one
+    ev = read(spark, d, "events").withColumn("s", F.rint(micros("ts") / 1e6).cast("long"))
     return ev.select("event_id", F.count(F.lit(1)).over(W.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)).alias("in_window"))

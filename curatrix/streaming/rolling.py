@@ -22,6 +22,11 @@ def millis(ts: str) -> Column:
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
 
 
+def micros(ts: str) -> Column:
+    """A time stamp without zone as microseconds since 1970."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
+
+
 class RollingBuffer(StatefulProcessor):
     """Adds each segment and then drops those older than its time less the span (the bound itself stays).
 

@@ -4,12 +4,14 @@ import json
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import layout, strings, urls
 from curatrix.operators import charts, clean, conversations, nearest, reconcile, sampling
+from curatrix.plans import catalog
 from curatrix.sources import readers, writers
 
 
@@ -46,6 +48,13 @@ def test_equitable_is_round_robin(spark):
         assert {r["g"]: r["count"] for r in got} == {f"g{g}": t for g, t in enumerate(round_robin(sizes, target)) if t}
 
 
+def test_trailing_window_rounds_to_the_nearest_second(spark, tmp_path):
+    at = ["2024-01-01 00:00:00.600", "2024-01-02 00:00:00.700", "2024-01-02 00:00:01.400", "2024-01-02 00:00:01.500"]
+    spark.createDataFrame([(i, 1, t) for i, t in enumerate(at)], "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.sql(catalog.SQL["W8_trailing_window"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert {tuple(r) for r in catalog.QUERIES["W8_trailing_window"](spark, str(tmp_path)).collect()} == set(want) == {(0, 1), (1, 3), (2, 3), (3, 3)}
+
+
 def test_schedule_sums_to_n():
     for n in (0, 1, 7, 10, 101):
         counts = sampling.schedule_counts(n, {"a": 0.35, "b": 0.35, "c": 0.2, "d": 0.1})
