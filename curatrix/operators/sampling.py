@@ -98,11 +98,13 @@ def shuffled_within(df: DataFrame, group: str, key: list[str], seed: int = 0) ->
     return place_within(df.withColumn("_h", seeded([group, *key], seed)), group, ["_h", *key], "place").drop("_h", "_size")
 
 
-def schedule_counts(n: int, weights: dict[str, float]) -> dict[str, int]:
-    """Whole numbers that follow the weights and sum to n; what rounding leaves goes to the heaviest in turn."""
+def schedule_counts(n: int, weights: dict[str, float], slack: str | None = None) -> dict[str, int]:
+    """Whole numbers that follow the weights and sum to n; what rounding leaves goes to the heaviest in turn, or to the feature named slack, which then has no share of its own."""
     counts = {k: int(round(w * n)) for k, w in weights.items()}
     order = sorted(weights, key=lambda k: -weights[k])
-    diff = n - sum(counts.values())
+    if slack is not None:
+        counts[slack] = max(0, n - sum(c for k, c in counts.items() if k != slack))
+    diff = n - sum(counts.values()) if slack is None else 0
     for k in range(abs(diff)):
         counts[order[k % len(order)]] += 1 if diff > 0 else -1
     out, left = {}, n
@@ -114,12 +116,12 @@ def schedule_counts(n: int, weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def scheduled(df: DataFrame, weights: dict[str, float], key: list[str], seed: int = 0) -> DataFrame:
-    """Gives every row a feature so that the shares follow the weights."""
+def scheduled(df: DataFrame, weights: dict[str, float], key: list[str], seed: int = 0, slack: str | None = None) -> DataFrame:
+    """Gives every row a feature so that the shares follow the weights; see schedule_counts."""
     n = df.count()
     ranked = global_rank(df.withColumn("_h", seeded(key, seed)), ["_h", *key]).drop("_h")
     feature, upto = F.lit(None).cast("string"), n
-    for name, c in reversed(list(schedule_counts(n, weights).items())):
+    for name, c in reversed(list(schedule_counts(n, weights, slack).items())):
         feature = F.when(F.col("rank") <= upto, F.lit(name)).otherwise(feature)
         upto -= c
     return ranked.withColumn("feature", feature).drop("rank")

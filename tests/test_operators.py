@@ -61,6 +61,20 @@ def test_schedule_sums_to_n():
         assert sum(counts.values()) == n and min(counts.values()) >= 0
 
 
+def test_schedule_slack():
+    """What rounding leaves goes to the named feature instead of the heaviest."""
+    third = {"a": 0.5, "b": 0.25, "c": 0.25}
+    assert sampling.schedule_counts(10, third) == {"a": 6, "b": 2, "c": 2} and sampling.schedule_counts(10, third, "c") == {"a": 5, "b": 2, "c": 3}
+    assert sampling.schedule_counts(3, {"a": 0.5, "b": 0.5, "c": 0.0}, "c") == {"a": 2, "b": 1, "c": 0}
+
+
+@pytest.mark.parametrize("n", [2, 6, 7, 10])
+def test_schedule_query_equals_sql_for_any_number(spark, tmp_path, n):
+    spark.range(n).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(catalog.SQL["U5_schedule"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet' AS documents")).fetchall()
+    assert sorted(tuple(r) for r in catalog.QUERIES["U5_schedule"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_global_rank(spark):
     df = spark.createDataFrame([(i * 7919 % 101,) for i in range(101)], "v int")
     assert [r["rank"] for r in sampling.global_rank(df, ["v"]).orderBy("v").collect()] == list(range(1, 102))
