@@ -158,54 +158,94 @@ class TimedBuffer(StatefulProcessor):
 
     The clock is that of the stream's time mode. By processing time a segment's
     stamp is the time of its batch; by event time it is the row's own time and the
-    clock is the watermark. Segments lie under their expiry, so a timer takes its
-    own and leaves the others untouched.
+    clock is the watermark.
+
+    Segments lie in chunks, in order of their expiry. A key has one timer, at its
+    earliest expiry; when it fires, all that the clock has passed goes at once and
+    the timer moves on. So state is asked for once for each chunk that a batch
+    touches and not for each segment. A batch's segments join the last chunk while
+    that is small, so no batch rewrites much more than it brings or drops.
     """
 
+    #: Segments of a chunk, and those up to which it takes more.
+    CHUNK, SMALL = 1024, 128
+
     def __init__(self, span: int, event_time: bool):
         self.span, self.event_time = span, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "n long")
-        self.due = handle.getMapState("due", "expiry long", "n long, text string")
-
-    def _held(self) -> int:
-        return int(self.held.get()[0]) if self.held.exists() else 0
+        self.meta = handle.getValueState("meta", "held long, timer long, chunks array<long>, least array<long>, last long")
+        self.due = handle.getMapState("due", "chunk long", "expiry array<long>, text array<string>")
+
+    def _known(self) -> tuple[int, int, list[int], list[int], int]:
+        """Segments held, the timer (-1: none), the chunks by number with the least expiry of each, and how many the last chunk has."""
+        held, timer, chunks, least, last = self.meta.get() or (0, -1, [], [], 0)
+        return int(held), int(timer), [int(c) for c in chunks], [int(x) for x in least], int(last)
+
+    def _chunk(self, number: int) -> list[tuple[int, str | None]]:
+        expiry, text = self.due.getValue((number,))
+        return list(zip([int(x) for x in expiry], text))
+
+    def _settle(self, held: int, timer: int, chunks: list[int], least: list[int], last: int) -> None:
+        """Keeps what is known and sets the timer to the earliest expiry."""
+        if not held:
+            self.meta.clear()
+            return
+        if min(least) != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = min(least)
+            self.handle.registerTimer(timer)
+        self.meta.update((held, timer, chunks, least, last))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        held, out, added = self._held(), [], {}
-        for seq, ts, content in zip(new["seq"].tolist(), new["ts"].tolist(), new["content"]):
-            stamp = ts if self.event_time else now
-            held += 1
-            n, texts = added.setdefault(stamp + self.span + 1, [0, []])
-            added[stamp + self.span + 1][0] = n + 1
-            texts.append(content or "")
-            out.append((key[0], "added", seq, stamp, held))
-        for expiry, (n, texts) in added.items():
-            if self.due.containsKey((expiry,)):
-                before = self.due.getValue((expiry,))
-                n, texts = n + int(before[0]), [before[1], *texts]
-            else:
-                self.handle.registerTimer(expiry)
-            self.due.updateValue((expiry,), (n, " ".join(t for t in texts if t)))
-        self.held.update((held,))
-        yield pd.DataFrame(out, columns=["key", "what", "seq", "at", "held"])
+        held, timer, chunks, least, last = self._known()
+        stamps = new["ts"].tolist() if self.event_time else [timerValues.getCurrentProcessingTimeInMs()] * len(new)
+        added = sorted(zip([s + self.span + 1 for s in stamps], new["content"]), key=lambda a: a[0])
+        number = chunks[-1] + 1 if chunks else 0
+        if chunks and last <= self.SMALL:
+            number = chunks.pop()
+            least.pop()
+            added = sorted(self._chunk(number) + added, key=lambda a: a[0])
+        for at in range(0, len(added), self.CHUNK):
+            part = added[at : at + self.CHUNK]
+            self.due.updateValue((number,), ([e for e, _ in part], [t for _, t in part]))
+            chunks.append(number)
+            least.append(part[0][0])
+            number, last = number + 1, len(part)
+        self._settle(held + len(new), timer, chunks, least, last)
+        yield pd.DataFrame({"key": key[0], "what": "added", "seq": new["seq"].tolist(), "at": stamps, "held": range(held + 1, held + len(new) + 1)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        expiry = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        if self.due.containsKey((expiry,)):
-            gone = int(self.due.getValue((expiry,))[0])
-            self.due.removeKey((expiry,))
-            left = self._held() - gone
-            if left:
-                self.held.update((left,))
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        held, timer, chunks, least, last = self._known()
+        gone: dict[int, int] = {}
+        stay: list[tuple[int, int]] = []
+        for number, first in zip(chunks, least):
+            if first > now:
+                stay.append((number, first))
+                continue
+            rows = self._chunk(number)
+            for expiry, _ in rows:
+                if expiry <= now:
+                    gone[expiry] = gone.get(expiry, 0) + 1
+            rest = [r for r in rows if r[0] > now]
+            if rest:
+                self.due.updateValue((number,), ([e for e, _ in rest], [t for _, t in rest]))
+                stay.append((number, rest[0][0]))
+                last = len(rest) if number == chunks[-1] else last
             else:
-                self.held.clear()
-            out.append((key[0], "expired", None, expiry, left))
+                self.due.removeKey((number,))
+        out = []
+        for expiry in sorted(gone):
+            held -= gone[expiry]
+            out.append((key[0], "expired", None, expiry, held))
+        if stay and stay[-1][0] != chunks[-1]:
+            last = self.CHUNK  # another chunk is the last one now; its size isn't known, so it takes no more
+        # the timer that fired is gone
+        self._settle(held, -1 if timer <= now else timer, [c for c, _ in stay], [x for _, x in stay], last)
         frame = pd.DataFrame(out, columns=["key", "what", "seq", "at", "held"])
         yield frame.astype({"seq": "Int64"})
 

@@ -165,3 +165,113 @@ def test_empty_votes(spark):
     none = spark.createDataFrame([], "i int, s double, f boolean")
     assert votes.sliding_votes(none, F.col("s"), F.col("f"), ["i"], 2, 1).count() == 0
     assert votes.swept(none, F.col("s"), F.col("f"), F.col("f"), ["i"], [1, 2]).count() == 0
+
+
+class Handle:
+    """State variables and timers in memory, counting what is asked of them."""
+
+    def __init__(self):
+        self.timers, self.registered, self.calls = set(), 0, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Handle.Value(self)
+
+    def getMapState(self, name, *schemas):  # noqa: N802
+        return Handle.Map(self)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.registered += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    class Value:
+        def __init__(self, handle):
+            self.handle, self.value = handle, None
+
+        def _asked(self):
+            self.handle.calls += 1
+
+        def exists(self):
+            self._asked()
+            return self.value is not None
+
+        def get(self):
+            self._asked()
+            return self.value
+
+        def update(self, value):
+            self._asked()
+            self.value = value
+
+        def clear(self):
+            self._asked()
+            self.value = None
+
+    class Map:
+        def __init__(self, handle):
+            self.handle, self.values = handle, {}
+
+        def containsKey(self, key):  # noqa: N802
+            self.handle.calls += 1
+            return key in self.values
+
+        def getValue(self, key):  # noqa: N802
+            self.handle.calls += 1
+            return self.values[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.handle.calls += 1
+            self.values[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            self.handle.calls += 1
+            del self.values[key]
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def timed_batch(buffer, handle, rows, now):
+    """One batch of a key: its rows (seq, ts, content), then the timers that the clock has passed."""
+    out = []
+    if rows:
+        frame = pd.DataFrame([(s, t, c) for s, t, c in rows], columns=["seq", "ts", "content"])
+        out += [tuple(r)[1:] for f in buffer.handleInputRows(("k",), iter([frame]), Clock(now)) for r in f.itertuples(index=False)]
+    for at in sorted(t for t in handle.timers if t <= now):
+        handle.timers.discard(at)
+        out += [("expired", None, r[3], r[4]) for f in buffer.handleExpiredTimer(("k",), Clock(now), Clock(at)) for r in f.itertuples(index=False)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_timed_buffer_equals_loop(seed, monkeypatch):
+    """Chunks of any fill, late rows, equal stamps, batches without rows."""
+    monkeypatch.setattr(rolling.TimedBuffer, "CHUNK", 5, raising=False)
+    monkeypatch.setattr(rolling.TimedBuffer, "SMALL", 2, raising=False)
+    draw, buffer, handle = random.Random(seed), rolling.TimedBuffer(50, True), Handle()
+    buffer.init(handle)
+    held, seq, now = [], 0, 0
+    for _ in range(60):
+        rows = [(seq + i, now + draw.randrange(-60, 40), draw.choice([None, "x"])) for i in range(draw.choice([0, 1, 2, 13]))]
+        seq += len(rows)
+        want = []
+        for s, t, _ in rows:
+            held.append(t + 51)
+            want.append(("added", s, t, len(held)))
+        for at in sorted({e for e in held if e <= now}):
+            held = [e for e in held if e != at]
+            want.append(("expired", None, at, len(held)))
+        assert timed_batch(buffer, handle, rows, now) == want
+        now += draw.choice([0, 5, 30])
+
+
+def test_timed_buffer_asks_for_state_by_chunk():
+    buffer, handle = rolling.TimedBuffer(10_000, True), Handle()
+    buffer.init(handle)
+    got = timed_batch(buffer, handle, [(i, 7 * i, "x") for i in range(2000)], 0) + timed_batch(buffer, handle, [], 10**6)
+    assert len(got) == 4000 and got[-1] == ("expired", None, 7 * 1999 + 10_001, 0)
+    assert handle.calls < 40 and handle.registered < 5 and not handle.timers
