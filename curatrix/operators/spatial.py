@@ -12,6 +12,8 @@ from ..sources import scratch
 SIDES = ["x0", "y0", "x1", "y1"]
 #: Boxes of one block; a cell with more is cut into several, of which each two meet apart.
 BLOCK = 2048
+#: Boxes of the first part of an order, and how many times those before it each further part has.
+FIRST, GROWTH = 8192, 8
 
 
 def overlap(a: str, b: str) -> Column:
@@ -37,10 +39,7 @@ def meetings(boxes: DataFrame, cell: float, relation: Callable[[str, str], Colum
     and each two blocks are a key of their own, so no key has more than about two
     blocks. The grid's cell should be near the size of a usual box.
     """
-    first = lambda c: F.floor(F.col(c) / cell)
-    last = lambda c: F.ceil(F.col(c) / cell) - 1
-    spread = boxes.withColumn("fx", first("x0")).withColumn("fy", first("y0"))
-    spread = spread.withColumn("cx", F.explode(F.sequence("fx", F.greatest(last("x1"), "fx")))).withColumn("cy", F.explode(F.sequence("fy", F.greatest(last("y1"), "fy"))))
+    spread = _cells(boxes, cell)
     crowded = spread.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select("cx", "cy", F.ceil(F.col("m") / block).alias("blocks"))
     dealt = spread.join(crowded, ["cx", "cy"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*SIDES), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -66,33 +65,71 @@ def counted(boxes: DataFrame, cell: float, relation: Callable[[str, str], Column
     return boxes.select("id", *SIDES).join(whole, SIDES, "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def placed(boxes: DataFrame, cell: float, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """id, kept: boxes (id, x0, y0, x1, y1) placed by hashed priority, each if it overlaps none placed before it.
+def _cells(boxes: DataFrame, cell: float) -> DataFrame:
+    """Each box in every cell (cx, cy) of the grid that it touches, with its first one (fx, fy)."""
+    first = lambda c: F.floor(F.col(c) / cell)
+    last = lambda c: F.ceil(F.col(c) / cell) - 1
+    spread = boxes.withColumn("fx", first("x0")).withColumn("fy", first("y0"))
+    return spread.withColumn("cx", F.explode(F.sequence("fx", F.greatest(last("x1"), "fx")))).withColumn("cy", F.explode(F.sequence("fy", F.greatest(last("y1"), "fy"))))
+
+
+def _clear_of(boxes: DataFrame, placed_: DataFrame, cell: float) -> DataFrame:
+    """The boxes that overlap none of the placed ones."""
+    a = _cells(boxes.select("rank", *[F.col(c).alias("a_" + c) for c in SIDES], *SIDES), cell).select("rank", "cx", "cy", *["a_" + c for c in SIDES])
+    b = _cells(placed_, cell).select(F.col("cx").alias("b_cx"), F.col("cy").alias("b_cy"), *[F.col(c).alias("b_" + c) for c in SIDES])
+    hit = a.join(b, (F.col("cx") == F.col("b_cx")) & (F.col("cy") == F.col("b_cy")) & overlap("a_", "b_"), "left_semi")
+    return boxes.join(hit.select("rank").distinct(), "rank", "left_anti")
+
 
-    What a loop over the order would keep comes out of rounds: a box that goes
-    before all undecided ones it overlaps is kept, those that overlap it are
-    dropped. Rounds grow with the logarithm of the rows. Of equal boxes the first
-    counts. A box without an area or with a null side overlaps nothing and is kept.
+def _first_come(boxes: DataFrame, cell: float, block: int) -> DataFrame:
+    """The boxes, by rank, that no kept one of a smaller rank overlaps, in rounds over the overlaps.
+
+    A box that goes before all undecided ones it overlaps is kept, and those that
+    overlap it are dropped.
     """
-    order = F.struct(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), F.col("id").alias("id"))
-    rows = boxes.select("id", *SIDES).withColumn("rank", order)
-    solid = rows.filter("x0 < x1 AND y0 < y1").groupBy(*SIDES).agg(F.min("rank").alias("rank"))
-    left = scratch.staged(solid, "boxes")
-    links = scratch.staged(meetings(left, cell, overlap, block).select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b")), "overlaps")
-    open_, kept = left.select("rank"), []
+    met = meetings(boxes, cell, overlap, block).select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
+    links = scratch.staged(met.filter("a < b"), "overlaps")
+    open_, kept = boxes.select("rank"), []
     while not links.isEmpty():
         # one is beaten while an undecided neighbour goes before it
-        beaten = links.filter("b < a").select(F.col("a").alias("rank")).distinct()
-        won = scratch.staged(open_.join(beaten, "rank", "left_anti"), "kept")
+        won = scratch.staged(open_.join(links.select(F.col("b").alias("rank")).distinct(), "rank", "left_anti"), "kept")
         out = links.join(won, links["a"] == won["rank"], "left_semi").select(F.col("b").alias("rank")).distinct()
-        open_ = scratch.staged(open_.join(won, "rank", "left_anti").join(out, "rank", "left_anti"), "undecided")
-        inner = links.join(open_, links["a"] == open_["rank"], "left_semi")
-        links = scratch.staged(inner.join(open_, inner["b"] == open_["rank"], "left_semi"), "overlaps")
+        left = scratch.staged(open_.join(won, "rank", "left_anti").join(out, "rank", "left_anti"), "undecided")
+        inner = links.join(left, links["a"] == left["rank"], "left_semi")
+        fewer = scratch.staged(inner.join(left, inner["b"] == left["rank"], "left_semi"), "overlaps")
+        scratch.drop(links, open_)
+        links, open_ = fewer, left
         kept.append(won)
-    chosen = open_
     for won in kept:
-        chosen = chosen.unionByName(won)
-    chosen = scratch.staged(chosen, "chosen").select("rank", F.lit(True).alias("won"))
-    found = rows.join(chosen, "rank", "left")
+        open_ = open_.unionByName(won)
+    return boxes.join(open_, "rank", "left_semi")
+
+
+def placed(boxes: DataFrame, cell: float, seed: int = 0, block: int = BLOCK, first: int = FIRST) -> DataFrame:
+    """id, kept: boxes (id, x0, y0, x1, y1) placed by hashed priority, each if it overlaps none placed before it.
+
+    The order is taken in parts, of about `first` boxes and then each GROWTH times
+    the ones before. A part's boxes that overlap one placed before go at once; as
+    the order is random, what is left of a part overlaps only little among itself,
+    so its overlaps, which alone are written, don't grow with the square of the
+    boxes. What a loop over the part would keep comes out of rounds (_first_come).
+    Of equal boxes the first counts. A box without an area or with a null side
+    overlaps nothing and is kept.
+    """
+    order = F.struct(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), F.col("id").alias("id"))
+    rows = boxes.select("id", *SIDES).withColumn("rank", order)
+    solid = scratch.staged(rows.filter("x0 < x1 AND y0 < y1").groupBy(*SIDES).agg(F.min("rank").alias("rank")), "boxes")
+    n, done, chosen = solid.count(), 0, None
+    while done < n:
+        upto = min(n, max(first, done * GROWTH))
+        # the hashes are spread evenly, so a share of their range has about that share of the boxes
+        low, high = (-(1 << 63) + (1 << 64) * k // n for k in (done, upto))
+        part = solid.filter((F.col("rank.h") >= low) & (F.col("rank.h") <= min(high - 1, (1 << 63) - 1)))
+        part = part if chosen is None else scratch.staged(_clear_of(part, chosen, cell), "free")
+        won = scratch.staged(_first_come(part, cell, block), "placed")
+        chosen = won if chosen is None else chosen.unionByName(won)
+        done = upto
+    won = rows.select("rank").limit(0) if chosen is None else chosen.select("rank")
+    found = rows.join(won.withColumn("won", F.lit(True)), "rank", "left")
     empty = ~F.coalesce((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.lit(False))
     return found.select("id", (empty | F.coalesce("won", F.lit(False))).alias("kept"))

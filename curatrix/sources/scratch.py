@@ -24,7 +24,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written below folder() and read again, so that all that reads it sees the same rows in the same parts."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later step reads; others are left alone."""
+    for df in tables:
+        if getattr(df, "_staged", None):
+            remove(df.sparkSession, df._staged)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -69,3 +69,26 @@ def test_placed_query_over_the_whole_table(spark, sf):
     df = queries_boxes.boxes(spark, sf)
     rows = [tuple(r[c] for c in ("id", "x0", "y0", "x1", "y1")) for r in df.collect()]
     assert {r["id"]: r["kept"] for r in queries_boxes.u10(spark, sf).collect()} == by_loop(rows, ranks_of(df))
+
+
+@pytest.mark.parametrize("first", [1, 8, 60])
+def test_placed_in_parts_of_the_order_equals_loop(spark, first):
+    df = spark.createDataFrame(crowd(), BOX)
+    assert {r["id"]: r["kept"] for r in spatial.placed(df, 3.0, 2, 16, first).collect()} == by_loop(crowd(), ranks_of(df, 2))
+
+
+def test_placed_writes_few_overlaps(spark, monkeypatch):
+    """1,500 boxes that all overlap each other: 2,248,500 ordered pairs, of which few are written."""
+    written, staged = [], spatial.scratch.staged
+
+    def counting(df, name):
+        out = staged(df, name)
+        written.append(out.count() if name == "overlaps" else 0)
+        return out
+
+    monkeypatch.setattr(spatial.scratch, "staged", counting)
+    monkeypatch.setattr(spatial.placed, "__defaults__", (0, 2048, 64), raising=False)
+    rows = [(i, i / 2000, 0.0, 3.0, 3.0 - i / 4000) for i in range(1500)]
+    df = spark.createDataFrame(rows, BOX)
+    assert {r["id"]: r["kept"] for r in spatial.placed(df, 4.0).collect()} == by_loop(rows, ranks_of(df))
+    assert sum(written) < 50_000
