@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,16 +80,25 @@ def ascii_filter(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf(T.StringType())
-def ascii_fold(text: pd.Series) -> pd.Series:
+def row_by_row(returns: T.DataType):
+    """A plain Python function as a Column function; for long texts.
+
+    Its rows go to Python a hundred at a time, whereas an Arrow batch has 10,000
+    rows whatever their length: so a worker's memory doesn't grow with the table.
+    """
+    return F.udf(returnType=returns, useArrow=False)
+
+
+@row_by_row(T.StringType())
+def ascii_fold(text):
     """NFKD without what isn't ASCII then; trimmed."""
-    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.strip()
+    return None if text is None else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii").strip()
 
 
-@F.pandas_udf(T.StringType())
-def nfkc_spaces(text: pd.Series) -> pd.Series:
+@row_by_row(T.StringType())
+def nfkc_spaces(text):
     """NFKC with white space runs as one space; trimmed."""
-    return text.str.normalize("NFKC").str.replace(r"\s+", " ", regex=True).str.strip()
+    return None if text is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip()
 
 
 def number_after_dash(link: Column) -> Column:
@@ -149,25 +160,22 @@ def segment_words(vocabulary: list[str]):
     """A function that cuts a name into words of the vocabulary, the longest first, title-cased; what fits none stays letter by letter joined."""
     words = sorted({w.lower() for w in vocabulary if w}, key=lambda w: (-len(w), w))
 
-    @F.pandas_udf(T.StringType())
-    def cut(names: pd.Series) -> pd.Series:
-        def one(name):
-            if name is None:
-                return None
-            rest, out, loose = name.lower(), [], ""
-            while rest:
-                hit = next((w for w in words if rest.startswith(w)), None)
-                if hit:
-                    if loose:
-                        out.append(loose)
-                        loose = ""
-                    out.append(hit)
-                    rest = rest[len(hit) :]
-                else:
-                    loose, rest = loose + rest[0], rest[1:]
-            return " ".join(w.title() for w in out + ([loose] if loose else []))
-
-        return names.map(one)
+    @row_by_row(T.StringType())
+    def cut(name):
+        if name is None:
+            return None
+        rest, out, loose = name.lower(), [], ""
+        while rest:
+            hit = next((w for w in words if rest.startswith(w)), None)
+            if hit:
+                if loose:
+                    out.append(loose)
+                    loose = ""
+                out.append(hit)
+                rest = rest[len(hit) :]
+            else:
+                loose, rest = loose + rest[0], rest[1:]
+        return " ".join(w.title() for w in out + ([loose] if loose else []))
 
     return cut
 

@@ -6,11 +6,12 @@ import re
 import urllib.parse as up
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .strings import row_by_row
+
 LINKS = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.StringType())]))
 
 
@@ -125,30 +126,24 @@ class _Anchors(HTMLParser):
             self.href = None
 
 
-@F.pandas_udf(LINKS)
-def data_links(html: pd.Series, base: pd.Series) -> pd.Series:
+@row_by_row(LINKS)
+def data_links(page, url):
     """Links to CSV files: those whose text offers one, then those whose address ends so; the first of each address."""
-    def one(page, url):
-        parser = _Anchors()
-        parser.feed(page or "")
-        parser.handle_endtag("a")
-        out = {}
-        for offered in (True, False):
-            for href, label in parser.found:
-                if re.search(r"download.*\.csv", label, re.I) if offered else re.search(r"\.csv(\?|$)", href, re.I):
-                    out.setdefault(up.urljoin(url or "", href), label or "CSV")
-        return [{"url": u, "label": x} for u, x in out.items()]
-
-    return pd.Series([one(p, u) for p, u in zip(html, base)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def anchors(html: pd.Series, base: pd.Series) -> pd.Series:
+    parser = _Anchors()
+    parser.feed(page or "")
+    parser.handle_endtag("a")
+    out = {}
+    for offered in (True, False):
+        for href, label in parser.found:
+            if re.search(r"download.*\.csv", label, re.I) if offered else re.search(r"\.csv(\?|$)", href, re.I):
+                out.setdefault(up.urljoin(url or "", href), label or "CSV")
+    return [{"url": u, "label": x} for u, x in out.items()]
+
+
+@row_by_row(T.ArrayType(T.StringType()))
+def anchors(page, url):
     """Absolute addresses of all anchors, distinct, in order, by an HTML parser."""
-    def one(page, url):
-        parser = _Anchors()
-        parser.feed(page or "")
-        parser.handle_endtag("a")
-        return list(dict.fromkeys(up.urljoin(url or "", h.strip()) for h, _ in parser.found if h.strip()))
-
-    return pd.Series([one(p, u) for p, u in zip(html, base)])
+    parser = _Anchors()
+    parser.feed(page or "")
+    parser.handle_endtag("a")
+    return list(dict.fromkeys(up.urljoin(url or "", h.strip()) for h, _ in parser.found if h.strip()))
