@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from curatrix.functions import layout, strings, urls
 from curatrix.operators import clean, sampling
@@ -36,6 +37,12 @@ def stream(seed):
     return (int(hashlib.sha256(f"{seed}|{k // 8}".encode()).hexdigest()[k % 8 * 8 : k % 8 * 8 + 8], 16) / 2**32 for k in range(10**9))
 
 
+def test_long_texts_go_to_python_a_few_at_a_time():
+    """An Arrow batch has 10,000 texts whatever their length, so its memory has no bound."""
+    made = [strings.ascii_fold, strings.nfkc_spaces, strings.segment_words(["a"]), layout.phrase_lines(), layout.char_spread(), layout.inner_spaces(), layout.without_repeats, urls.data_links, urls.anchors, clean.json_cleaner()]
+    assert {f.evalType for f in made} == {PythonEvalType.SQL_BATCHED_UDF}
+
+
 def test_f10(spark, sf):
     def plain(t, _):
         return None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128).strip()
