@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 SPACE = r"[\x20\x09-\x0D]"
-#: Fewest and most buckets of the hashed words and word pairs, powers of two. They grow with the trusted documents that
-#: are fitted, BUCKETS_A_DOCUMENT for each: with too few, rare words share buckets with clean ones, and with too many the
+#: Fewest and most buckets of the hashed words and word pairs, powers of two. They grow with the trusted documents,
+#: BUCKETS_A_DOCUMENT for each: with too few, rare words share buckets with clean ones, and with too many the
 #: one count that smooths each bucket outweighs what was counted.
 BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 20
 BUCKETS_A_DOCUMENT = 40
-#: Most trusted documents that the target multinomial is fitted on, those of the smallest hashes.
-TARGET_ROWS = 20_000
 #: A document is kept if its log-likelihood ratio, in nats a feature, is at least this.
 THRESHOLD = -0.1
 #: Neutral features that are added to each text's own, so that a few odd words don't condemn a short text.
@@ -35,30 +33,37 @@ def bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame | None, buckets: int | None = None, target_rows: int = TARGET_ROWS) -> np.ndarray:
+def _id_bits(ids: DataFrame) -> DataFrame:
+    """_word, _bits: the ids of a table of longs (_id) as bits, 64 a row, written so that Spark knows the table's size.
+
+    Ids close to each other make it small enough to be sent to all tasks; where they
+    lie too far apart for that, Spark joins it by shuffles.
+    """
+    bit = F.expr("shiftleft(1L, CAST(_id & 63 AS INT))")
+    return stage(ids.groupBy(F.shiftright("_id", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "trusted")
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame | None, buckets: int | None = None) -> np.ndarray:
     """log p_target(bucket) / p_raw(bucket) for each bucket.
 
-    The raw multinomial counts every document. The target multinomial counts the
-    trusted ones, labelled quality 1, at most target_rows of them, so that their
-    ids may be broadcast. Both are smoothed by one count a bucket; where only a
-    part of the trusted documents is fitted, the raw one by as many more as
-    there are more, so that a rare bucket's ratio doesn't drift as the corpus
-    grows. Without any trusted document all ratios are 0.
+    The raw multinomial counts every document, the target multinomial every trusted
+    one, labelled quality 1. Both are smoothed by one count a bucket. Without any
+    trusted document all ratios are 0.
     """
-    trusted, prior, found = None, 1.0, 0
+    found = 0
+    base = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
+    target = F.lit(None).cast("int")
     if labels is not None:
-        good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+        good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct()
         found = good.count()
-        prior = max(1.0, found / target_rows)
-        trusted = good.orderBy(F.xxhash64("_id"), "_id").limit(target_rows).withColumn("_target", F.lit(1))
+        base = base.join(_id_bits(good), F.shiftright("_doc", 6) == F.col("_word"), "left")
+        target = F.when(F.getbit("_bits", F.expr("CAST(_doc & 63 AS INT)")) == 1, 1)
     if buckets is None:
-        wanted = BUCKETS_A_DOCUMENT * min(found, target_rows)
-        buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, wanted - 1).bit_length()))
-    base = docs.select(F.col("doc_id").alias("_doc"), "text")
-    base = base.join(F.broadcast(trusted), base["_doc"] == trusted["_id"], "left") if trusted is not None else base.withColumn("_target", F.lit(None).cast("int"))
+        buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, BUCKETS_A_DOCUMENT * found - 1).bit_length()))
+    base = base.select("text", target.alias("_target"))
     # explode_outer, as from explode the optimizer infers a filter and copies the whole expression into it
     counted = with_words(base).select("_target", F.explode_outer(F.concat("_hashes", "_pairs")).alias("h")).filter("h IS NOT NULL").groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.count("_target").alias("target")).toArrow()  # at most one row a bucket
-    raw, target = np.full(buckets, prior), np.ones(buckets)
+    raw, target = np.ones(buckets), np.ones(buckets)
     at = counted.column("b").to_numpy()
     raw[at] += counted.column("raw").to_numpy()
     target[at] += counted.column("target").to_numpy()

@@ -73,3 +73,14 @@ def test_junk_of_new_words_among_a_large_vocabulary(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in clean] + [(i, 0, 0) for i, _ in junk], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in rules.quality_rules(documents(spark, clean + junk), labels).collect()}
     assert sum(kept[i] for i, _ in junk) == 0 and sum(kept[i] for i, _ in clean) == len(clean)
+
+
+def test_every_trusted_document_is_fitted(spark):
+    """30,000 trusted documents among 40,000, with ids far apart and negative ones."""
+    ids = spark.range(40_000).selectExpr("id AS i", "(id - 15000) * 1000000007 AS doc_id")
+    docs = ids.selectExpr("doc_id", "IF(i < 30000, 'a', 'b') AS text")
+    labels = ids.selectExpr("doc_id", "CAST(i < 30000 AS INT) AS quality")
+    ratios, size = rules.log_ratios(docs, labels), rules.MOST_BUCKETS
+    want = math.log(30_001 / (60_000 + size)) - math.log(30_001 / (80_000 + size))
+    lost = math.log(1 / (60_000 + size)) - math.log(10_001 / (80_000 + size))
+    assert len(ratios) == size and sorted(ratios)[:2] == [round(lost, 3)] * 2 and max(ratios) == round(want, 3)
