@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ SIDES = ["x0", "y0", "x1", "y1"]
 BLOCK = 2048
 #: Boxes of the first part of an order, and how many times those before it each further part has.
 FIRST, GROWTH = 8192, 8
+#: Boxes of one block where pairs are counted and not made.
+COUNTED = 1 << 16
 
 
 def overlap(a: str, b: str) -> Column:
@@ -26,6 +30,13 @@ def contains(a: str, b: str) -> Column:
     return (F.col(f"{a}x0") <= F.col(f"{b}x0")) & (F.col(f"{b}x1") <= F.col(f"{a}x1")) & (F.col(f"{a}y0") <= F.col(f"{b}y0")) & (F.col(f"{b}y1") <= F.col(f"{a}y1"))
 
 
+#: Relations that counted() knows as four bounds: a side of b, how it compares, a side of a.
+BOUNDS = {
+    overlap: [(0, "<", 2), (2, ">", 0), (1, "<", 3), (3, ">", 1)],
+    contains: [(0, ">=", 0), (2, "<=", 2), (1, ">=", 1), (3, "<=", 3)],
+}
+
+
 def shapes(boxes: DataFrame) -> DataFrame:
     """x0, y0, x1, y1, n: the different boxes that have an area, and how many rows have each."""
     return boxes.filter("x0 < x1 AND y0 < y1").groupBy(*SIDES).agg(F.count(F.lit(1)).alias("n"))
@@ -53,16 +64,104 @@ def meetings(boxes: DataFrame, cell: float, relation: Callable[[str, str], Colum
     return met.select(*[F.col(p + c) for p in ("a_", "b_") for c in boxes.columns])
 
 
-def counted(boxes: DataFrame, cell: float, relation: Callable[[str, str], Column] = overlap, block: int = BLOCK) -> DataFrame:
+def _count(a: np.ndarray, b: np.ndarray, weight: np.ndarray, bounds: list[tuple[int, str, int]]) -> np.ndarray:
+    """For each row of a the weight of the rows of b that meet all bounds (column of b, comparison, column of a).
+
+    The rows of b that a bound admits are the first or last ones in the order of its
+    column. For 2,048 rows of b at a time, sets of all such beginnings are made as
+    bits; each row of a looks up one set for each bound, and what is in all of them is
+    counted by bits.
+    """
+    total = np.zeros(len(a), dtype=np.int64)
+    for at in range(0, len(b), 2048):
+        part = b[at : at + 2048]
+        size, words = len(part), -(-len(part) // 64)
+        row = np.arange(size)
+        found = []
+        for column, comparison, other in bounds:
+            by = np.argsort(part[:, column], kind="stable")
+            if comparison in (">", ">="):
+                by = by[::-1]
+            sets = np.zeros((size + 1, words), dtype=np.uint64)
+            sets[row + 1, by // 64] = np.uint64(1) << (by % 64).astype(np.uint64)
+            np.bitwise_or.accumulate(sets, axis=0, out=sets)
+            place = np.searchsorted(np.sort(part[:, column]), a[:, other], side="left" if comparison in ("<", ">=") else "right")
+            found.append((sets, size - place if comparison in (">", ">=") else place))
+        copies = weight[at : at + 2048]
+        planes = []
+        for bit in range(int(copies.max()).bit_length()):
+            plane = np.zeros(words * 64, dtype=np.uint8)
+            plane[:size] = copies >> bit & 1
+            planes.append((1 << bit, np.packbits(plane, bitorder="little").view("<u8")))
+        for start in range(0, len(a), 4096):
+            rows = slice(start, start + 4096)
+            both = found[0][0][found[0][1][rows]]
+            for sets, place in found[1:]:
+                both &= sets[place[rows]]
+            for value, plane in planes:
+                total[rows] += value * np.bitwise_count(both & plane).sum(axis=1, dtype=np.int64)
+    return total
+
+
+def _tallied(bounds: list[tuple[int, str, int]]):
+    """Of two tables of one tile: how much of the second each row of the first meets, of pairs whose first shared tile it is."""
+    def tally(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = np.zeros(len(left), dtype=np.int64)
+        right = right.rename_columns([c.removeprefix("b_") for c in right.column_names])
+        if len(left) and len(right):
+            a, b = (np.column_stack([t.column(c).to_numpy() for c in SIDES]) for t in (left, right))
+            weight = right.column("n").to_numpy()
+            (ax, ay), (bx, by) = ((t.column("sx").to_numpy(), t.column("sy").to_numpy()) for t in (left, right))
+            # one of the two must begin in this tile, by each axis
+            for x in (True, False):
+                for y in (True, False):
+                    mine, theirs = (ax == x) & (ay == y), (bx | x) & (by | y)
+                    if mine.any() and theirs.any():
+                        total[mine] = _count(a[mine], b[theirs], weight[theirs], bounds)
+        return pa.table({"sid": left.column("sid"), "total": pa.array(total)})
+
+    return tally
+
+
+def _totals(known: DataFrame, cell: float, bounds: list[tuple[int, str, int]], block: int) -> DataFrame:
+    """sid, total: for each shape (sid, sides, n) the rows of all shapes that meet the bounds with it, its own among them.
+
+    No pair is a row: shapes lie in the tiles they touch and are counted tile by
+    tile. Tiles are the cells or up to sixteen times as wide, so that they hold some
+    hundreds of shapes; one with more than `block` is dealt into blocks by hash, each
+    two of which are counted apart.
+    """
+    crowd = known.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.floor(F.col("x0") / cell), F.floor(F.col("y0") / cell))).alias("cells")).first()
+    tile = cell
+    while tile < 16 * cell and crowd["n"] * (tile / cell) ** 2 < 512 * crowd["cells"]:
+        tile *= 2
+    spread = _cells(known, tile).withColumn("sx", F.col("fx") == F.col("cx")).withColumn("sy", F.col("fy") == F.col("cy")).drop("fx", "fy")
+    crowded = spread.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select("cx", "cy", F.ceil(F.col("m") / block).alias("blocks"))
+    dealt = spread.join(crowded, ["cx", "cy"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["sid", *SIDES, "n", "sx", "sy"]
+    left = dealt.select("cx", "cy", F.col("own").alias("i"), F.col("other").alias("j"), *columns)
+    right = dealt.select(*[F.col(c).alias("b_" + k) for c, k in [("cx", "cx"), ("cy", "cy"), ("other", "i"), ("own", "j"), *zip(columns, columns)]])
+    at = ["cx", "cy", "i", "j"]
+    parts = left.groupBy(*at).cogroup(right.groupBy(*["b_" + c for c in at])).applyInArrow(_tallied(bounds), "sid long, total long")
+    return parts.groupBy("sid").agg(F.sum("total").alias("total"))
+
+
+def counted(boxes: DataFrame, cell: float, relation: Callable[[str, str], Column] = overlap, block: int = COUNTED) -> DataFrame:
     """id, n: how many other boxes (id, x0, y0, x1, y1) each overlaps, or what else the relation says.
 
     Equal boxes are compared as one, so copies cost nothing. A box without an area,
     or with a null side, meets nothing and has 0.
     """
-    known = scratch.staged(shapes(boxes), "shapes")
-    others = meetings(known, cell, relation, block).groupBy(*["a_" + c for c in SIDES]).agg(F.sum("b_n").alias("others"))
-    whole = known.join(others, [F.col(c) == F.col("a_" + c) for c in SIDES], "left").select(*SIDES, (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n"))
-    return boxes.select("id", *SIDES).join(whole, SIDES, "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    sides = [F.col(c).cast("double").alias(c) for c in SIDES]
+    known = scratch.staged(shapes(boxes.select("id", *sides)).withColumn("sid", F.monotonically_increasing_id()), "shapes")
+    if relation in BOUNDS:
+        totals = _totals(known, cell, BOUNDS[relation], block)
+        whole = known.join(totals, "sid").select(*SIDES, (F.col("total") - 1).alias("n"))
+    else:
+        others = meetings(known, cell, relation, block).groupBy("a_sid").agg(F.sum("b_n").alias("others"))
+        whole = known.join(others, F.col("sid") == F.col("a_sid"), "left").select(*SIDES, (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n"))
+    return boxes.select("id", *sides).join(whole, SIDES, "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _cells(boxes: DataFrame, cell: float) -> DataFrame:

@@ -92,3 +92,16 @@ def test_placed_writes_few_overlaps(spark, monkeypatch):
     df = spark.createDataFrame(rows, BOX)
     assert {r["id"]: r["kept"] for r in spatial.placed(df, 4.0).collect()} == by_loop(rows, ranks_of(df))
     assert sum(written) < 50_000
+
+
+@pytest.mark.parametrize("relation", [spatial.overlap, spatial.contains])
+def test_counts_make_no_row_for_a_pair(spark, monkeypatch, relation):
+    """3,000 boxes of which all overlap each other; shapes of several rows, tiles of all sizes."""
+    monkeypatch.setattr(spatial, "meetings", None)
+    draw = random.Random(4)
+    rows = [(i, draw.randrange(40) / 10, draw.randrange(40) / 10, 4.0 + draw.randrange(40) / 10, 4.0 + draw.randrange(40) / 10) for i in range(3000)]
+    rule, df = {spatial.overlap: meet, spatial.contains: has}[relation], spark.createDataFrame(rows * 2, BOX)
+    want = {a[0]: 2 * sum(rule(a, b) for b in rows) - 1 for a in rows[::100]}
+    for cell in (0.5, 30.0):
+        got = {r["id"]: r["n"] for r in spatial.counted(df, cell, relation).collect()}
+        assert {k: got[k] for k in want} == want
