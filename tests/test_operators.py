@@ -204,6 +204,27 @@ def test_nearest_bucket_without_candidates(spark):
     assert got == {1: (9, 1 - 1 / 64), 2: (None, None)}
 
 
+def test_nearest_bucket_in_blocks_equals_loop(spark):
+    """Buckets of several blocks, ties, copies, neighbours' buckets, rows without a hash or a bucket."""
+    draw = random.Random(5)
+    made = lambda first, n: [(first + i, draw.choice([0, 0, 0, 3, 4, None]), draw.choice([0, 0, 7]), draw.choice([None, *[draw.getrandbits(9)] * 8]), draw.getrandbits(3)) for i in range(n)]
+    qs, bs = made(0, 120) + [(999, 5, 6, 1, 1), (998, 60, 0, 1, 1)], made(1000, 150)
+    got = nearest.nearest_in_bucket(spark.createDataFrame(qs, "qid long, bx int, by int, w long, v long"), spark.createDataFrame(bs, "bid long, bx int, by int, w long, v long"), ["w", "v"], 64, 16).collect()
+    want = {}
+    for i, x, y, w, v in qs:
+        own = any((b[1], b[2]) == (x, y) for b in bs)
+        near = [b for b in bs if None not in (x, y, w, b[1], b[3]) and (abs(b[1] - x) <= 1 and abs(b[2] - y) <= 1 if not own else (b[1], b[2]) == (x, y))]
+        want[i] = min((((b[3] ^ w).bit_count() + (b[4] ^ v).bit_count(), b[0]) for b in near), default=None)
+    assert {r["qid"]: r["bid"] and (round(64 * (1 - r["similarity"])), r["bid"]) for r in got} == want
+
+
+def test_nearest_bucket_joins_no_pairs(spark):
+    """Pairs aren't rows of a join: the plan joins a bucket's hashes only with the numbers of its blocks."""
+    q, b = (spark.range(3).selectExpr(f"id AS {n}", "1 AS bx", "1 AS by", "id AS w") for n in ("qid", "bid"))
+    plan = nearest.nearest_in_bucket(q, b, ["w"], 64)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
 def test_matches_and_rejects_cover_the_source(spark):
     a, b = (spark.createDataFrame([(x,) for x in v], "key string") for v in (["a", "b", "b", None], ["b", "c"]))
     assert {r["key"]: r["status"] for r in reconcile.compare_keys(a, b).collect()} == {"a": "missing", "b": "matched", "c": "extra"}
