@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Callable
 
 import numpy as np
@@ -16,8 +18,9 @@ SIDES = ["x0", "y0", "x1", "y1"]
 BLOCK = 2048
 #: Boxes of the first part of an order, and how many times those before it each further part has.
 FIRST, GROWTH = 8192, 8
-#: Boxes of one block where pairs are counted and not made.
-COUNTED = 1 << 16
+#: Boxes of one block where pairs are counted and not made; those of one part; how many a tile has on the average, where cells are not crowded.
+COUNTED, PART, IN_TILE = 1 << 18, 2048, 4096
+COMPARED = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
 def overlap(a: str, b: str) -> Column:
@@ -64,47 +67,71 @@ def meetings(boxes: DataFrame, cell: float, relation: Callable[[str, str], Colum
     return met.select(*[F.col(p + c) for p in ("a_", "b_") for c in boxes.columns])
 
 
+def _near(t: np.ndarray) -> np.ndarray:
+    """An order of rows of sides in which those of a part lie near each other: strips by x0, each by y0."""
+    width = PART * math.ceil(math.sqrt(-(-len(t) // PART)))
+    by = np.argsort(t[:, 0], kind="stable")
+    return np.concatenate([s[np.argsort(t[s, 1], kind="stable")] for s in np.split(by, range(width, len(by), width))])
+
+
 def _count(a: np.ndarray, b: np.ndarray, weight: np.ndarray, bounds: list[tuple[int, str, int]]) -> np.ndarray:
     """For each row of a the weight of the rows of b that meet all bounds (column of b, comparison, column of a).
 
-    The rows of b that a bound admits are the first or last ones in the order of its
-    column. For 2,048 rows of b at a time, sets of all such beginnings are made as
-    bits; each row of a looks up one set for each bound, and what is in all of them is
-    counted by bits.
+    b is taken in parts of rows that lie near each other, and each part is held only
+    against the rows of a that its extremes admit. The rows of a part that a bound
+    admits are the first or last ones in the order of its column: sets of all such
+    beginnings are made as bits, each row of a looks up one set for each bound that
+    the extremes leave open, and what is in all of them is counted by bits.
     """
     total = np.zeros(len(a), dtype=np.int64)
-    for at in range(0, len(b), 2048):
-        part = b[at : at + 2048]
+    order = _near(b)
+    sides = [np.ascontiguousarray(a[:, k]) for k in range(len(SIDES))]
+    for at in range(0, len(b), PART):
+        part, copies = b[order[at : at + PART]], weight[order[at : at + PART]]
+        low, high = part.min(axis=0), part.max(axis=0)
+        may = np.ones(len(a), dtype=bool)
+        for column, comparison, other in bounds:
+            may &= COMPARED[comparison]((low if comparison in ("<", "<=") else high)[column], sides[other])
+        near = np.flatnonzero(may)
+        if not len(near):
+            continue
         size, words = len(part), -(-len(part) // 64)
         row = np.arange(size)
         found = []
         for column, comparison, other in bounds:
+            than = sides[other][near]
+            if COMPARED[comparison]((high if comparison in ("<", "<=") else low)[column], than).all():
+                continue  # every row of the part meets it
             by = np.argsort(part[:, column], kind="stable")
+            place = np.searchsorted(part[by, column], than, side="left" if comparison in ("<", ">=") else "right")
             if comparison in (">", ">="):
-                by = by[::-1]
+                by, place = by[::-1], size - place
             sets = np.zeros((size + 1, words), dtype=np.uint64)
             sets[row + 1, by // 64] = np.uint64(1) << (by % 64).astype(np.uint64)
             np.bitwise_or.accumulate(sets, axis=0, out=sets)
-            place = np.searchsorted(np.sort(part[:, column]), a[:, other], side="left" if comparison in ("<", ">=") else "right")
-            found.append((sets, size - place if comparison in (">", ">=") else place))
-        copies = weight[at : at + 2048]
+            found.append((sets, place))
+        if not found:
+            total[near] += copies.sum()
+            continue
         planes = []
         for bit in range(int(copies.max()).bit_length()):
             plane = np.zeros(words * 64, dtype=np.uint8)
             plane[:size] = copies >> bit & 1
             planes.append((1 << bit, np.packbits(plane, bitorder="little").view("<u8")))
-        for start in range(0, len(a), 4096):
+        for start in range(0, len(near), 4096):
             rows = slice(start, start + 4096)
             both = found[0][0][found[0][1][rows]]
             for sets, place in found[1:]:
                 both &= sets[place[rows]]
             for value, plane in planes:
-                total[rows] += value * np.bitwise_count(both & plane).sum(axis=1, dtype=np.int64)
+                total[near[rows]] += value * np.bitwise_count(both & plane).sum(axis=1, dtype=np.int64)
     return total
 
 
-def _tallied(bounds: list[tuple[int, str, int]]):
-    """Of two tables of one tile: how much of the second each row of the first meets, of pairs whose first shared tile it is."""
+def _tallied(relation: Callable[[str, str], Column]):
+    """Of two tables of one tile: how much of the second each row of the first meets, of pairs that are counted in this tile."""
+    bounds = BOUNDS[relation]
+
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         total = np.zeros(len(left), dtype=np.int64)
         right = right.rename_columns([c.removeprefix("b_") for c in right.column_names])
@@ -112,39 +139,46 @@ def _tallied(bounds: list[tuple[int, str, int]]):
             a, b = (np.column_stack([t.column(c).to_numpy() for c in SIDES]) for t in (left, right))
             weight = right.column("n").to_numpy()
             (ax, ay), (bx, by) = ((t.column("sx").to_numpy(), t.column("sy").to_numpy()) for t in (left, right))
-            # one of the two must begin in this tile, by each axis
-            for x in (True, False):
-                for y in (True, False):
-                    mine, theirs = (ax == x) & (ay == y), (bx | x) & (by | y)
-                    if mine.any() and theirs.any():
-                        total[mine] = _count(a[mine], b[theirs], weight[theirs], bounds)
-        return pa.table({"sid": left.column("sid"), "total": pa.array(total)})
+            if relation is contains:
+                # a box begins within all that contain it, so the tile it begins in is one of theirs
+                kinds = [(np.ones(len(a), dtype=bool), bx & by)]
+            else:
+                # one of the two must begin in this tile, by each axis
+                kinds = [((ax == x) & (ay == y), (bx | x) & (by | y)) for x in (True, False) for y in (True, False)]
+            for mine, theirs in kinds:
+                if mine.any() and theirs.any():
+                    total[mine] = _count(a[mine], b[theirs], weight[theirs], bounds)
+        return pa.table({c: left.column(c) for c in SIDES} | {"total": pa.array(total)})
 
     return tally
 
 
-def _totals(known: DataFrame, cell: float, bounds: list[tuple[int, str, int]], block: int) -> DataFrame:
-    """sid, total: for each shape (sid, sides, n) the rows of all shapes that meet the bounds with it, its own among them.
+def _totals(known: DataFrame, cell: float, relation: Callable[[str, str], Column], block: int) -> DataFrame:
+    """x0, y0, x1, y1, total: for each shape (sides, n) the rows of all shapes it meets by a relation of BOUNDS, its own among them.
 
     No pair is a row: shapes lie in the tiles they touch and are counted tile by
     tile. Tiles are the cells or up to sixteen times as wide, so that they hold some
-    hundreds of shapes; one with more than `block` is dealt into blocks by hash, each
-    two of which are counted apart.
+    thousands of shapes and most shapes lie in one; a tile goes to Python once. One
+    with more than `block` shapes is dealt into blocks by hash, each two of which are
+    counted apart.
     """
     crowd = known.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.floor(F.col("x0") / cell), F.floor(F.col("y0") / cell))).alias("cells")).first()
     tile = cell
-    while tile < 16 * cell and crowd["n"] * (tile / cell) ** 2 < 512 * crowd["cells"]:
+    while tile < 16 * cell and crowd["n"] * (tile / cell) ** 2 < IN_TILE * crowd["cells"]:
         tile *= 2
     spread = _cells(known, tile).withColumn("sx", F.col("fx") == F.col("cx")).withColumn("sy", F.col("fy") == F.col("cy")).drop("fx", "fy")
-    crowded = spread.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select("cx", "cy", F.ceil(F.col("m") / block).alias("blocks"))
-    dealt = spread.join(crowded, ["cx", "cy"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["sid", *SIDES, "n", "sx", "sy"]
+    # at most one row for each `block` shapes in tiles
+    crowded = F.broadcast(spread.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select("cx", "cy", F.ceil(F.col("m") / block).alias("blocks")))
+    tally, columns, schema = _tallied(relation), [*SIDES, "n", "sx", "sy"], ", ".join(f"{c} double" for c in SIDES) + ", total long"
+    usual = spread.join(crowded, ["cx", "cy"], "left_anti").groupBy("cx", "cy").applyInArrow(lambda t: tally(t, t), schema)
+    dealt = spread.join(crowded, ["cx", "cy"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*SIDES), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = dealt.select("cx", "cy", F.col("own").alias("i"), F.col("other").alias("j"), *columns)
-    right = dealt.select(*[F.col(c).alias("b_" + k) for c, k in [("cx", "cx"), ("cy", "cy"), ("other", "i"), ("own", "j"), *zip(columns, columns)]])
+    right = dealt.filter("sx AND sy") if relation is contains else dealt
+    right = right.select(*[F.col(c).alias("b_" + k) for c, k in [("cx", "cx"), ("cy", "cy"), ("other", "i"), ("own", "j"), *zip(columns, columns)]])
     at = ["cx", "cy", "i", "j"]
-    parts = left.groupBy(*at).cogroup(right.groupBy(*["b_" + c for c in at])).applyInArrow(_tallied(bounds), "sid long, total long")
-    return parts.groupBy("sid").agg(F.sum("total").alias("total"))
+    parts = usual.unionByName(left.groupBy(*at).cogroup(right.groupBy(*["b_" + c for c in at])).applyInArrow(tally, schema))
+    return parts.groupBy(*SIDES).agg(F.sum("total").alias("total"))
 
 
 def counted(boxes: DataFrame, cell: float, relation: Callable[[str, str], Column] = overlap, block: int = COUNTED) -> DataFrame:
@@ -154,11 +188,11 @@ def counted(boxes: DataFrame, cell: float, relation: Callable[[str, str], Column
     or with a null side, meets nothing and has 0.
     """
     sides = [F.col(c).cast("double").alias(c) for c in SIDES]
-    known = scratch.staged(shapes(boxes.select("id", *sides)).withColumn("sid", F.monotonically_increasing_id()), "shapes")
+    known = shapes(boxes.select("id", *sides))
     if relation in BOUNDS:
-        totals = _totals(known, cell, BOUNDS[relation], block)
-        whole = known.join(totals, "sid").select(*SIDES, (F.col("total") - 1).alias("n"))
+        whole = _totals(scratch.staged(known, "shapes"), cell, relation, block).select(*SIDES, (F.col("total") - 1).alias("n"))
     else:
+        known = scratch.staged(known.withColumn("sid", F.monotonically_increasing_id()), "shapes")
         others = meetings(known, cell, relation, block).groupBy("a_sid").agg(F.sum("b_n").alias("others"))
         whole = known.join(others, F.col("sid") == F.col("a_sid"), "left").select(*SIDES, (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n"))
     return boxes.select("id", *sides).join(whole, SIDES, "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from curatrix.operators import spatial
@@ -105,3 +106,39 @@ def test_counts_make_no_row_for_a_pair(spark, monkeypatch, relation):
     for cell in (0.5, 30.0):
         got = {r["id"]: r["n"] for r in spatial.counted(df, cell, relation).collect()}
         assert {k: got[k] for k in want} == want
+
+
+@pytest.mark.parametrize("relation", [spatial.overlap, spatial.contains])
+def test_counts_hold_only_near_boxes_against_each_other(monkeypatch, relation):
+    """20,000 boxes in one place 64 wide: of 400,000,000 pairs few are looked at, as bits."""
+    draw, bits, count = np.random.default_rng(3), [], np.bitwise_count
+    low = draw.integers(0, 600, (20_000, 2)) / 10
+    boxes, copies = np.column_stack([low, low + draw.integers(1, 5, (20_000, 2))]), draw.integers(1, 4, 20_000)
+    monkeypatch.setattr(np, "bitwise_count", lambda words: bits.append(words.size * 64) or count(words))
+    got = spatial._count(boxes, boxes, copies, spatial.BOUNDS[relation])
+    assert sum(bits) / 2 < 0.25 * len(boxes) ** 2  # copies take two planes of bits
+    rule = {spatial.overlap: meet, spatial.contains: has}[relation]
+    for k in range(0, 20_000, 2500):
+        a = (k, *boxes[k])
+        assert got[k] == sum(int(n) for b, n in zip(boxes, copies) if rule(a, (None, *b)))
+
+
+@pytest.mark.parametrize("relation", [spatial.overlap, spatial.contains])
+def test_counts_equal_loop_in_small_parts(monkeypatch, relation):
+    monkeypatch.setattr(spatial, "PART", 16, raising=False)
+    rows = [r for r in crowd() if solid(r)]
+    boxes, copies = np.array([r[1:] for r in rows]), np.arange(len(rows)) % 5 + 1
+    rule = {spatial.overlap: meet, spatial.contains: has}[relation]
+    want = [sum(int(n) for b, n in zip(rows, copies) if rule(a, b)) for a in rows]
+    assert spatial._count(boxes, boxes, copies, spatial.BOUNDS[relation]).tolist() == want
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_counts_equal_loop_in_narrow_tiles(spark, monkeypatch, block):
+    """Tiles of the cell's width, so that boxes lie in many of them."""
+    monkeypatch.setattr(spatial, "IN_TILE", 0, raising=False)
+    rows = crowd()
+    df = spark.createDataFrame(rows, BOX)
+    for relation, rule in ((spatial.overlap, meet), (spatial.contains, has)):
+        want = {a[0]: sum(solid(a) and solid(b) and a[0] != b[0] and rule(a, b) for b in rows) for a in rows}
+        assert {r["id"]: r["n"] for r in spatial.counted(df, 2.0, relation, block).collect()} == want
